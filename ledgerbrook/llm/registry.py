@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import chat, quality_rules, sharding, warc
 
 
 def queries() -> dict:
-    return {"op3_quality_rules": quality_rules.op3_quality_rules}
+    return {
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op5_chat_format": chat.op5_chat_format,
+        "op7_sharding": sharding.op7_sharding,
+        "op9_warc": warc.op9_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_chat_format": chat.ORACLE_SQL,
+        "op9_warc": warc.ORACLE_SQL,
+    }
