@@ -159,3 +159,9 @@ def table_bytes(df: DataFrame, *cols: str) -> int:
     for c in cols:
         size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
     return int(df.agg(F.sum(size.cast("long"))).first()[0] or 0)
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """df with columns named so that no operator's results clash with them, the new names, and what gives df's own columns back."""
+    names = {c: f"__c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, lambda out: out.select(*(F.col(n).alias(c) for c, n in names.items()))

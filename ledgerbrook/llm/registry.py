@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, quality_rules, sharding, warc
+from . import chat, decontamination, packing, quality_rules, sharding, token_matrix, warc
 
 
 def queries() -> dict:
     return {
+        "op1_decontamination": decontamination.op1_decontamination,
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op5_chat_format": chat.op5_chat_format,
+        "op6_token_matrix": token_matrix.op6_token_matrix,
         "op7_sharding": sharding.op7_sharding,
         "op9_warc": warc.op9_warc,
     }
@@ -16,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_decontamination": decontamination.ORACLE_SQL,
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op5_chat_format": chat.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
