@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, packing, quality_rules, sharding, token_matrix, warc
+from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, token_matrix, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_chat_format": chat.op5_chat_format,
         "op6_token_matrix": token_matrix.op6_token_matrix,
         "op7_sharding": sharding.op7_sharding,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
     }
 
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontamination.ORACLE_SQL,
         "op3_quality_rules": quality_rules.ORACLE_SQL,
         "op5_chat_format": chat.ORACLE_SQL,
+        "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
     }
