@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, token_matrix, warc
+from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.op1_decontamination,
         "op2_best_fit_packing": packing.op2_best_fit_packing,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_chat_format": chat.op5_chat_format,
         "op6_token_matrix": token_matrix.op6_token_matrix,
         "op7_sharding": sharding.op7_sharding,
@@ -22,6 +23,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.ORACLE_SQL,
         "op3_quality_rules": quality_rules.ORACLE_SQL,
+        "op4_substring_dedup": substring_dedup.ORACLE_SQL,
         "op5_chat_format": chat.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
