@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, warc
+from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_sharding": sharding.op7_sharding,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
