@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ..functions import scalar
+from ..operators import relational
 from . import patterns, shapes, tpch
 
-MODULES = [tpch, patterns, shapes]
+MODULES = [tpch, patterns, shapes, relational, scalar]
 
 
 def queries() -> dict:
