@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions import scalar
-from ..operators import relational
+from ..operators import changelog, relational
 from . import patterns, shapes, tpch
 
-MODULES = [tpch, patterns, shapes, relational, scalar]
+MODULES = [tpch, patterns, shapes, relational, scalar, changelog]
 
 
 def queries() -> dict:
