@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from ..functions import scalar
-from ..operators import changelog, relational
+from ..operators import changelog, relational, replay, runstats
 from . import patterns, shapes, tpch
 
-MODULES = [tpch, patterns, shapes, relational, scalar, changelog]
+MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats]
 
 
 def queries() -> dict:
