@@ -121,7 +121,12 @@ def _sql_percentile(by: str, p: float, nearest: bool = False) -> str:
 
 _RANKED = f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY query_name ORDER BY duration_ms) - 1 AS r, count(*) OVER (PARTITION BY query_name) AS n FROM runs)"
 _Q = f"{_RANKED}, q AS (SELECT query_name, {_sql_percentile('', 25)} AS a, {_sql_percentile('', 75)} AS z FROM k GROUP BY query_name)"
-_TELEMETRY = F.concat(F.lit('{"resource":"r'), (c("event_id") % 3).cast("string"), F.lit('","scopes":[{"scope":"'), c("event_type"), F.lit('","metrics":[{"name":"m","points":[{"at":'), c("event_id").cast("string"), F.lit(',"value":1.5},{"at":'), (c("event_id") + 1).cast("string"), F.lit(',"value":2}]}]}]}'))
+
+
+def _telemetry() -> Column:
+    return F.concat(F.lit('{"resource":"r'), (c("event_id") % 3).cast("string"), F.lit('","scopes":[{"scope":"'), c("event_type"), F.lit('","metrics":[{"name":"m","points":[{"at":'), c("event_id").cast("string"), F.lit(',"value":1.5},{"at":'), (c("event_id") + 1).cast("string"), F.lit(',"value":2}]}]}]}'))
+
+
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -145,7 +150,7 @@ ALL = {
     "m10_wait_share": (lambda t: _rounded(wait_share(_waits(t), ["l_returnflag"]), "wait_share"), "SELECT l_returnflag, round(100 * sum(l_quantity) / nullif(sum(l_quantity + l_discount * 100 + l_tax * 100), 0), 6) AS wait_share FROM lineitem GROUP BY l_returnflag"),
     "m11_load_rate": (lambda t: t.events.agg((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))).alias("s"), F.count("*").alias("n")).select("s", r6(c("n") / F.nullif("s", F.lit(0))).alias("rate")), "SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS s, round(count(*) / nullif(CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT), 0), 6) AS rate FROM events"),
     "m12_outcome": (lambda t: query_runs(t).groupBy("worker_id", "query_name").agg(F.count_if(~c("success")).alias("f"), F.count("*").alias("n")).select("worker_id", "query_name", outcome(c("f") > 0, c("n") > 490, c("worker_id") == 3).alias("outcome")), f"WITH {RUNS} SELECT worker_id, query_name, CASE WHEN worker_id = 3 THEN 'stopped' WHEN bool_or(NOT success) THEN 'failed' WHEN count(*) <= 490 THEN 'not converged' ELSE 'passed' END AS outcome FROM runs GROUP BY worker_id, query_name"),
-    "m13_flattened": (lambda t: flattened(t.events.select(_TELEMETRY.alias("j")), "j").groupBy("resource", "scope", "name").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("at").alias("at")), "SELECT 'r' || (event_id % 3) AS resource, event_type AS scope, 'm' AS name, 2 * count(*) AS n, 3.5 * count(*) AS v, CAST(sum(2 * event_id + 1) AS BIGINT) AS at FROM events GROUP BY 1, 2"),
+    "m13_flattened": (lambda t: flattened(t.events.select(_telemetry().alias("j")), "j").groupBy("resource", "scope", "name").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("at").alias("at")), "SELECT 'r' || (event_id % 3) AS resource, event_type AS scope, 'm' AS name, 2 * count(*) AS n, 3.5 * count(*) AS v, CAST(sum(2 * event_id + 1) AS BIGINT) AS at FROM events GROUP BY 1, 2"),
     "m14_histogram": (lambda t: histogram(query_runs(t), ["query_name"], "duration_ms", [10.0, 50.0, 100.0]), f"WITH {RUNS} SELECT query_name, CASE WHEN duration_ms <= 10 THEN 0 WHEN duration_ms <= 50 THEN 1 WHEN duration_ms <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM runs GROUP BY 1, 2"),
     "m15_parameter_sets": (lambda t: parameter_sets(t.part.where("p_size = 7"), "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part WHERE p_size = 7) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
     "m16_leaderboard": (lambda t: leaderboard(query_runs(t).groupBy("worker_id").agg(F.sum("duration_ms").alias("duration"), F.max("duration_ms").alias("p99"))).select("worker_id", "place"), f"WITH {RUNS} SELECT worker_id, CAST(rank() OVER (ORDER BY sum(duration_ms), max(duration_ms)) AS INT) AS place FROM runs GROUP BY worker_id"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from ..functions import scalar
-from ..operators import changelog, relational, replay, runstats
+from ..operators import changelog, relational, replay, runstats, validate
+from ..sources import batches
+from ..streaming import replay as stream
 from . import patterns, shapes, tpch
 
-MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats]
+MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats, validate, batches, stream]
 
 
 def queries() -> dict:
