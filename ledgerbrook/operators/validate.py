@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -121,6 +122,20 @@ def _broken(t: Tables) -> DataFrame:
     return t.customer.withColumn("c_acctbal", F.when(c("c_custkey") % 100 == 0, x * 1.5 + 10).when(c("c_custkey") % 101 == 0, x * 1.01).otherwise(x))
 
 
+def _schemas(t: Tables) -> DataFrame:
+    """Customers against themselves, with a number as text, with a flag for a number, and with a column less."""
+    found = {"same": t.customer, "text": t.customer.withColumn("c_acctbal", c("c_acctbal").cast("string")), "flag": t.customer.withColumn("c_acctbal", c("c_acctbal") > 0), "short": t.customer.drop("c_name")}
+    return t.spark.createDataFrame([(k, len(schema_problems(t.customer.schema, v.schema))) for k, v in found.items()], "variant string, problems int")
+
+
+def _namespaces(t: Tables) -> DataFrame:
+    one, other = (f"ledger_{kind}_{uuid.uuid4().hex[:8]}" for kind in ("trusted", "tested"))  # a warehouse may hold those of an earlier session
+    for name, df in ((one, t.supplier), (other, t.supplier.withColumn("s_nationkey", F.when(c("s_suppkey") == 7, -1).otherwise(c("s_nationkey"))))):
+        t.spark.sql(f"CREATE DATABASE {name}")
+        df.write.saveAsTable(f"{name}.supplier_copy")
+    return compare_namespaces(t.spark, lambda: t.spark.table("supplier_copy"), one, other, ["s_suppkey"]).select("position", "column_name", "found")
+
+
 def _checkpoint(t: Tables) -> DataFrame:
     """State after batch 4 against the net row count of the log so far, with keys that live on."""
     log = orders_log(t)
@@ -132,6 +147,8 @@ def _checkpoint(t: Tables) -> DataFrame:
 
 ALL = {
     "v1_compare_results": (lambda t: compare_results(t.customer, _broken(t), ["c_custkey"]).groupBy("column_name", "problem").agg(F.count("*").alias("n"), F.min("position").alias("first")), "SELECT 'c_acctbal' AS column_name, 'data mismatch' AS problem, count(*) AS n, min(p) AS first FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) WHERE c_custkey % 100 = 0 AND abs(c_acctbal * 0.5 + 10) > abs(c_acctbal) * 0.05"),
+    "v2_schema_equivalence": (_schemas, "SELECT * FROM (VALUES ('same', 0), ('text', 1), ('flag', 1), ('short', 1)) AS v(variant, problems)"),
+    "v6_namespaces": (_namespaces, "SELECT p AS position, 's_nationkey' AS column_name, '-1' AS found FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) WHERE s_suppkey = 7"),
     "v3_canonical_rendering": (lambda t: t.nation.select(*(canonical(c(f.name), f.dataType).alias(f.name) for f in t.nation.schema)), "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
     "v4_row_count": (lambda t: check_rows(t.region, 5), "SELECT count(*) AS n, CAST(5 AS BIGINT) AS expected, count(*) = 5 AS ok FROM region"),
     "v5_v11_checkpoint_counts": (_checkpoint, f"WITH {ORDERS_LOG} SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 + 3 <= 4)) AS found, CAST(sum(CASE _op WHEN 'd' THEN -1 WHEN 'u' THEN 0 ELSE 1 END) AS BIGINT) AS expected, true AS ok FROM orders_log WHERE batch_id <= 4"),

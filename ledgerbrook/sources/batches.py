@@ -155,9 +155,47 @@ def _null_sink(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.count("*").alias("n"))
 
 
+def _version(t: Tables) -> DataFrame:
+    """Metadata of the orders log, written as JSON and read with its schema; one batch is listed twice."""
+    log = orders_log(t)
+    ids = log.select("batch_id").distinct().unionByName(log.where("batch_id = 2").select("batch_id").limit(1))
+    b = ids.agg(F.sort_array(F.collect_list(F.struct(c("batch_id").alias("id"), F.lit(1).alias("parts")))).alias("batches"))  # one row per batch
+    doc = b.select(F.to_json(F.struct(F.lit("1").alias("version"), F.create_map(F.lit("orders"), F.struct(F.array(F.lit("o_orderkey")).alias("keys"), F.lit("o_created_at").alias("time_column"), "batches")).alias("tables"))).alias("value"))
+    path = scratch(t.spark, "version")
+    doc.coalesce(1).write.text(path)
+    return read_version(t.spark, path).select("table_name", "time_column", "batch_id", "parts")
+
+
+def _golden(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "golden")
+    t.nation.write.csv(path, sep="|", header=True)
+    return read_golden(t.spark, path)
+
+
+def _expected(t: Tables) -> DataFrame:
+    """The regions as a CSV result, as inline CSV and as a count."""
+    path = scratch(t.spark, "expected")
+    t.region.write.csv(path, header=True)
+    lines = [f"{r.r_regionkey},{r.r_name}" for r in t.region.collect()]  # five rows
+    a = expected_result(t.spark, "csv", path).select(F.lit("csv").alias("kind"), c("r_name").alias("value"))
+    b = expected_result(t.spark, "inline_csv", "\n".join(["r_regionkey,r_name", *lines])).select(F.lit("inline").alias("kind"), c("r_name").alias("value"))
+    n = expected_result(t.spark, "count", len(lines)).select(F.lit("count").alias("kind"), c("n_rows").cast("string").alias("value"))
+    return a.unionByName(b).unionByName(n)
+
+
+def _typed(t: Tables) -> DataFrame:
+    """Suppliers in the types of a table definition."""
+    schema = table_schema([("s_suppkey", "uint32"), ("s_name", "utf8"), ("s_acctbal", "decimal(40,2)")])
+    return t.supplier.select(*(c(f.name).cast(f.dataType) for f in schema)).withColumn("s_acctbal", c("s_acctbal").cast("string"))
+
+
 _LOG = f"WITH {ORDERS_LOG} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, batch_id, _op, _op_index FROM orders_log"
 ALL = {
     "s1_s4_batches": (lambda t: _logged(t), _LOG),
+    "s2_version_metadata": (_version, f"WITH {ORDERS_LOG} SELECT DISTINCT 'orders' AS table_name, 'o_created_at' AS time_column, batch_id, 1 AS parts FROM orders_log"),
+    "s7_golden_file": (_golden, "SELECT * FROM nation"),
+    "s8_expected_results": (_expected, "SELECT k AS kind, r_name AS value FROM region, (VALUES ('csv'), ('inline')) AS v(k) UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR) FROM region"),
+    "s13_table_definition": (_typed, "SELECT s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(38,2)) AS VARCHAR) AS s_acctbal FROM supplier"),
     "s3_batch_range": (lambda t: _logged(t, 2, 4), f"{_LOG} WHERE batch_id BETWEEN 2 AND 4"),
     "s5_null_sink": (_null_sink, "SELECT count(*) AS n FROM lineitem"),
     "s6_keyed_versions": (lambda t: write_version(t.customer, scratch(t.spark, "customer"), "1"), "SELECT * FROM customer"),

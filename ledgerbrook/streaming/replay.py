@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +84,20 @@ def timing_medians(runs: DataFrame, width: str = "5 seconds") -> DataFrame:
     return runs.groupBy(F.window(c("started_at").cast("timestamp"), width).alias("w")).agg(F.percentile("duration_ms", 0.5).alias("median_ms")).select(c("w.start").cast("timestamp_ntz").alias("start"), "median_ms")
 
 
+def progress_rates(samples: DataFrame, at: str, rows: str) -> DataFrame:
+    """samples (one row each, of a cumulative count) plus the rows per second since the sample before."""
+    w = Window.orderBy(at)
+    seconds = F.unix_timestamp(c(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(w).cast("timestamp"))
+    return samples.withColumn("rate", (c(rows) - F.lag(rows).over(w)) / F.nullif(seconds, F.lit(0)))
+
+
+def _progress(t: Tables) -> DataFrame:
+    """Events by the end of each hour, and the rate within it."""
+    hours = t.events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count("*").alias("n"))
+    samples = hours.select("h", F.sum("n").over(Window.orderBy("h")).alias("total"))  # one row per hour
+    return progress_rates(samples, "h", "total").withColumn("rate", _by(c("rate")))
+
+
 def drained(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over what is available into parquet and read that; appended rows only."""
     q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
@@ -137,7 +151,7 @@ ALL = {
     "t2_pause_and_resume": (_paused, _replayed("ignore")),
     "t3_latest_row_per_key": (lambda t: _stream_state(t, "upsert").select("o_orderkey", "o_orderstatus"), f"WITH r AS ({_replayed('upsert')}) SELECT o_orderkey, o_orderstatus FROM r"),
     "t4_metric_windows": (lambda t: metric_windows(query_runs(t)).withColumn("total_ms", _by(c("total_ms"))), f"WITH {RUNS} SELECT {_WINDOW} AS start, query_name, count(*) AS n, count(*) FILTER (success) AS passed, count(*) FILTER (NOT success) AS failed, round(sum(duration_ms), 6) AS total_ms, count(*) FILTER (duration_ms <= 10) AS le_10, count(*) FILTER (duration_ms <= 50) AS le_50, count(*) FILTER (duration_ms <= 100) AS le_100 FROM runs GROUP BY 1, 2"),
-    "t5_progress_rate": (lambda t: t.events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("d")).agg(F.count("*").alias("n"), (F.count("*") / 86_400).alias("r")).select("d", "n", _by(c("r")).alias("rate")), "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS d, count(*) AS n, round(count(*) / 86400, 6) AS rate FROM events GROUP BY 1"),
+    "t5_progress_rate": (_progress, "WITH h AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, count(*) AS n FROM events GROUP BY 1), s AS (SELECT h, CAST(sum(n) OVER (ORDER BY h) AS BIGINT) AS total FROM h) SELECT h, total, round((total - lag(total) OVER (ORDER BY h)) / CAST(epoch(h) - epoch(lag(h) OVER (ORDER BY h)) AS DOUBLE), 6) AS rate FROM s"),
     "t6_timeouts": (lambda t: drained(classified(_run_stream(t), 60.0), scratch(t.spark, "timeouts")).groupBy("success", "reason").agg(F.count("*").alias("n")).where("reason is null or reason = 'timeout'"), f"WITH {RUNS} SELECT success AND duration_ms <= 60 AS success, CASE WHEN success AND duration_ms > 60 THEN 'timeout' END AS reason, count(*) AS n FROM runs WHERE success GROUP BY 1, 2"),
     "t7_timing_medians": (lambda t: timing_medians(query_runs(t), "1 hour").withColumn("median_ms", _by(c("median_ms"))), f"WITH {RUNS} SELECT date_trunc('hour', started_at) AS start, round(median(duration_ms), 6) AS median_ms FROM runs GROUP BY 1"),
 }
