@@ -20,15 +20,55 @@ def default_tokenizer() -> str:
 class Encoder:
     """text -> ids as little-endian uint32 bytes, equal to the tokenizer's own ids of the whole text.
 
-    The tokenizer drops white space and no token crosses it, so the pieces between ASCII white space are encoded one by
-    one and remembered, at most `most` at a time.
+    The tokenizer drops white space and no token crosses it, so the pieces between ASCII white space are encoded apart
+    and remembered, at most `most` at a time. Nor does a token cross from letters to a full stop or comma. New words of
+    letters alone are encoded many at once and told apart by the tokens that end a word.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.seen = Tokenizer.from_file(path), most, {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith("</w>")
+
+    def _apart(self, words: list[str]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            self.seen[w.encode()] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters only: together if each gives one word-ending token, else one by one."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        at = np.flatnonzero(self.ends[ids]) + 1
+        if len(at) != len(words) or at[-1] != len(ids) or not "".join(words).isascii() and any(len(w.lower()) != len(w) for w in words):
+            return self._apart(words)
+        data, begin = ids.tobytes(), 0
+        for w, end in zip(words, (4 * at).tolist(), strict=True):
+            self.seen[w.encode()] = data[begin:end]
+            begin = end
+
+    def _learn(self, pieces: set[bytes]) -> None:
+        seen, letters, others, marked = self.seen, set(), [], []
+        for p in pieces:
+            if p in seen:
+                continue
+            s = p.decode()
+            if s.isalpha():
+                letters.add(s)
+            elif s[-1] in ".," and s[:-1].isalpha():
+                marked.append((p, p[:-1], p[-1:]))
+                if p[:-1] not in seen:
+                    letters.add(s[:-1])
+            else:
+                others.append(s)
+        self._letters(list(letters))
+        self._apart(others + [m for m in (".", ",") if m.encode() not in seen])
+        for p, word, mark in marked:
+            seen[p] = seen[word] + seen[mark]
 
     def __call__(self, text: bytes | None) -> bytes:
         if not text:
@@ -39,9 +79,7 @@ class Encoder:
         except KeyError:
             if len(seen) > self.most:
                 seen.clear()
-            new = [p for p in set(pieces) if p not in seen]
-            for p, e in zip(new, self.tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-                seen[p] = np.array(e.ids, dtype="<u4").tobytes()
+            self._learn(set(pieces))
             return b"".join(map(seen.__getitem__, pieces))
 
 
