@@ -181,8 +181,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     found = components(links(classes, rows, percent, miss, block))
     own = F.coalesce("node", F.concat(F.lit(b"-"), F.coalesce(F.col("rid").cast("string"), F.lit("")).cast("binary"), F.col("rh").cast("string").cast("binary")))
     named = stored(marked.drop("signature").withColumn("node", own).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    firsts = named.groupBy("root").agg(F.min("rid").alias("component_id"))
-    return named.join(firsts, "root").select("rid", "rh", "n_shingles", "component_id", "root")
+    # only components of several rows meet in a join; their table is stored, so Spark sees its size and may split hot roots
+    firsts = stored(named.groupBy("root").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first", "n"), "firsts")
+    joined = named.join(firsts, F.col("root") == F.col("of"), "left")
+    return joined.select("rid", "rh", "n_shingles", F.when(F.col("n").isNull(), F.col("rid")).otherwise(F.col("first")).alias("component_id"), "root")
 
 
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
