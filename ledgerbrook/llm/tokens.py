@@ -59,7 +59,7 @@ class Encoder:
             s = p.decode()
             if s.isalpha():
                 letters.add(s)
-            elif s[-1] in ".," and s[:-1].isalpha():
+            elif s[-1] in ".," and s[:-1].isalpha() and s[-2] < "\u0250":  # letters in every version of Unicode
                 marked.append((p, p[:-1], p[-1:]))
                 if p[:-1] not in seen:
                     letters.add(s[:-1])
