@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.batches import scratch
 from .changelog import ORDERS_LOG, orders_log
 from .relational import Tables
 
@@ -142,6 +143,29 @@ def rows_for_bytes(df: DataFrame, most_bytes: int = 75 << 20) -> int:
     return max(1, int(most_bytes / max(width or 1, 1)))
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder once and read from there."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_by_bytes(df: DataFrame, order: list[str], width: Column, most_bytes: int = 75 << 20) -> DataFrame:
+    """df plus width and split, a number in order: every split has at most most_bytes, but for single larger rows.
+
+    Bytes are cut every most_bytes; a row that lies across a cut is a split alone. Bytes are summed up within ranges of
+    the order and shifted by the bytes before.
+    """
+    ranged = stored(df.withColumn("width", width.cast("long")).orderBy(*order).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy("__p").agg(F.sum("width").alias("__s"))
+    before = sums.select(c("__p").alias("__q"), (F.sum("__s").over(W.orderBy("__p")) - c("__s")).alias("__b"))  # one row per range
+    end = F.sum("width").over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + c("__b")
+    ends = ranged.join(F.broadcast(before), c("__p") == c("__q")).withColumn("__e", end)
+    cut = F.expr(f"(__e - width) div {int(most_bytes)}")
+    across = (F.expr(f"greatest(__e - 1, __e - width) div {int(most_bytes)}") != cut).cast("long")
+    return ends.withColumn("split", cut * 2 + across).drop("__p", "__q", "__b", "__e")
+
+
 def state_as_of(base: DataFrame | None, log: DataFrame, keys: list[str], batch: int, **options) -> DataFrame:
     return apply_changes(base, log.where(c("batch_id") <= batch), keys, **options)
 
@@ -176,6 +200,14 @@ b AS (SELECT o_orderkey AS k, min(_op_index) AS born FROM a WHERE {makes} GROUP
 SELECT {_COLS} FROM (SELECT a.*, row_number() OVER (PARTITION BY o_orderkey ORDER BY _op_index DESC) AS r FROM a JOIN b ON k = o_orderkey WHERE _op_index >= born AND _op <> 'd') WHERE r = 1"""
 
 
+_LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"]
+
+
+def _width() -> Column:
+    """Bytes of a lineitem as a line of text, of those columns whose text SQL gives alike."""
+    return F.octet_length(F.concat_ws("|", *_LINE)) + 1
+
+
 def _stamp():
     return F.lit("2024-02-01 00:00:00")
 
@@ -199,6 +231,7 @@ ALL = {
     "e16_freshness": (lambda t: freshness(t.events.select(c("ts").alias("__created_at")), _stamp()), "SELECT max(ts) AS last, CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') AS BIGINT) - CAST(floor(epoch(max(ts))) AS BIGINT) AS lag_s FROM events"),
     "e17_rebatched": (lambda t: rebatched(orders_log(t), "_op_index", F.floor(c("batch_id") / 3), 1000).groupBy(F.floor(c("batch_id") / 3).alias("interval"), "batch_no").count().groupBy("interval").agg(F.sum("count").alias("n"), (F.max("count") <= 1000).alias("capped")), f"WITH {ORDERS_LOG} SELECT CAST(batch_id // 3 AS BIGINT) AS interval, count(*) AS n, true AS capped FROM orders_log GROUP BY 1"),
     "e18_byte_bound": (lambda t: t.nation.agg(F.count("*").alias("n")).select((F.lit(rows_for_bytes(t.orders, 75 << 20)) > 1000).alias("many"), "n"), "SELECT true AS many, count(*) AS n FROM nation"),
+    "e18_byte_splits": (lambda t: split_by_bytes(t.lineitem, _LINE, _width(), 1 << 16).groupBy("split").agg(F.count("*").alias("n"), F.sum("width").alias("bytes")), "WITH x AS (SELECT w, CAST(sum(w) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM (SELECT *, strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1 AS w FROM lineitem)) SELECT (e - w) // 65536 * 2 + CASE WHEN (e - 1) // 65536 <> (e - w) // 65536 THEN 1 ELSE 0 END AS split, count(*) AS n, CAST(sum(w) AS BIGINT) AS bytes FROM x GROUP BY 1"),
     "e19_state_as_of": (lambda t: state_as_of(None, orders_log(t), ["o_orderkey"], 4), _replayed("ignore", "batch_id <= 4")),
     "e20_checkpoint_plan": (lambda t: checkpoint_plan(orders_log(t), 3).withColumn("kind", F.lit("log")).unionByName(checkpoint_plan(orders_log(t), 3, bootstrap=True).withColumn("kind", F.lit("bootstrap"))), f"WITH {ORDERS_LOG}, s AS (SELECT batch_id, dense_rank() OVER (ORDER BY batch_id) AS n FROM (SELECT DISTINCT batch_id FROM orders_log)) SELECT batch_id, CAST((n - 1) // 3 AS BIGINT) AS checkpoint, 'log' AS kind FROM s UNION ALL SELECT batch_id, CAST(CASE WHEN n = 1 THEN 0 ELSE (n - 2) // 3 + 1 END AS BIGINT), 'bootstrap' FROM s"),
 }
