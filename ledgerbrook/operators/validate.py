@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import canonical
+from ..plans.tpch import SQL
+from ..sources.batches import row_counts, scratch, write_snapshot
+from ..sources.tables import NAMES
 from .changelog import ORDERS_LOG, orders_log
 from .relational import Tables
-from .replay import net_rows, state_as_of
+from .replay import _replayed, apply_changes, checkpoint_plan, net_rows, state_as_of, stored
 from .runstats import RUNS, query_runs
 
 c = F.col
@@ -145,6 +149,73 @@ def _checkpoint(t: Tables) -> DataFrame:
     return reconcile(found, net)
 
 
+#: Catalogue queries that run on the state at each checkpoint.
+AT_CHECKPOINTS = ("h4_order_priority", "h13_customer_distribution", "h18_large_orders", "h22_sales_opportunity")
+_REST = ["o_orderkey", "o_orderdate", "o_orderpriority"]
+
+
+def state_results(t: Tables, state: DataFrame) -> dict[str, DataFrame]:
+    """The state of orders, and the catalogue queries with it for orders; what no log changes comes from the table."""
+    whole = state.join(t.orders.select(*_REST), "o_orderkey")
+    out = {"orders": state}
+    for query in AT_CHECKPOINTS:
+        for name in NAMES:
+            if re.search(rf"\b{name}\b", SQL[query]):
+                (whole if name == "orders" else getattr(t, name)).createOrReplaceTempView(name)
+        out[query] = t.spark.sql(SQL[query])
+    return out
+
+
+def checkpoint_bounds(log: DataFrame, every: int) -> dict[int, int]:
+    """The last batch of each checkpoint."""
+    return {r[0]: r[1] for r in checkpoint_plan(log, every).groupBy("checkpoint").agg(F.max("batch_id")).orderBy("checkpoint").collect()}  # one row per checkpoint
+
+
+def write_checkpoints(t: Tables, log: DataFrame, path: str, every: int) -> None:
+    """Snapshots of the results and their row counts at each checkpoint. The state goes on from the checkpoint before."""
+    state, done = None, -1
+    for checkpoint, bound in checkpoint_bounds(log, every).items():
+        state = stored(apply_changes(state, log.where((c("batch_id") > done) & (c("batch_id") <= bound)), ["o_orderkey"]), "state")
+        done = bound
+        results = {k: write_snapshot(df, path, f"cp{checkpoint}", k) for k, df in state_results(t, state).items()}
+        write_snapshot(row_counts(results), path, f"cp{checkpoint}", "row_counts")
+
+
+def verify_checkpoints(t: Tables, log: DataFrame, path: str, every: int) -> DataFrame:
+    """checkpoint, name, expected and found rows, differing cells and ok: the log replayed to each checkpoint at once, against the snapshots."""
+    out = None
+    for checkpoint, bound in checkpoint_bounds(log, every).items():
+        found = {k: stored(df, "found") for k, df in state_results(t, stored(state_as_of(None, log, ["o_orderkey"], bound), "state")).items()}
+        read = lambda k, at=checkpoint: t.spark.read.parquet(f"{path}/cp{at}/{k}")
+        wrong = None
+        for k, df in found.items():
+            order = ["o_orderkey"] if k == "orders" else df.columns
+            n = compare_results(read(k), df, order, 1e-9).agg(F.count("*").alias("differences")).select(F.lit(k).alias("table_name"), "differences")
+            n = stored(n, "compared")  # one plan for all of them would fill the driver
+            wrong = n if wrong is None else wrong.unionByName(n)
+        report = reconcile(row_counts(found), read("row_counts")).join(wrong, "table_name", "left")
+        report = report.select(F.lit(checkpoint).cast("long").alias("checkpoint"), c("table_name").alias("name"), "expected", "found", "differences", (c("ok") & c("differences").eqNullSafe(0)).alias("ok"))
+        out = report if out is None else out.unionByName(report)
+    return out
+
+
+def _verified(t: Tables) -> DataFrame:
+    log, path = stored(orders_log(t), "log"), scratch(t.spark, "snapshots")
+    write_checkpoints(t, log, path, 3)
+    return verify_checkpoints(t, log, path, 3)
+
+
+def _verified_sql() -> str:
+    """Row counts of the queries over the state by SQL's own replay; nothing differs."""
+    states, rows = [], []
+    for k in range(3):
+        states.append(f"s{k} AS (SELECT * FROM ({_replayed('ignore', f'batch_id <= {3 * k + 2}')}) JOIN (SELECT {', '.join(_REST)} FROM orders) USING (o_orderkey))")
+        for name in ("orders", *AT_CHECKPOINTS):
+            text = re.sub(r"\borders\b", f"s{k}", SQL.get(name, "SELECT * FROM orders"))
+            rows.append(f"SELECT CAST({k} AS BIGINT) AS checkpoint, '{name}' AS name, count(*) AS expected, count(*) AS found, CAST(0 AS BIGINT) AS differences, true AS ok FROM ({text})")
+    return f"WITH {', '.join(states)} {' UNION ALL '.join(rows)}"
+
+
 ALL = {
     "v1_compare_results": (lambda t: compare_results(t.customer, _broken(t), ["c_custkey"]).groupBy("column_name", "problem").agg(F.count("*").alias("n"), F.min("position").alias("first")), "SELECT 'c_acctbal' AS column_name, 'data mismatch' AS problem, count(*) AS n, min(p) AS first FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) WHERE c_custkey % 100 = 0 AND abs(c_acctbal * 0.5 + 10) > abs(c_acctbal) * 0.05"),
     "v2_schema_equivalence": (_schemas, "SELECT * FROM (VALUES ('same', 0), ('text', 1), ('flag', 1), ('short', 1)) AS v(variant, problems)"),
@@ -152,6 +223,7 @@ ALL = {
     "v3_canonical_rendering": (lambda t: t.nation.select(*(canonical(c(f.name), f.dataType).alias(f.name) for f in t.nation.schema)), "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
     "v4_row_count": (lambda t: check_rows(t.region, 5), "SELECT count(*) AS n, CAST(5 AS BIGINT) AS expected, count(*) = 5 AS ok FROM region"),
     "v5_v11_checkpoint_counts": (_checkpoint, f"WITH {ORDERS_LOG} SELECT 'orders' AS table_name, (SELECT count(*) FROM orders WHERE NOT (o_orderkey % 11 = 0 AND o_orderkey % 5 + 3 <= 4)) AS found, CAST(sum(CASE _op WHEN 'd' THEN -1 WHEN 'u' THEN 0 ELSE 1 END) AS BIGINT) AS expected, true AS ok FROM orders_log WHERE batch_id <= 4"),
+    "v11_checkpoint_verification": (_verified, _verified_sql()),
     "v7_snapshot_rows": (lambda t: compare_results(t.supplier.orderBy("s_suppkey").limit(10), t.supplier.orderBy(c("s_suppkey").desc()).limit(10), ["s_suppkey"], 0.0).where("column_name = 's_suppkey'").select("position", "expected", "found"), "WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS p, s_suppkey AS k FROM (SELECT * FROM supplier ORDER BY s_suppkey LIMIT 10)), b AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS p, s_suppkey AS k FROM (SELECT * FROM supplier ORDER BY s_suppkey DESC LIMIT 10)) SELECT p AS position, CAST(a.k AS VARCHAR) AS expected, CAST(b.k AS VARCHAR) AS found FROM a JOIN b USING (p) WHERE a.k <> b.k"),
     "v8_stable_counts": (lambda t: stable_counts(t.events.select(c("event_type").alias("query_name"), (c("event_id") % F.when(c("event_type") == "click", 2).otherwise(1)).alias("n_rows"))), "SELECT event_type AS query_name, min(event_id % CASE WHEN event_type = 'click' THEN 2 ELSE 1 END) = max(event_id % CASE WHEN event_type = 'click' THEN 2 ELSE 1 END) AS stable, count(*) AS n FROM events GROUP BY event_type"),
     "v9_outcomes": (lambda t: outcomes(query_runs(t)), f"WITH {RUNS} SELECT query_name, count(*) FILTER (success) AS passes, count(*) FILTER (NOT success) AS failures, arg_max(reason, {{'a': started_at, 'b': run_id}}) FILTER (NOT success) AS last_reason FROM runs GROUP BY query_name"),
