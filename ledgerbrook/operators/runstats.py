@@ -153,6 +153,7 @@ ALL = {
     "m13_flattened": (lambda t: flattened(t.events.select(_telemetry().alias("j")), "j").groupBy("resource", "scope", "name").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("at").alias("at")), "SELECT 'r' || (event_id % 3) AS resource, event_type AS scope, 'm' AS name, 2 * count(*) AS n, 3.5 * count(*) AS v, CAST(sum(2 * event_id + 1) AS BIGINT) AS at FROM events GROUP BY 1, 2"),
     "m14_histogram": (lambda t: histogram(query_runs(t), ["query_name"], "duration_ms", [10.0, 50.0, 100.0]), f"WITH {RUNS} SELECT query_name, CASE WHEN duration_ms <= 10 THEN 0 WHEN duration_ms <= 50 THEN 1 WHEN duration_ms <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM runs GROUP BY 1, 2"),
     "m15_parameter_sets": (lambda t: parameter_sets(t.part.where("p_size = 7"), "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part WHERE p_size = 7) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
+    "m15_parameter_sets_whole": (lambda t: parameter_sets(t.part, "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
     "m16_leaderboard": (lambda t: leaderboard(query_runs(t).groupBy("worker_id").agg(F.sum("duration_ms").alias("duration"), F.max("duration_ms").alias("p99"))).select("worker_id", "place"), f"WITH {RUNS} SELECT worker_id, CAST(rank() OVER (ORDER BY sum(duration_ms), max(duration_ms)) AS INT) AS place FROM runs GROUP BY worker_id"),
     "m17_queue_waits": (lambda t: _rounded(percentiles(query_runs(t), ["worker_id"], "duration_ms", [50, 95]), "p50", "p95"), f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY duration_ms) - 1 AS r, count(*) OVER (PARTITION BY worker_id) AS n FROM runs) SELECT worker_id, {_sql_percentile('', 50)} AS p50, {_sql_percentile('', 95)} AS p95 FROM k GROUP BY worker_id"),
     "m18_total_duration": (lambda t: query_runs(t).agg(F.round(F.sum("duration_ms"), 4).alias("total")), f"WITH {RUNS} SELECT round(sum(duration_ms), 4) AS total FROM runs"),
