@@ -15,15 +15,31 @@ c = F.col
 
 
 def schema_diff(df: DataFrame, expected: T.StructType) -> DataFrame:
-    """A row for each column that is missing, extra, retyped or of other nullability, with both sides."""
+    """A row for each column that is missing, extra, renamed (another name at its place), retyped or of other nullability: both sides, and n_rows.
+
+    n_rows counts the rows a problem concerns: all rows for a missing column, rows with a value for an extra or renamed
+    one, values that don't convert to the expected type, and nulls where none may be. One pass over the rows.
+    """
     have, want = {f.name: f for f in df.schema}, {f.name: f for f in expected}
-    rows = []
-    for name in sorted(have.keys() | want.keys()):
-        h, w = have.get(name), want.get(name)
-        kind = "extra" if w is None else "missing" if h is None else "type" if h.dataType != w.dataType else "nullability" if h.nullable != w.nullable else None
-        if kind:
-            rows.append((name, kind, w and w.dataType.simpleString(), h and h.dataType.simpleString()))
-    return df.sparkSession.createDataFrame(rows, "column_name string, problem string, expected string, found string")
+    renamed = {w.name: h for h, w in zip(df.schema, expected, strict=False) if h.name not in want and w.name not in have}
+    extra = have.keys() - want.keys() - {h.name for h in renamed.values()}
+    found = []
+    for name, w in want.items():
+        h = have.get(name)
+        if name in renamed:
+            found.append((name, "renamed", name, renamed[name].name, F.count(c(renamed[name].name))))
+        elif h is None:
+            found.append((name, "missing", w.dataType.simpleString(), None, F.count("*")))
+        elif h.dataType != w.dataType:
+            found.append((name, "type", w.dataType.simpleString(), h.dataType.simpleString(), F.count_if(c(name).isNotNull() & c(name).try_cast(w.dataType).isNull())))
+        elif h.nullable and not w.nullable:
+            found.append((name, "nullability", "not null", "null", F.count_if(c(name).isNull())))
+    found += [(name, "extra", None, have[name].dataType.simpleString(), F.count(c(name))) for name in sorted(extra)]
+    text = lambda x: F.lit(x).cast("string")
+    rows = F.array(*(F.struct(text(n).alias("column_name"), text(p).alias("problem"), text(e).alias("expected"), text(f).alias("found"), c(f"n{i}").alias("n_rows")) for i, (n, p, e, f, _) in enumerate(found)))
+    if not found:
+        return df.sparkSession.createDataFrame([], "column_name string, problem string, expected string, found string, n_rows long")
+    return df.agg(*(n.cast("long").alias(f"n{i}") for i, (*_, n) in enumerate(found))).select(F.inline(rows))
 
 
 def with_created_at(df: DataFrame, prefix: str) -> DataFrame:
@@ -137,10 +153,10 @@ def rebatched(df: DataFrame, order: str, interval: Column, rows: int = 32_768) -
     return ranged.withColumn("batch_no", F.concat_ws("-", c("__i").cast("string"), c("__p").cast("string"), F.floor(place / rows).cast("string"))).drop("__i", "__p")
 
 
-def rows_for_bytes(df: DataFrame, most_bytes: int = 75 << 20) -> int:
-    """Rows per file so that files stay near most_bytes, from the mean width of the rows as JSON."""
-    n, width = df.agg(F.count("*"), F.avg(F.octet_length(F.to_json(F.struct(*df.columns))))).first()
-    return max(1, int(most_bytes / max(width or 1, 1)))
+def rows_for_bytes(df: DataFrame, most_bytes: int = 75 << 20, width: Column | None = None) -> int:
+    """Rows per file so that files stay near most_bytes, from the mean width of the rows (as JSON, where none is given)."""
+    mean = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns))) if width is None else width)).first()[0]
+    return max(1, int(most_bytes / max(mean or 1, 1)))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -208,13 +224,30 @@ def _width() -> Column:
     return F.octet_length(F.concat_ws("|", *_LINE)) + 1
 
 
+_ORDERS = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType(), False), T.StructField("o_orderstatus", T.StringType()), T.StructField("o_totalprice", T.DoubleType()), T.StructField("o_orderpriority", T.StringType())])
+
+
+def _drifted(t: Tables) -> DataFrame:
+    """Orders after a change of their source: a column renamed, one gone, prices as text, some of them no numbers, and customers left out."""
+    key = c("o_orderkey")
+    return t.orders.select(
+        "o_orderkey", F.when(key % 7 != 0, c("o_custkey")).alias("o_custkey"), c("o_orderstatus").alias("status"),
+        F.when(key % 5 == 0, "n/a").otherwise(c("o_totalprice").cast("string")).alias("o_totalprice"))
+
+
+_DRIFTED = """SELECT 'o_custkey' AS column_name, 'nullability' AS problem, 'not null' AS expected, 'null' AS found, count(*) FILTER (o_orderkey % 7 = 0 OR o_custkey IS NULL) AS n_rows FROM orders
+UNION ALL SELECT 'o_orderstatus', 'renamed', 'o_orderstatus', 'status', count(o_orderstatus) FROM orders
+UNION ALL SELECT 'o_totalprice', 'type', 'double', 'string', count(*) FILTER (o_orderkey % 5 = 0) FROM orders
+UNION ALL SELECT 'o_orderpriority', 'missing', 'string', NULL, count(*) FROM orders"""
+
+
 def _stamp():
     return F.lit("2024-02-01 00:00:00")
 
 
 ALL = {
-    "e1_schema_diff": (lambda t: schema_diff(t.nation.withColumnRenamed("n_name", "name"), T.StructType([T.StructField("n_nationkey", T.LongType()), T.StructField("n_name", T.StringType()), T.StructField("n_regionkey", T.IntegerType())])), "SELECT * FROM (VALUES ('n_name', 'missing', 'string', NULL), ('n_nationkey', 'type', 'bigint', 'int'), ('name', 'extra', NULL, 'string')) AS v(column_name, problem, expected, found)"),
-    "e2_time_column": (lambda t: with_created_at(t.supplier, "s").select("s_suppkey", c("s_created_at").isNotNull().alias("there")), "SELECT s_suppkey, true AS there FROM supplier"),
+    "e1_schema_diff": (lambda t: schema_diff(_drifted(t), _ORDERS), _DRIFTED),
+    "e2_time_column": (lambda t: with_created_at(t.lineitem, "l").agg(F.count("l_created_at").alias("n"), (F.min("l_created_at") == F.max("l_created_at")).alias("one"), F.bool_and(F.abs(F.unix_timestamp("l_created_at") - F.unix_timestamp(F.current_timestamp())) < 86_400).alias("now")), "SELECT count(*) AS n, true AS one, true AS now FROM lineitem"),
     "e3_e4_stamp_and_strip": (lambda t: stripped(stamped(orders_log(t).where("batch_id = 2"), _stamp())), f"WITH {ORDERS_LOG} SELECT {_COLS}, batch_id, TIMESTAMP '2024-02-01 00:00:00' AS __created_at FROM orders_log WHERE batch_id = 2"),
     "e3_e4_stamp_and_strip_whole": (lambda t: stripped(stamped(orders_log(t), _stamp())), f"WITH {ORDERS_LOG} SELECT {_COLS}, batch_id, TIMESTAMP '2024-02-01 00:00:00' AS __created_at FROM orders_log"),
     "e5_segments": (lambda t: segments(orders_log(t)), f"WITH {ORDERS_LOG}, x AS (SELECT *, CASE WHEN _op IS NOT DISTINCT FROM lag(_op) OVER (PARTITION BY batch_id ORDER BY _op_index) THEN 0 ELSE 1 END AS new FROM orders_log), y AS (SELECT *, CAST(sum(new) OVER (PARTITION BY batch_id ORDER BY _op_index ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM x) SELECT batch_id, segment, _op, min(_op_index) AS first, max(_op_index) AS last, count(*) AS n FROM y GROUP BY batch_id, segment, _op"),
@@ -232,7 +265,7 @@ ALL = {
     "e15_net_rows": (lambda t: net_rows(orders_log(t), ["batch_id"]), f"WITH {ORDERS_LOG} SELECT batch_id, CAST(greatest(sum(CASE _op WHEN 'd' THEN -1 WHEN 'u' THEN 0 ELSE 1 END), 0) AS BIGINT) AS net FROM orders_log GROUP BY batch_id"),
     "e16_freshness": (lambda t: freshness(t.events.select(c("ts").alias("__created_at")), _stamp()), "SELECT max(ts) AS last, CAST(epoch(TIMESTAMP '2024-02-01 00:00:00') AS BIGINT) - CAST(floor(epoch(max(ts))) AS BIGINT) AS lag_s FROM events"),
     "e17_rebatched": (lambda t: rebatched(orders_log(t), "_op_index", F.floor(c("batch_id") / 3), 1000).groupBy(F.floor(c("batch_id") / 3).alias("interval"), "batch_no").count().groupBy("interval").agg(F.sum("count").alias("n"), (F.max("count") <= 1000).alias("capped")), f"WITH {ORDERS_LOG} SELECT CAST(batch_id // 3 AS BIGINT) AS interval, count(*) AS n, true AS capped FROM orders_log GROUP BY 1"),
-    "e18_byte_bound": (lambda t: t.nation.agg(F.count("*").alias("n")).select((F.lit(rows_for_bytes(t.orders, 75 << 20)) > 1000).alias("many"), "n"), "SELECT true AS many, count(*) AS n FROM nation"),
+    "e18_byte_bound": (lambda t: t.lineitem.agg(F.count("*").alias("n")).select(F.lit(rows_for_bytes(t.lineitem, 75 << 20, _width())).cast("long").alias("rows_per_file"), "n"), "SELECT CAST(floor(78643200 / avg(strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1)) AS BIGINT) AS rows_per_file, count(*) AS n FROM lineitem"),
     "e18_byte_splits": (lambda t: split_by_bytes(t.lineitem, _LINE, _width(), 1 << 16).groupBy("split").agg(F.count("*").alias("n"), F.sum("width").alias("bytes")), "WITH x AS (SELECT w, CAST(sum(w) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM (SELECT *, strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1 AS w FROM lineitem)) SELECT (e - w) // 65536 * 2 + CASE WHEN (e - 1) // 65536 <> (e - w) // 65536 THEN 1 ELSE 0 END AS split, count(*) AS n, CAST(sum(w) AS BIGINT) AS bytes FROM x GROUP BY 1"),
     "e19_state_as_of": (lambda t: state_as_of(None, orders_log(t), ["o_orderkey"], 4), _replayed("ignore", "batch_id <= 4")),
     "e20_checkpoint_plan": (lambda t: checkpoint_plan(orders_log(t), 3).withColumn("kind", F.lit("log")).unionByName(checkpoint_plan(orders_log(t), 3, bootstrap=True).withColumn("kind", F.lit("bootstrap"))), f"WITH {ORDERS_LOG}, s AS (SELECT batch_id, dense_rank() OVER (ORDER BY batch_id) AS n FROM (SELECT DISTINCT batch_id FROM orders_log)) SELECT batch_id, CAST((n - 1) // 3 AS BIGINT) AS checkpoint, 'log' AS kind FROM s UNION ALL SELECT batch_id, CAST(CASE WHEN n = 1 THEN 0 ELSE (n - 2) // 3 + 1 END AS BIGINT), 'bootstrap' FROM s"),

@@ -120,6 +120,37 @@ def test_comparison_finds_planted_errors(spark):
     assert validate.compare_results(a, a.withColumn("x", F.lit(True)), ["k"]).first().problem.startswith(validate.SCHEMA)
 
 
+def test_positions_are_gapless_however_ranges_are_cut(spark):
+    """Runs of a sort may be coalesced in other ways; positions must not depend on that."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        df = spark.range(300_000).select(F.pmod(F.xxhash64("id"), F.lit(1000)).alias("k"), "id", F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("pad"))
+        got = validate.numbered(df, ["k", "id"]).agg(F.count("*"), F.countDistinct("position"), F.min("position"), F.max("position")).first()
+        assert tuple(got) == (300_000, 300_000, 0, 299_999)
+        assert validate.compare_results(df, df.repartition(7), ["k", "id"]).count() == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize(("expected", "found", "fine"), [("bigint", "string", True), ("string", "bigint", False), ("string", "timestamp", False), ("float", "double", True), ("double", "float", False), ("decimal(38,4)", "decimal(38,0)", True), ("timestamp", "timestamp_ntz", True), ("date", "timestamp", False), ("int", "smallint", False)])
+def test_schema_equivalence_is_asymmetric(expected, found, fine):
+    made = [T.StructType.fromDDL(f"x {kind}") for kind in (expected, found)]
+    assert (validate.schema_problems(*made) == []) is fine
+
+
+def test_schema_diff_counts_rows(spark):
+    want = T.StructType([T.StructField("a", T.LongType(), False), T.StructField("b", T.IntegerType()), T.StructField("gone", T.StringType())])
+    df = spark.createDataFrame([(1, "3", None), (None, "x", 2.5), (2, None, 1.5)], "a long, b string, other double")
+    got = {(r.column_name, r.problem, r.n_rows) for r in replay.schema_diff(df, want).collect()}
+    assert got == {("a", "nullability", 1), ("b", "type", 1), ("gone", "renamed", 2)}
+    assert replay.schema_diff(df, df.schema).collect() == [] and replay.schema_diff(df.limit(0), want).count() == 3
+    assert {r.problem for r in replay.schema_diff(df.drop("other"), want).collect()} == {"nullability", "type", "missing"}
+
+
 def test_expected_results_and_metadata(spark, tmp_path):
     (tmp_path / "g.csv").write_text("a|b\n1|x\n2|y\n")
     (tmp_path / "v.json").write_text('{"version": "3", "tables": {"t": {"keys": ["k"], "time_column": "ts", "batches": [{"id": 0, "parts": 1}, {"id": 1, "parts": 2}, {"id": 1, "parts": 2}]}}}')
