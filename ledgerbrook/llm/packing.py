@@ -91,8 +91,8 @@ def pack(docs: DataFrame, capacity: int = 2048, text_col: str = "text", tokenize
         for batch in batches:
             empty = batch.slice(0, 0)
             which, cols, size = [], [[] for _ in schema], 0
-            for i, text in enumerate(utf8(batch, "__text")):
-                ids = encode(text) + END
+            for i, ids in enumerate(encode(utf8(batch, "__text"))):
+                ids += END
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + capacity)]
                     b, offset = fit.place(len(own) // 4)

@@ -105,8 +105,8 @@ def token_matrix(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id",
 
         for batch in batches:
             kind = batch.column(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), utf8(batch, "text"), strict=True):
-                ids = encode(text) + END
+            for doc, ids in zip(batch.column(0).to_pylist(), encode(utf8(batch, "text")), strict=True):
+                ids += END
                 for k, start in enumerate(range(0, len(ids) // 4, capacity)):
                     held.append((doc, k, start, ids[4 * start : 4 * (start + capacity)]))
                 tokens += len(ids) // 4

@@ -15,8 +15,11 @@ def test_ids_equal_the_tokenizers(spark):
     texts = ODD + ["".join(rng.choice("ab é́\n\t 'sΣσ1.,-<|> ​") for _ in range(rng.randrange(40))) for _ in range(3000)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text]
     plain, ours = Tokenizer.from_file(path), Encoder(path, most=50)
-    for text, e in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(ours(text.encode()), "<u4").tolist() == e.ids, repr(text)
+    wide = "abcdefghijklmnopqrstuvwxyzéèêàâçñóíúüöäßøåæðþœšžłőǆAEIOÉÜ"
+    texts += [" ".join("".join(rng.choices(wide if i % 2 else wide[:26], k=rng.randrange(1, 16))) for _ in range(100)) for i in range(400)]
+    for text, e, ids in zip(texts, plain.encode_batch(texts, add_special_tokens=False), ours([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids, repr(text)
+    assert ours.words is not None and list(ours([])) == [] and list(ours([None, b""])) == [b"", b""]
 
 
 def test_bounded_best_fit_against_plain_search():
