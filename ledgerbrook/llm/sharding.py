@@ -3,32 +3,74 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-from .common import stored, table
-
-#: Light groups travel in so many bundles, so at most BUNDLES + 3 * BUNDLES units, and parts of split groups, are packed.
-BUNDLES = 4096
+from pyspark.sql import types as T
+
+from .common import arrow_type, fields, stored, table
+
+#: A group over 1/HEAVY of all bytes, tokens or rows is placed on the driver (at most 3 * HEAVY of them), all others in tasks.
+HEAVY = 4096
+#: Parts of a shard's share in which a heavy group is counted, so that it can be split where it must.
+FINE = 16
+#: A group this many times larger in one measure than in another, such as copies of a tiny text, is LOPSIDED: what else
+#: a shard holds can't make up for it, so it stays whole only up to this part of a shard.
+LOPSIDED, LOPSIDED_PART = 4, 1 / 8
+#: Weights of bytes, tokens and rows in the dot product. Bytes come first, since their law is the one that holds.
+WEIGHTS = np.array([1.0, 0.5, 0.5])
+#: Shards may exceed their equal share by this much before groups of less than a shard are split.
+SLACK = 0.01
+#: Light groups that one task places.
+TASK_GROUPS = 200_000
 #: Rows of a shard are numbered in so many runs side by side.
 RUNS = 1024
+PLACED = "a long, b long, shard int"
+
+
+class Shards:
+    """Residual capacities of shards (rows) in bytes, tokens and rows (columns), all scaled by an equal share."""
+
+    def __init__(self, residual: np.ndarray):
+        self.residual = residual.copy()
+
+    def place(self, size: np.ndarray) -> int:
+        """The shard where the dot product of a scaled size with the residual capacity is highest; ties go to the lowest."""
+        s = int(np.argmax(np.round((self.residual * WEIGHTS) @ size, 12)))
+        self.residual[s] -= size
+        return s
+
 
+def pack_vectors(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, Shards]:
+    """The shard of each vector (rows of scaled sizes), largest first, each where the dot product is highest; and what is left."""
+    packer, out = Shards(np.ones((shards, sizes.shape[1]))), np.zeros(len(sizes), dtype=np.int64)
+    for i in np.lexsort((np.arange(len(sizes)), -sizes.sum(axis=1), -sizes.max(axis=1, initial=0))):
+        out[i] = packer.place(sizes[i])
+    return out, packer
 
-def pack_vectors(sizes: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each vector (rows of sizes, 3 columns): largest first, each where the dot product with the residual capacity is highest.
 
-    Capacities are equal shares of each column's total. Vectors and residuals are scaled by the capacity, so the three
-    columns weigh the same. Ties go to the lowest shard.
+def pack_heavy(groups: list[np.ndarray], shards: int, slack: float = SLACK) -> tuple[list[np.ndarray], Shards]:
+    """The shard of each fine part of each heavy group (rows of scaled sizes), and what is left.
+
+    A group is split only where it is larger than a shard (lopsided: than a part of one), into as few pieces as that
+    takes. If shards would then exceed their share by more than `slack`, pieces of half the size are tried, and so on.
     """
-    capacity = np.maximum(sizes.sum(axis=0) / shards, 1e-9)
-    scaled = sizes / capacity
-    residual = np.ones((shards, sizes.shape[1]))
-    out = np.zeros(len(sizes), dtype=np.int64)
-    for i in np.lexsort((np.arange(len(sizes)), -scaled.sum(axis=1), -scaled.max(axis=1))):
-        out[i] = s = int(np.argmax(np.round(residual @ scaled[i], 12)))
-        residual[s] -= scaled[i]
-    return out
+    best, total = None, [g.sum(axis=0) for g in groups]
+    own = [LOPSIDED_PART if t.max() > LOPSIDED * t.min() else 1.0 for t in total]
+    limit = 1.0
+    while limit >= 1 / FINE:
+        cuts = [np.arange(len(g)) * max(1, min(len(g), int(np.ceil(t.max() / (limit * w) - 1e-9)))) // len(g) for g, t, w in zip(groups, total, own, strict=True)]
+        pieces = [np.stack([np.bincount(cut, weights=g[:, c]) for c in range(3)], axis=1) for g, cut in zip(groups, cuts, strict=True)]
+        place, packer = pack_vectors(np.concatenate(pieces), shards)
+        over = -packer.residual.min()
+        if best is None or over < best[0] - 1e-12:
+            ends = np.cumsum([len(x) for x in pieces])
+            best = over, [place[e - len(x) : e][cut] for e, x, cut in zip(ends, pieces, cuts, strict=True)], packer
+        if over <= slack:
+            break
+        limit /= 2
+    return best[1], best[2]
 
 
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,43 +81,60 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text, F.col(text_col).isNull()).alias("a"), F.xxhash64(F.lit("second"), text).alias("b"))
 
 
-def bundle() -> Column:
-    return F.pmod(F.col("a"), F.lit(BUNDLES)).cast("int")
-
-
 def part(parts: Column) -> Column:
     return F.pmod(F.xxhash64(F.col("id"), F.lit(7)), parts).cast("int")
 
 
+def place_light(groups: DataFrame, residual: np.ndarray, totals: list[float], tasks: int) -> DataFrame:
+    """PLACED of groups (a, b, size, tokens, n): each task streams its groups, largest first, onto its share of what is left."""
+    schema, whole = arrow_type(PLACED), np.array([max(t, 1) for t in totals], dtype=float) / len(residual)
+    share = [F.col(x) / F.lit(float(w)) for x, w in zip(("size", "tokens", "n"), whole, strict=True)]
+
+    def each(batches):
+        packer = Shards(residual / tasks)
+        for batch in batches:
+            sizes = np.stack([batch.column(i).to_numpy() for i in (2, 3, 4)], axis=1) / whole
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([packer.place(x) for x in sizes], type=pa.int32())], schema=schema)
+
+    dealt = groups.select("a", "b", "size", "tokens", "n").repartition(tasks, "a", "b")
+    return dealt.sortWithinPartitions(F.greatest(*share).desc(), "a", "b").mapInArrow(each, T.StructType(fields(PLACED)))
+
+
 def assign(rows: DataFrame, shards: int) -> DataFrame:
     """rows (of narrow) plus shard.
 
-    Equal texts are a group. A group that holds more than 1/BUNDLES of all bytes, tokens or rows is a unit of its own
-    (at most 3 * BUNDLES of them); if it holds more than 1/16 of a shard it is split in parts by a hash of the id. All
-    other groups travel whole in BUNDLES bundles by a hash of the text. Only units reach the driver (a bounded number,
-    whatever the input), and their shards go back by a broadcast of that size.
+    Equal texts are a group, and a group lies in one shard unless that is impossible: see pack_heavy. Groups of more than
+    1/HEAVY of all bytes, tokens or rows come to the driver first (a bounded number, whatever the input); all others
+    are placed one by one in tasks, each against its share of the capacity that is left, and join their rows by the
+    text's name.
     """
     spark = rows.sparkSession
-    totals = rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()
+    totals = [float(x or 0) for x in rows.agg(F.sum("size"), F.sum("tokens"), F.count("*")).first()]
     if not totals[2]:
         return rows.withColumn("shard", F.lit(0))
-    limit = [max(1, (t or 0) / BUNDLES) for t in totals]
     groups = stored(rows.groupBy("a", "b").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "groups")
-    is_heavy = (F.col("size") > limit[0]) | (F.col("tokens") > limit[1]) | (F.col("n") > limit[2])
-    share = F.greatest(*(F.col(c) / F.lit(max(t or 0, 1)) for c, t in zip(("size", "tokens", "n"), totals, strict=True))) * shards * 16
-    heavy = groups.where(is_heavy).select("a", "b", F.least(F.ceil(share), F.col("n"), F.lit(16 * shards)).cast("long").alias("parts"))
-    keyed = rows.join(F.broadcast(heavy), ["a", "b"], "left")
-    unit = keyed.select(F.when(F.col("parts").isNull(), F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), bundle().alias("k"))).otherwise(F.struct("a", "b", part(F.col("parts")).alias("k"))).alias("u"), F.col("parts").isNotNull().alias("alone"), "size", "tokens")
-    units = unit.groupBy("u", "alone").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).orderBy("alone", "u").collect()  # at most 4 * BUNDLES + 16 * 3 * 16 * shards rows
-    place = pack_vectors(np.array([[u.size, u.tokens, u.n] for u in units], dtype=float), shards)
-    found = spark.createDataFrame([(bool(u.alone), u.u.a, u.u.b, int(u.u.k), int(s)) for u, s in zip(units, place, strict=True)], "alone boolean, ua long, ub long, k int, shard int")
-    whole = [0] * BUNDLES
-    for u, s in zip(units, place, strict=True):
-        if not u.alone:
-            whole[u.u.k] = int(s)
-    own = found.where("alone").select(F.col("ua").alias("a"), F.col("ub").alias("b"), "k", F.col("shard").alias("own"))
-    out = keyed.withColumn("k", F.when(F.col("parts").isNotNull(), part(F.col("parts")))).join(F.broadcast(own), ["a", "b", "k"], "left")
-    return out.withColumn("shard", F.coalesce("own", F.element_at(F.from_json(F.lit(str(whole)), "array<int>"), bundle() + 1))).drop("parts", "k", "own")
+    of_all = [F.col(x) / F.lit(max(t, 1.0)) for x, t in zip(("size", "tokens", "n"), totals, strict=True)]
+    is_heavy = F.greatest(*of_all) > 1 / HEAVY
+    parts = F.least(F.ceil(F.greatest(*of_all) * shards * FINE), F.col("n")).cast("long")
+    heavy = stored(groups.where(is_heavy).select("a", "b", F.greatest(parts, F.lit(1)).alias("parts")), "heavy")  # at most 3 * HEAVY rows
+    mine = rows.join(F.broadcast(heavy), ["a", "b"]).withColumn("k", part(F.col("parts")))
+    fine = mine.groupBy("a", "b", "k").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).orderBy("a", "b", "k").collect()  # at most 3 * (HEAVY + shards * FINE) rows
+    names, sizes = {}, []
+    for r in fine:
+        names.setdefault((r.a, r.b), []).append(r.k)
+        sizes.append([r.size, r.tokens, r.n])
+    scaled = np.array(sizes, dtype=float).reshape(-1, 3) * shards / np.maximum(totals, 1)
+    if names:
+        place, packer = pack_heavy(np.split(scaled, np.cumsum([len(k) for k in names.values()])[:-1]), shards)
+    else:
+        place, packer = [], Shards(np.ones((shards, 3)))
+    found = [(*name, int(k), int(s)) for (name, ks), at in zip(names.items(), place, strict=True) for k, s in zip(ks, at, strict=True)]
+    own = spark.createDataFrame(found, "a long, b long, k int, shard int")
+    light = groups.where(~is_heavy)
+    tasks = max(1, -(-light.count() // TASK_GROUPS))
+    others = stored(place_light(light, packer.residual, totals, tasks), "light")
+    first = mine.join(F.broadcast(own), ["a", "b", "k"]).select(*rows.columns, "shard")
+    return first.unionByName(rows.join(others, ["a", "b"]).select(*rows.columns, "shard"))
 
 
 def numbered(rows: DataFrame) -> DataFrame:
@@ -91,8 +150,9 @@ def numbered(rows: DataFrame) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, size, text_crc32, law (`bytes`), shard, slot, grown_shard (null).
 
-    Null text counts as empty with one byte; null and repeated ids are rows as any other; empty table: empty result.
-    Extra columns are ignored. The texts are read once; what follows works on rows of a few numbers.
+    Null text counts as empty with one byte, in a group of its own; null and repeated ids are rows as any other; texts may be of any
+    length; empty table: empty result. Extra columns are ignored. The texts are read once; what follows works on rows of a few numbers.
+    Equal texts share a shard, but for groups larger than one (or lopsided ones, see there) and those that must be cut to make shards near equal.
     """
     rows = stored(narrow(docs, id_col, text_col), "sizes")
     rows = numbered(stored(assign(rows, shards), "shards"))
