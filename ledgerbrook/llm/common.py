@@ -30,13 +30,25 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df to the shared folder once and read it from there: later steps neither recompute it nor need the executors that made it."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, small: DataFrame, key: str, name: str, how: str = "left", most: int = 200_000, salts: int = 32) -> DataFrame:
+    """rows joined with small (stored, one row per `name`, a few narrow columns) where rows.key = small.name; a key may hold most rows.
+
+    small is broadcast up to `most` rows; beyond, each of its rows meets the rows of its key in `salts` places.
+    """
+    if small.count() <= most:
+        return rows.join(F.broadcast(small), F.col(key) == F.col(name), how)
+    salt = F.pmod(F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith("map"))), F.lit(salts))
+    small = small.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("__r", salt).join(small, (F.col(key) == F.col(name)) & (F.col("__r") == F.col("__s")), how).drop("__r", "__s")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_map, arrow_type, fields, kept_names, mixed, rolling, shielded, stored, table, utf8, with_columns
+from .common import WordHashes, arrow_map, arrow_type, fields, kept_names, looked_up, mixed, rolling, shielded, stored, table, table_bytes, utf8, with_columns
 from .graph import components
 
 SHINGLE = 5
@@ -22,8 +22,12 @@ HASHES = BANDS * ROWS
 BATCH = 32
 #: A pair is pruned when its similarity reaches the threshold with less than this posterior probability.
 MISS = 1e-7
-#: Texts that one task compares with one another; larger groups are dealt in blocks, and each pair of blocks is a task's group.
-BLOCK = 1000
+#: Members of a bucket that meet its first one in one place.
+SALTED = 256
+#: Ids of texts to fetch are broadcast up to so many bytes.
+BROADCAST_BYTES = 16 << 20
+#: Texts, and bytes of text, that one task compares with one another; larger buckets are dealt in blocks, and each pair of blocks is a task's group.
+BLOCK, BLOCK_BYTES = 500, 8 << 20
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -82,36 +86,40 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
     return arrow_map(docs, SIGNED, each)
 
 
-def linked(nodes: list[bytes], sides: np.ndarray, sigs: np.ndarray, texts: list[bytes], percent: int, least: list[tuple[int, int]], hashes: WordHashes) -> list[tuple[bytes, bytes]]:
-    """Links that connect what all pairs of similarity >= percent connect, among the texts of one group.
+def possible(sizes: np.ndarray, sigs: np.ndarray, size: int, sig: np.ndarray, percent: int, least: list[tuple[int, int]]) -> np.ndarray:
+    """Which of some sets may be as similar to one as asked: by their sizes, then by signature batches, until a posterior rules them out."""
+    to = np.flatnonzero(100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size))
+    matches, done = np.zeros(len(to), dtype=np.int64), 0
+    for n, m in least:
+        matches += (sigs[to, done:n] == sig[done:n]).sum(axis=1)
+        keep = matches >= m
+        to, matches, done = to[keep], matches[keep], n
+    return to
 
-    Pairs of different sides are compared (of one side, if there is but one) that share a band. Sizes, then signature
-    batches prune them; the rest are counted exactly, all of a text's at once, unless they are connected already.
+
+def linked(nodes: list[bytes], sides: np.ndarray, roots: list[bytes], band: int, sigs: np.ndarray, texts: list[bytes], percent: int, least: list[tuple[int, int]], hashes: WordHashes) -> list[tuple[bytes, bytes]]:
+    """Links that, with those behind roots, connect what all pairs of similarity >= percent connect, among some texts of a bucket.
+
+    Pairs of different sides are compared (of one side, if there is but one) whose first common band is the bucket's.
+    Sizes, then signature batches prune them; the rest are counted exactly, all of a text's at once, unless they are
+    connected already.
     """
     g, sets = len(nodes), [shingles(t, hashes) for t in texts]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    bands = sigs.reshape(g, BANDS, ROWS).astype(np.uint64)
-    key = np.zeros((g, BANDS), dtype=np.uint64)
-    for i in range(ROWS):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i]
+    key = band_keys(sigs)
     both = len(set(sides.tolist())) > 1
     flat, owner = np.concatenate(sets), np.repeat(np.arange(g), sizes)
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    root, out = np.arange(g), []
+    root, out = np.unique(np.array(roots, dtype=object), return_inverse=True)[1], []
     for a in range(g):
         to = np.arange(a + 1, g)
         if both:
             to = to[sides[to] != sides[a]]
         to = to[root[to] != root[a]]
-        lo, hi = np.minimum(sizes[to], sizes[a]), np.maximum(sizes[to], sizes[a])
-        to = to[100 * lo >= percent * hi]
-        to = to[(key[to] == key[a]).any(axis=1)] if len(to) else to
-        matches, done = np.zeros(len(to), dtype=np.int64), 0
-        for n, m in least:
-            matches += (sigs[to, done:n] == sigs[a, done:n]).sum(axis=1)
-            keep = matches >= m
-            to, matches, done = to[keep], matches[keep], n
+        if len(to):
+            to = to[(key[to] == key[a]).argmax(axis=1) == band]
+            to = to[possible(sizes[to], sigs[to], int(sizes[a]), sigs[a], percent, least)]
         if not len(to):
             continue
         begin, end = np.searchsorted(flat, sets[a]), np.searchsorted(flat, sets[a], side="right")
@@ -124,46 +132,141 @@ def linked(nodes: list[bytes], sides: np.ndarray, sigs: np.ndarray, texts: list[
     return out
 
 
-def links(classes: DataFrame, texts: DataFrame, percent: int, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A column per band, equal where its rows are (by 64 bits)."""
+    bands = sigs.reshape(len(sigs), BANDS, ROWS).astype(np.uint64)
+    key = np.zeros((len(sigs), BANDS), dtype=np.uint64)
+    for i in range(ROWS):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, i]
+    return key
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """node and the text that stands for it, of nodes. Texts are shuffled only if the ids are too many to broadcast."""
+    of = texts.select(F.col("rid").alias("__i"), F.col("rh").alias("__h"), "text")
+    picked = stored(classes.join(nodes, "node").select("node", "rid", "rh"), "picked")
+    few = table_bytes(picked, "rid") <= BROADCAST_BYTES
+    own = of.join(F.broadcast(picked) if few else picked, F.col("rid").eqNullSafe(F.col("__i")) & (F.col("rh") == F.col("__h")))
+    return own.select("node", "text").dropDuplicates(["node"])
+
+
+def facing(pairs: DataFrame, payload: DataFrame, name: str) -> DataFrame:
+    """Rows for `streamed` of pairs (u, v): u's payload (node, and the column of that name) once for every SALTED of its partners, then theirs."""
+    many = stored(pairs.groupBy("u").agg(F.count("*").alias("n")).where(F.col("n") > SALTED).select(F.col("u").alias("of"), F.ceil(F.col("n") / SALTED).cast("int").alias("parts")), "hot")
+    dealt = looked_up(pairs, many, "u", "of").select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int").alias("salt"))
+    own = payload.select(F.col("node").alias("__n"), name)
+    heads = dealt.select("u", "salt").distinct().join(own, F.col("u") == F.col("__n")).select("u", "salt", F.lit(0).alias("role"), F.col("u").alias("node"), name)
+    members = dealt.join(own, F.col("v") == F.col("__n")).select("u", "salt", F.lit(1).alias("role"), F.col("v").alias("node"), name)
+    return heads.unionByName(members).repartition("u", "salt").sortWithinPartitions("u", "salt", "role")
+
+
+def streamed(rows: DataFrame, name: str, start, judge) -> DataFrame:
+    """Pairs (u, v) that judge(start(u's values), values of partners) finds, of rows from `facing`; a task holds one u and a batch."""
+    schema = arrow_type(LINKS)
+
+    def each(batches):
+        judged, u, head = judge(), None, None
+        for batch in batches:
+            us, roles, nodes = (batch.column(i).to_pylist() for i in (0, 2, 3))
+            values = utf8(batch, name)
+            salts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(us):
+                if roles[at] == 0:
+                    u, head = us[at], start(values[at])
+                    at += 1
+                    continue
+                end = at
+                while end < len(us) and roles[end] == 1 and us[end] == us[at] and salts[end] == salts[at]:
+                    end += 1
+                found = [nodes[at + i] for i in judged(head, values[at:end])]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([u] * len(found), type=pa.binary()), pa.array(found, type=pa.binary())], schema=schema)
+                at = end
+
+    return rows.mapInArrow(each, T.StructType(fields(LINKS)))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, own: DataFrame, percent: int, least: list[tuple[int, int]]) -> DataFrame:
+    """Those of pairs (u, v) with similarity >= percent: pruned by size and signature batches, then counted on the full sets of own (node, text)."""
+
+    def sketch(value: bytes):
+        return int.from_bytes(value[:8]), np.frombuffer(value, dtype=np.uint32, offset=8)
+
+    def by_signature():
+        def judged(head, values):
+            sizes = np.array([sketch(v)[0] for v in values])
+            return possible(sizes, np.stack([sketch(v)[1] for v in values]), *head, percent, least).tolist()
+
+        return judged
+
+    def exact():
+        hashes = WordHashes()
+
+        def judged(head, values):
+            mine = shingles(head, hashes)
+            for i, text in enumerate(values):
+                other = shingles(text, hashes)
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                    yield i
+
+        return judged
+
+    left = stored(streamed(facing(pairs, classes, "sketch"), "sketch", sketch, by_signature), "possible")
+    return stored(streamed(facing(left, own, "text"), "text", lambda text: text, exact), "links")
+
+
+def links(classes: DataFrame, texts: DataFrame, percent: int, miss: float = MISS, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of classes at similarity >= percent / 100.
 
-    classes: node, signature, rid, rh (the row that stands for it); texts: rid, rh, text. Bands of hot texts meet in
-    partial aggregates and in joins that Spark may split. Texts that share bands form groups; a group of more than
-    `block` is dealt in blocks by hash, and each pair of blocks is compared apart, so a task holds 2 * block texts.
+    classes: node, signature, sketch (size and signature), bytes (of text), rid, rh (the row that stands for it); texts:
+    rid, rh, text. Texts with an equal band are a bucket. First each meets the bucket's smallest, so that a group of near
+    copies comes together in one step without its pairs. Only buckets whose members verified links haven't joined go
+    on: there, all pairs of different components are compared, in blocks of bounded rows and bytes.
     """
+    least, schema = least_matches(percent / 100, miss), arrow_type(LINKS)
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("signature", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
-    rows = classes.select("node", F.explode(bands).alias("band"))
+    rows = classes.select("node", F.posexplode(bands).alias("i", "band"))
     shared = rows.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("other")).where("first <> other").select("band", "first")
-    star = stored(rows.join(shared, "band").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "band-pairs")
-    groups = stored(components(star), "band-groups")
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    deal = groups.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
-    pairs = deal.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "own", F.struct("root", F.least("own", "i").alias("i"), F.greatest("own", "i").alias("j")).alias("task"))
-    members = classes.join(groups.select("node"), "node").join(texts.select(F.col("rid").alias("__i"), F.col("rh").alias("__h"), "text"), F.col("rid").eqNullSafe(F.col("__i")) & (F.col("rh") == F.col("__h"))).dropDuplicates(["node"]).select("node", "signature", "text")
-    dealt = pairs.join(members, "node").select(F.xxhash64("task").alias("t"), "task", "node", "own", "signature", "text")
-    least, schema = least_matches(percent / 100, miss), arrow_type(LINKS)
+    buckets = stored(rows.join(shared, "band"), "buckets")
+    star = stored(buckets.where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v")).distinct(), "band-pairs")
+    own = stored(texts_of(buckets.select("node").distinct(), classes, texts), "candidates")
+    near = verified(star, classes, own, percent, least)
+
+    found = stored(components(near), "near").select(F.col("node").alias("__n"), F.col("root").alias("__r"))
+    parts = stored(buckets.join(found, F.col("node") == F.col("__n"), "left").select("i", "band", "node", F.coalesce("__r", "node").alias("root")), "parts")
+    apart = parts.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+    rest = stored(parts.join(apart, "band"), "apart")
+    sized = rest.join(classes.select("node", "bytes"), "node")
+    sizes = stored(sized.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("bytes") / block_bytes)).cast("int").alias("blocks")).select(F.col("band").alias("of"), "blocks"), "blocks")
+    deal = looked_up(rest, sizes, "band", "of", "inner").withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = deal.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(F.struct("band", F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y")).alias("task"), "i", "own", "node", "root")
+    members = classes.select("node", "signature").join(own, "node")
+    dealt = dealt.join(members, "node").select(F.xxhash64("task").alias("t"), "task", "i", "own", "node", "root", "signature", "text")
 
     def each(batches):
         hashes, task, held = WordHashes(), None, []
 
         def done():
             if len(held) > 1:
-                nodes, sides, sigs, own = zip(*held, strict=True)
-                found = linked(list(nodes), np.array(sides), np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(nodes), HASHES), list(own), percent, least, hashes)
-                if found:
-                    return [pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*found, strict=True)], schema=schema)]
+                band, sides, nodes, roots, sigs, own = zip(*held, strict=True)
+                new = linked(list(nodes), np.array(sides), list(roots), band[0], np.frombuffer(b"".join(sigs), dtype=np.uint32).reshape(len(nodes), HASHES), list(own), percent, least, hashes)
+                if new:
+                    return [pa.RecordBatch.from_arrays([pa.array(c, type=pa.binary()) for c in zip(*new, strict=True)], schema=schema)]
             return []
 
         for batch in batches:
             tasks = zip(*(batch.column(1).field(i).to_pylist() for i in range(3)), strict=True)
-            for key, node, side, sig, text in zip(tasks, batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), utf8(batch, "text"), strict=True):
+            for key, *row in zip(tasks, *(batch.column(i).to_pylist() for i in range(2, 7)), utf8(batch, "text"), strict=True):
                 if key != task:
                     yield from done()
                     task, held = key, []
-                held.append((node, side, sig, text))
+                held.append(row)
         yield from done()
 
-    return stored(dealt.repartition("t").sortWithinPartitions("t", "task").mapInArrow(each, T.StructType(fields(LINKS))), "links")
+    more = stored(dealt.repartition("t").sortWithinPartitions("t", "task").mapInArrow(each, T.StructType(fields(LINKS))), "more-links")
+    return near.unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS, block: int = BLOCK) -> DataFrame:
@@ -171,19 +274,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 
     Texts with equal shingle sets are one class from the start; classes link at similarity >= percent / 100. Rows
     without words are linked with nothing. component_id is the smallest id in the component (null ids count last).
-    Repeated rows share a class; equal ids with different texts are different documents. Empty table: empty result.
+    Repeated rows share a class; equal ids with different texts are different documents. Texts may be of any length; memory
+    grows with the longest. Empty table: empty result.
     """
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("rid"), text.alias("text"), F.xxhash64(text).alias("rh"))
-    marked = stored(signed(rows, "text").drop("text"), "signatures")
-    one = marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("rid", "rh", "signature")).alias("x"))
-    classes = stored(one.select("node", "x.*"), "classes")
+    marked = stored(signed(rows.withColumn("bytes", F.octet_length("text")), "text").drop("text"), "signatures")
+    one = marked.where(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("rid", "rh", "n_shingles", "signature", "bytes")).alias("x"))
+    size = F.unhex(F.lpad(F.hex("x.n_shingles"), 16, "0"))
+    classes = stored(one.select("node", "x.rid", "x.rh", "x.signature", "x.bytes", F.concat(size, "x.signature").alias("sketch")), "classes")
     found = components(links(classes, rows, percent, miss, block))
     own = F.coalesce("node", F.concat(F.lit(b"-"), F.coalesce(F.col("rid").cast("string"), F.lit("")).cast("binary"), F.col("rh").cast("string").cast("binary")))
-    named = stored(marked.drop("signature").withColumn("node", own).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    # only components of several rows meet in a join; their table is stored, so Spark sees its size and may split hot roots
+    named = stored(marked.drop("signature", "bytes").withColumn("node", own).join(found, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     firsts = stored(named.groupBy("root").agg(F.min("rid").alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("of"), "first", "n"), "firsts")
-    joined = named.join(firsts, F.col("root") == F.col("of"), "left")
+    joined = looked_up(named, firsts, "root", "of")  # only components of several rows
     return joined.select("rid", "rh", "n_shingles", F.when(F.col("n").isNull(), F.col("rid")).otherwise(F.col("first")).alias("component_id"), "root")
 
 

@@ -121,5 +121,5 @@ def token_matrix(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id",
 
 def op6_token_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrices are written to the shared folder; the query reads them back."""
-    rows = stored(token_matrix(table(spark, sf_dir, "documents")), "token-matrix")
+    rows = stored(token_matrix(table(spark, sf_dir, "documents")), "token-matrix", **{"parquet.block.size": str(16 << 20)})  # rows are wide: small row groups keep writers small
     return rows.select("sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
