@@ -38,7 +38,7 @@ ALL = {
     "f2_concat": (lambda t: t.supplier.select("s_suppkey", F.concat(F.lit("store "), "s_name").alias("x")), "SELECT s_suppkey, 'store ' || s_name AS x FROM supplier"),
     "f3_upper": (lambda t: t.part.select("p_partkey", F.upper("p_name").alias("x")), "SELECT p_partkey, upper(p_name) AS x FROM part"),
     "f4_length": (lambda t: t.documents.select("doc_id", F.length("text").cast("long").alias("n")), "SELECT doc_id, length(text) AS n FROM documents"),
-    "f5_regexp_replace": (lambda t: t.pages.select("page_id", F.regexp_replace("url", r"^https?://([^/]+)/.*$", "$1").alias("host")), r"SELECT page_id, regexp_replace(url, '^https?://([^/]+)/.*$', '\1', 's') AS host FROM pages"),
+    "f5_regexp_replace": (lambda t: t.events.select("event_id", F.regexp_replace("props", r"(\w+)\W+(\d+)", "$2 of $1").alias("turned")), r"SELECT event_id, regexp_replace(props, '(\w+)\W+(\d+)', '\2 of \1', 'g') AS turned FROM events"),
     "f6_extract": (lambda t: t.events.select("event_id", F.year("ts").alias("y"), F.minute("ts").alias("m")), "SELECT event_id, CAST(year(ts) AS INT) AS y, CAST(minute(ts) AS INT) AS m FROM events"),
     "f7_date_trunc": (lambda t: t.events.select("event_id", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("m")), "SELECT event_id, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS m FROM events"),
     "f8_from_epoch": (lambda t: t.events.select("event_id", F.timestamp_seconds(c("event_id") * 60).cast("timestamp_ntz").alias("at")), "SELECT event_id, CAST(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(event_id * 60) AS TIMESTAMP) AS at FROM events"),

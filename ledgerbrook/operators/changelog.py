@@ -37,14 +37,14 @@ def birth_steps(base: DataFrame, keys: list[str], steps: int, draw: Callable[...
     return base.withColumn("step", step.cast("int"))
 
 
-def step_rates(creates: dict[int, int], steps: range, updates: Callable[[int], int], deletes: Callable[[int], int], live: int = 0) -> dict[int, tuple[int, int]]:
-    """For each step, the chance (per million) that a live key is updated and deleted, from the counts wanted.
+def step_rates(creates: dict[int, int], steps: range, wanted: Callable[[int, int], tuple[int, int]], live: int = 0) -> dict[int, tuple[int, int]]:
+    """For each step, the chance (per million) that a live key is updated and deleted.
 
-    Counts that exceed the live keys are scaled down together.
+    wanted(step, live keys) gives the counts; those that exceed the live keys are scaled down together.
     """
     out = {}
     for s in steps:
-        u, d = updates(s), deletes(s)
+        u, d = wanted(s, live)
         if u + d > live > 0:
             u, d = u * live // (u + d), d * live // (u + d)
         out[s] = (1_000_000 * u // live, 1_000_000 * d // live) if live else (0, 0)
@@ -72,8 +72,10 @@ def random_payload(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
         if f.name in (*keys, "step", "_op", "_op_index"):
             continue
         h = F.xxhash64(*(c(k) for k in keys), c("step"), F.lit(f.name), F.lit(seed))
-        if isinstance(f.dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-            v = F.pmod(h, F.lit(100))
+        if isinstance(f.dataType, (T.ByteType, T.ShortType)):
+            v = F.pmod(h, F.lit(99)) + 1
+        elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
+            v = F.pmod(h, F.lit(999_999 if isinstance(f.dataType, T.IntegerType) else 999_999_999)) + 1
         elif isinstance(f.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
             v = F.pmod(h, F.lit(10_000_000)) / 10_000
         elif isinstance(f.dataType, T.DateType):
@@ -98,20 +100,24 @@ def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio:
     """The change log of base: its columns, batch_id, _op and _op_index. Delete rows hold the key and nulls.
 
     Each step updates round(update_ratio * creates) and deletes round(delete_ratio * creates) live keys, give or take a
-    quarter by hash and chance. bootstrap: all rows are created in step 0, then mutation_steps steps change about `churn` of them.
+    quarter by hash and chance. bootstrap: all rows are created in step 0; then each of mutation_steps steps changes
+    round(live keys * churn / mutation_steps), by chance, with no jitter, updates and deletes in the proportion of their ratios.
     """
     draw = hashed(seed)
     born = birth_steps(base, keys, steps, draw, dimension or bootstrap)
     creates = {r[0]: r[1] for r in born.groupBy("step").count().collect()}  # one row per step
     jitter = lambda s, what: 0.75 + (s * 7919 + what * 104_729 + seed * 31) % 1000 / 2000
     if bootstrap:
-        n = sum(creates.values())
-        each = n * churn / max(mutation_steps, 1)
-        total = (update_ratio + delete_ratio) or 1
-        u, d = (update_ratio / total, delete_ratio / total) if update_ratio + delete_ratio else (1.0, 0.0)
-        rates = step_rates({}, range(1, 1 + mutation_steps), lambda s: round(each * u * jitter(s, 1)), lambda s: round(each * d * jitter(s, 2)), n)
+        total = update_ratio + delete_ratio
+        weight = update_ratio / total if total > 0 else 1.0
+
+        def churned(step: int, live: int) -> tuple[int, int]:
+            each = round(live * churn / max(mutation_steps, 1))
+            return round(each * weight), each - round(each * weight)
+
+        rates = step_rates({}, range(1, 1 + mutation_steps), churned, sum(creates.values()))
     else:
-        rates = step_rates(creates, range(steps), lambda s: round(creates.get(s, 0) * update_ratio * jitter(s, 1)), lambda s: round(creates.get(s, 0) * delete_ratio * jitter(s, 2)))
+        rates = step_rates(creates, range(steps), lambda s, live: (round(creates.get(s, 0) * update_ratio * jitter(s, 1)), round(creates.get(s, 0) * delete_ratio * jitter(s, 2))))
     changes = mutations(born, keys, rates, draw)
     payload = [f for f in base.columns if f not in keys]
     empty = lambda rows: rows.select(*keys, *(F.lit(None).cast(base.schema[p].dataType).alias(p) for p in payload), "step", "_op")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .relational import Tables
+from .replay import stored
 
 c = F.col
 
@@ -21,11 +22,22 @@ RUNS = "runs AS (SELECT event_id AS run_id, user_id % 4 AS worker_id, event_type
 
 
 def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Values with their rank and the number of values, per group. Equal values are counted first, so what a window
-    orders is one row per different value."""
+    """Different values with the first and last rank of each (__first, __last, from 0) and the group's number of values (__n).
+
+    Equal values are counted first. The rest is ranked within ranges of a sort, which are stored once, and shifted by the
+    counts of the ranges before; so a group of any size is ranked by many tasks.
+    """
     counts = df.where(c(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__k"))
-    w = W.partitionBy(*by).orderBy(value)
-    return counts.withColumn("__last", F.sum("__k").over(w) - 1).withColumn("__first", c("__last") - c("__k") + 1).withColumn("__n", F.sum("__k").over(W.partitionBy(*by)))
+    ranges = stored(counts.orderBy(*by, value).withColumn("__p", F.spark_partition_id()), "ranges")
+    sums = ranges.groupBy("__p", *by).agg(F.sum("__k").alias("__s"))  # one row per range and group in it
+    over = W.partitionBy(*by)
+    shifts = sums.select(*(c(x).alias(f"__{x}") for x in by), c("__p").alias("__q"), (F.sum("__s").over(over.orderBy("__p")) - c("__s")).alias("__b"), F.sum("__s").over(over).alias("__n"))
+    here = c("__p") == c("__q")
+    for x in by:
+        here = here & c(x).eqNullSafe(c(f"__{x}"))
+    within = F.sum("__k").over(W.partitionBy("__p", *by).orderBy(value))
+    out = ranges.join(shifts, here).withColumn("__last", within + c("__b") - 1).withColumn("__first", c("__last") - c("__k") + 1)
+    return out.select(*by, value, "__k", "__last", "__first", "__n")
 
 
 def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], nearest: bool = False) -> DataFrame:
@@ -44,7 +56,13 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], neare
 
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.median(value).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("iterations"))
+    """Median, least, most and number of values; groups without a value have no row."""
+    middle = percentiles(df, by, value, [50]).select(*(c(x).alias(f"__{x}") for x in by), c("p50").alias("median"))
+    rest = df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("iterations"))
+    same = F.lit(True)
+    for x in by:
+        same = same & c(x).eqNullSafe(c(f"__{x}"))
+    return rest.join(middle, same).select(*by, "median", "least", "most", "iterations")
 
 
 def without_outliers(df: DataFrame, by: list[str], value: str, width: float = 1.5) -> DataFrame:
@@ -82,12 +100,38 @@ def outcome(failed: Column, converged: Column, stopped: Column) -> Column:
     return F.when(stopped, "stopped").when(failed, "failed").when(~converged, "not converged").otherwise("passed")
 
 
+_ATTRIBUTES = "array<struct<key:string,type:tinyint,str:string,int:bigint,double:double,bool:boolean,bytes:binary,ser:binary>>"
+_POINT = f"time_unix_nano:bigint,start_time_unix_nano:bigint,flags:bigint,attributes:{_ATTRIBUTES}"
+_NUMBER = f"array<struct<{_POINT},int_value:bigint,double_value:double>>"
+_HISTOGRAM = f"array<struct<{_POINT},count:bigint,sum:double,bucket_counts:array<bigint>,explicit_bounds:array<double>,min:double,max:double>>"
+_METRIC = f"struct<name:string,description:string,unit:string,metric_type:tinyint,aggregation_temporality:int,is_monotonic:boolean,numbers:{_NUMBER},histograms:{_HISTOGRAM}>"
+_OWNER = f"attributes:{_ATTRIBUTES},dropped_attributes_count:bigint"
+#: Telemetry as it arrives: resources, their scopes, their metrics, and the points of each.
+TELEMETRY = f"struct<resource:struct<schema_url:string,{_OWNER}>,scopes:array<struct<scope:struct<name:string,version:string,{_OWNER}>,schema_url:string,metrics:array<{_METRIC}>>>>"
+
+
 def flattened(df: DataFrame, column: str) -> DataFrame:
-    """Nested telemetry (resource, scopes, metrics, points) as one row per point."""
-    kind = "struct<resource:string,scopes:array<struct<scope:string,metrics:array<struct<name:string,points:array<struct<at:bigint,value:double>>>>>>>"
-    scopes = df.select(F.from_json(column, kind).alias("x")).select("x.resource", F.explode("x.scopes").alias("s"))
-    metrics = scopes.select("resource", "s.scope", F.explode("s.metrics").alias("m"))
-    return metrics.select("resource", "scope", "m.name", F.inline("m.points"))
+    """Nested telemetry (JSON of TELEMETRY) as one row per point, gauges, sums and histograms alike.
+
+    data_number or data_histogram is set, as the point's kind is; resource, scope and the point's own attributes stay
+    lists. A metric without points gives no row. Times are in UTC.
+    """
+    scopes = df.select(F.from_json(column, TELEMETRY).alias("x")).select("x.resource", F.explode("x.scopes").alias("s"))
+    metrics = scopes.select("resource", "s.scope", "s.schema_url", F.explode("s.metrics").alias("m"))
+    number = F.transform("m.numbers", lambda p: F.struct(p.alias("p"), F.struct(p["int_value"].alias("int_value"), p["double_value"].alias("double_value")).alias("data_number")))
+    parts = ("count", "sum", "bucket_counts", "explicit_bounds", "min", "max")
+    spread = F.transform("m.histograms", lambda p: F.struct(p.alias("p"), F.struct(*(p[x].alias(x) for x in parts)).alias("data_histogram")))
+    nano = lambda x: F.timestamp_micros(F.floor(c(x) / 1000))
+    common = [c("resource"), c("scope"), c("schema_url"), *(c(f"m.{x}").alias(x) for x in ("metric_type", "name", "description", "unit", "aggregation_temporality", "is_monotonic"))]
+    point = [nano("q.p.time_unix_nano").alias("time"), nano("q.p.start_time_unix_nano").alias("start_time"), c("q.p.flags").alias("flags"), c("q.p.attributes").alias("attributes")]
+    one = metrics.select("*", F.explode(number).alias("q")).select(*common, *point, "q.data_number")
+    two = metrics.select("*", F.explode(spread).alias("q")).select(*common, *point, "q.data_histogram")
+    return one.unionByName(two, allowMissingColumns=True)
+
+
+def attribute(attributes: Column, key: str, kind: str = "str") -> Column:
+    """The value of a key in an attribute list, null where it is absent; of repeated keys the first counts."""
+    return F.get(F.filter(attributes, lambda a: a["key"] == key), F.lit(0))[kind]
 
 
 def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:
@@ -105,6 +149,19 @@ def parameter_sets(df: DataFrame, name: str, order: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(even))  # one row
 
 
+def queue_waits(df: DataFrame, by: list[str]) -> DataFrame:
+    """df (started_at, duration_ms, run_id) plus wait_ms and depth: each worker serves its runs one after the other.
+
+    A run waits while the time the runs before it took exceeds the time that has passed: with X the sum of durations before
+    minus the arrival, the wait is X less the smallest X so far. Depth counts the runs of the second in which it arrives, so far.
+    """
+    w = W.partitionBy(*by).orderBy("started_at", "run_id")
+    at = F.unix_micros(c("started_at").cast("timestamp")) / 1000
+    ahead = df.withColumn("__x", F.coalesce(F.sum("duration_ms").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) - at)
+    second = W.partitionBy(*by, F.date_trunc("second", "started_at")).orderBy("started_at", "run_id")
+    return ahead.withColumn("wait_ms", c("__x") - F.min("__x").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", F.row_number().over(second)).drop("__x")
+
+
 def leaderboard(df: DataFrame) -> DataFrame:
     return df.withColumn("place", F.rank().over(W.orderBy("duration", "p99")))  # one row per run
 
@@ -124,15 +181,56 @@ _Q = f"{_RANKED}, q AS (SELECT query_name, {_sql_percentile('', 25)} AS a, {_sql
 
 
 def _telemetry() -> Column:
-    return F.concat(F.lit('{"resource":"r'), (c("event_id") % 3).cast("string"), F.lit('","scopes":[{"scope":"'), c("event_type"), F.lit('","metrics":[{"name":"m","points":[{"at":'), c("event_id").cast("string"), F.lit(',"value":1.5},{"at":'), (c("event_id") + 1).cast("string"), F.lit(',"value":2}]}]}]}'))
+    """An event as a message with two scopes, a gauge of two points, an empty metric and a histogram."""
+    n = c("event_id")
+    kept = F.array(F.struct(F.lit("worker").alias("key"), F.lit(1).alias("type"), F.concat(F.lit("w"), (n % 5).cast("string")).alias("str"), F.lit(None).cast("bigint").alias("int")), F.struct(F.lit("tries").alias("key"), F.lit(2).alias("type"), F.lit(None).cast("string").alias("str"), (n % 4).alias("int")))
+    point = lambda k: F.struct((n * 1_000_000_000 + k).alias("time_unix_nano"), kept.alias("attributes"), (n + k).alias("int_value"))
+    spread = F.struct((n * 1_000_000_000).alias("time_unix_nano"), (n % 10 + 1).alias("count"), c("value").alias("sum"), F.array(F.lit(1).cast("bigint"), n % 10).alias("bucket_counts"), F.array(F.lit(10.0)).alias("explicit_bounds"))
+    gauge = F.struct(F.lit("gauge").alias("name"), F.lit(1).alias("metric_type"), F.array(point(0), point(1)).alias("numbers"))
+    hist = F.struct(F.lit("spread").alias("name"), F.lit(3).alias("metric_type"), F.array(spread).alias("histograms"))
+    empty = F.struct(F.lit("none").alias("name"), F.lit(2).alias("metric_type"))
+    as_json = lambda *m: F.concat(F.lit("["), F.concat_ws(",", *(F.to_json(x) for x in m)), F.lit("]"))
+    scope = lambda name, *m: F.concat(F.lit('{"scope":{"name":"'), name, F.lit('"},"metrics":'), as_json(*m), F.lit("}"))
+    return F.concat(F.lit('{"resource":{"schema_url":"r'), (n % 3).cast("string"), F.lit('"},"scopes":['), scope(c("event_type"), gauge, empty), F.lit(","), scope(F.lit("other"), hist), F.lit("]}"))
+
+
+def _points(t: Tables) -> DataFrame:
+    rows = flattened(t.events.select(_telemetry().alias("j")), "j")
+    by = [c("resource.schema_url").alias("resource"), c("scope.name").alias("scope"), "name", "metric_type", attribute(c("attributes"), "worker").alias("worker")]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("data_number.int_value").alias("ints"), F.sum(attribute(c("attributes"), "tries", "int")).alias("tries"), F.sum("data_histogram.count").alias("counted"), r6(F.sum("data_histogram.sum")).alias("total"), F.sum(F.get("data_histogram.bucket_counts", F.lit(1))).alias("above"), F.max(F.unix_seconds("time")).alias("last"))
 
 
+_POINTS = """SELECT 'r' || (event_id % 3) AS resource, event_type AS scope, 'gauge' AS name, 1 AS metric_type, 'w' || (event_id % 5) AS worker, 2 * count(*) AS n, CAST(sum(2 * event_id + 1) AS BIGINT) AS ints, CAST(sum(2 * (event_id % 4)) AS BIGINT) AS tries, CAST(NULL AS BIGINT) AS counted, CAST(NULL AS DOUBLE) AS total, CAST(NULL AS BIGINT) AS above, max(event_id) AS last FROM events GROUP BY 1, 2, 5
+UNION ALL SELECT 'r' || (event_id % 3), 'other', 'spread', 3, NULL, count(*), NULL, NULL, CAST(sum(event_id % 10 + 1) AS BIGINT), round(sum(value), 6), CAST(sum(event_id % 10) AS BIGINT), max(event_id) FROM events GROUP BY 1"""
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: r6(c(n)) for n in names})
 
 
+_WORKERS = f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY duration_ms) - 1 AS r, count(*) OVER (PARTITION BY worker_id) AS n FROM runs)"
+
+
+def _board(t: Tables) -> DataFrame:
+    runs = query_runs(t)
+    tail = percentiles(runs, ["worker_id"], "duration_ms", [99]).withColumnRenamed("p99", "tail")
+    return _rounded(leaderboard(runs.groupBy("worker_id").agg(F.sum("duration_ms").alias("duration")).join(tail, "worker_id").withColumnRenamed("tail", "p99")).select("worker_id", "place", "p99"), "p99")
+
+
+def _queues(t: Tables) -> DataFrame:
+    """Runs twenty thousand times closer together, so that workers do queue."""
+    runs = query_runs(t).withColumn("started_at", F.timestamp_micros(F.floor(F.unix_micros(c("started_at").cast("timestamp")) / 20_000)).cast("timestamp_ntz"))
+    waits = queue_waits(runs, ["worker_id"]).withColumn("wait_ms", F.round("wait_ms", 3))
+    return _rounded(percentiles(waits, ["worker_id"], "wait_ms", [50, 95]).join(waits.groupBy("worker_id").agg(F.max("depth").cast("long").alias("depth")), "worker_id"), "p50", "p95")
+
+
+_QUEUES = f"""WITH {RUNS}, a AS (SELECT *, CAST(floor(epoch_us(started_at) / 20000) AS BIGINT) AS us FROM runs),
+x AS (SELECT *, coalesce(sum(duration_ms) OVER (PARTITION BY worker_id ORDER BY us, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - us / 1000 AS x, row_number() OVER (PARTITION BY worker_id, us // 1000000 ORDER BY us, run_id) AS depth FROM a),
+w AS (SELECT worker_id, depth, round(x - min(x) OVER (PARTITION BY worker_id ORDER BY us, run_id ROWS UNBOUNDED PRECEDING), 3) AS wait FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY wait) - 1 AS r, count(*) OVER (PARTITION BY worker_id) AS n FROM w)
+SELECT worker_id, {_sql_percentile('', 50).replace('duration_ms', 'wait')} AS p50, {_sql_percentile('', 95).replace('duration_ms', 'wait')} AS p95, max(depth) AS depth FROM k GROUP BY worker_id"""
+
+
 def _waits(t: Tables) -> DataFrame:
     return t.lineitem.select("l_returnflag", c("l_quantity").alias("wait"), (c("l_discount") * 100).alias("apply"), (c("l_tax") * 100).alias("linger"))
 
@@ -150,12 +248,12 @@ ALL = {
     "m10_wait_share": (lambda t: _rounded(wait_share(_waits(t), ["l_returnflag"]), "wait_share"), "SELECT l_returnflag, round(100 * sum(l_quantity) / nullif(sum(l_quantity + l_discount * 100 + l_tax * 100), 0), 6) AS wait_share FROM lineitem GROUP BY l_returnflag"),
     "m11_load_rate": (lambda t: t.events.agg((F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))).alias("s"), F.count("*").alias("n")).select("s", r6(c("n") / F.nullif("s", F.lit(0))).alias("rate")), "SELECT CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT) AS s, round(count(*) / nullif(CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT), 0), 6) AS rate FROM events"),
     "m12_outcome": (lambda t: query_runs(t).groupBy("worker_id", "query_name").agg(F.count_if(~c("success")).alias("f"), F.count("*").alias("n")).select("worker_id", "query_name", outcome(c("f") > 0, c("n") > 490, c("worker_id") == 3).alias("outcome")), f"WITH {RUNS} SELECT worker_id, query_name, CASE WHEN worker_id = 3 THEN 'stopped' WHEN bool_or(NOT success) THEN 'failed' WHEN count(*) <= 490 THEN 'not converged' ELSE 'passed' END AS outcome FROM runs GROUP BY worker_id, query_name"),
-    "m13_flattened": (lambda t: flattened(t.events.select(_telemetry().alias("j")), "j").groupBy("resource", "scope", "name").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum("at").alias("at")), "SELECT 'r' || (event_id % 3) AS resource, event_type AS scope, 'm' AS name, 2 * count(*) AS n, 3.5 * count(*) AS v, CAST(sum(2 * event_id + 1) AS BIGINT) AS at FROM events GROUP BY 1, 2"),
+    "m13_flattened": (_points, _POINTS),
     "m14_histogram": (lambda t: histogram(query_runs(t), ["query_name"], "duration_ms", [10.0, 50.0, 100.0]), f"WITH {RUNS} SELECT query_name, CASE WHEN duration_ms <= 10 THEN 0 WHEN duration_ms <= 50 THEN 1 WHEN duration_ms <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM runs GROUP BY 1, 2"),
     "m15_parameter_sets": (lambda t: parameter_sets(t.part.where("p_size = 7"), "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part WHERE p_size = 7) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
     "m15_parameter_sets_whole": (lambda t: parameter_sets(t.part, "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
-    "m16_leaderboard": (lambda t: leaderboard(query_runs(t).groupBy("worker_id").agg(F.sum("duration_ms").alias("duration"), F.max("duration_ms").alias("p99"))).select("worker_id", "place"), f"WITH {RUNS} SELECT worker_id, CAST(rank() OVER (ORDER BY sum(duration_ms), max(duration_ms)) AS INT) AS place FROM runs GROUP BY worker_id"),
-    "m17_queue_waits": (lambda t: _rounded(percentiles(query_runs(t), ["worker_id"], "duration_ms", [50, 95]), "p50", "p95"), f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (PARTITION BY worker_id ORDER BY duration_ms) - 1 AS r, count(*) OVER (PARTITION BY worker_id) AS n FROM runs) SELECT worker_id, {_sql_percentile('', 50)} AS p50, {_sql_percentile('', 95)} AS p95 FROM k GROUP BY worker_id"),
+    "m16_leaderboard": (_board, f"{_WORKERS} SELECT worker_id, CAST(rank() OVER (ORDER BY duration, p99) AS INT) AS place, round(p99, 6) AS p99 FROM (SELECT worker_id, sum(duration_ms) AS duration, {_sql_percentile('', 99)} AS p99 FROM k GROUP BY worker_id)"),
+    "m17_queue_waits": (_queues, _QUEUES),
     "m18_total_duration": (lambda t: query_runs(t).agg(F.round(F.sum("duration_ms"), 4).alias("total")), f"WITH {RUNS} SELECT round(sum(duration_ms), 4) AS total FROM runs"),
 }
 

@@ -74,8 +74,9 @@ SELECT 'all_years' AS what, count(*) AS n FROM (SELECT o_custkey FROM orders WHE
 UNION ALL SELECT 'only_first', count(*) FROM (SELECT o_custkey FROM orders WHERE {_YEAR} = 1996 EXCEPT SELECT o_custkey FROM orders WHERE {_YEAR} = 1997) AS e""",
     "d15_best_and_worst": """
 WITH p AS (SELECT l_partkey, avg(l_discount) AS mean FROM lineitem GROUP BY l_partkey),
-up AS (SELECT l_partkey, rank() OVER (ORDER BY mean, l_partkey) AS rk FROM p), down AS (SELECT l_partkey, rank() OVER (ORDER BY mean DESC, l_partkey) AS rk FROM p)
-SELECT up.rk AS rk, up.l_partkey AS worst, down.l_partkey AS best FROM up JOIN down ON up.rk = down.rk WHERE up.rk <= 10""",
+low AS (SELECT * FROM p ORDER BY mean, l_partkey LIMIT 10), high AS (SELECT * FROM p ORDER BY mean DESC, l_partkey LIMIT 10),
+up AS (SELECT l_partkey, rank() OVER (ORDER BY mean, l_partkey) AS rk FROM low), down AS (SELECT l_partkey, rank() OVER (ORDER BY mean DESC, l_partkey) AS rk FROM high)
+SELECT up.rk AS rk, up.l_partkey AS worst, down.l_partkey AS best FROM up JOIN down ON up.rk = down.rk""",
     "d16_buckets_side_by_side": """
 SELECT * FROM (SELECT count(*) AS n1, round(avg(l_extendedprice), 6) AS p1, count(DISTINCT l_partkey) AS d1 FROM lineitem WHERE l_quantity BETWEEN 1 AND 10) AS a
 CROSS JOIN (SELECT count(*) AS n2, round(avg(l_extendedprice), 6) AS p2, count(DISTINCT l_partkey) AS d2 FROM lineitem WHERE l_quantity BETWEEN 11 AND 20) AS b

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..sources.tables import sql_query, table
+from ..sources.tables import sql_query
 
 SQL: dict[str, str] = {
     "c1_counts_and_lookup": """
@@ -26,9 +23,9 @@ ORDER BY n DESC, user_id, m, event_type LIMIT 20""",
 SELECT lang, min(url) AS first_url, count(*) AS n, count(DISTINCT source) AS sources FROM documents JOIN pages ON page_id = doc_id
 WHERE text LIKE '%the%' AND url NOT LIKE '%.com/%' GROUP BY lang""",
     "c9_top_rows": "SELECT event_id, ts, event_type, props FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 25",
-    "c10_hosts": r"""
+    "c10_hosts": """
 SELECT host, round(avg(length(url)), 6) AS mean_length, count(*) AS n, min(url) AS first_url
-FROM (SELECT url, regexp_extract(url, '^https?://(?:www\.)?([^/]+)/', 1) AS host FROM pages) AS p GROUP BY host HAVING count(*) > 1""",
+FROM (SELECT url, parse_url(url, 'HOST') AS host FROM pages) AS p GROUP BY host HAVING count(*) > 1""",
     "c11_shifted_sums": "SELECT " + ", ".join(f"round(sum(l_quantity + {i}), 6) AS s{i}" for i in range(90)) + " FROM lineitem",
     "c12_computed_keys": """
 SELECT user_id, user_id - 1 AS u1, user_id - 2 AS u2, user_id % 7 AS u7, count(*) AS n FROM events GROUP BY user_id, user_id - 1, user_id - 2, user_id % 7
@@ -43,15 +40,9 @@ GROUP BY date_trunc('minute', ts) ORDER BY m LIMIT 10 OFFSET 100""",
 }
 
 
-def host_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as c10, by a replacement with a group reference."""
-    host = F.regexp_replace("url", r"^https?://(?:www\.)?([^/]+)/.*$", "$1")
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.round(F.avg(F.length("url")), 6).alias("mean_length"), F.count("*").alias("n"), F.min("url").alias("first_url")).where("n > 1")
-
-
 def queries() -> dict:
-    return {k: sql_query(v) for k, v in SQL.items()} | {"c10_hosts": host_lengths}
+    return {k: sql_query(v) for k, v in SQL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return SQL | {"c10_hosts": SQL["c10_hosts"].replace(r"regexp_extract(url, '^https?://(?:www\.)?([^/]+)/', 1)", r"regexp_replace(url, '^https?://(?:www\.)?([^/]+)/.*$', '\1', 's')")}
+    return SQL | {"c10_hosts": SQL["c10_hosts"].replace("parse_url(url, 'HOST')", "split_part(split_part(url, '//', 2), '/', 1)")}
