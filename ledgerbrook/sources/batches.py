@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +25,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 def write_batches(log: DataFrame, path: str, rows_per_file: int = 48_000) -> None:
     """One folder per batch, files of at most rows_per_file rows (kept between 32,000 and 64,000)."""
-    log.repartition("batch_id").write.option("maxRecordsPerFile", min(max(rows_per_file, 32_000), 64_000)).partitionBy("batch_id").parquet(path)
+    log.repartitionByRange("batch_id", "_op_index").write.option("maxRecordsPerFile", min(max(rows_per_file, 32_000), 64_000)).partitionBy("batch_id").parquet(path)
 
 
 def read_batches(spark: SparkSession, path: str, schema: T.StructType, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -141,13 +141,25 @@ def _logged(t: Tables, first: int | None = None, last: int | None = None) -> Dat
 
 def _snapshot(t: Tables) -> DataFrame:
     path = scratch(t.spark, "snapshots")
-    write_snapshot(t.orders.where("o_orderkey < 0"), path, "cp0", "none")
-    write_snapshot(t.region, path, "cp1", "regions")
-    return manifest(t.spark, path).orderBy("checkpoint")
+    made = {("cp0", "none"): t.orders.where("o_orderkey < 0"), ("cp1", "priorities"): t.orders.groupBy("o_orderpriority").count(), ("cp1", "orders"): t.orders}
+    back = {k: write_snapshot(df, path, *k) for k, df in made.items()}
+    n = row_counts({"/".join(k): df for k, df in back.items()})
+    return manifest(t.spark, path).join(n, F.concat_ws("/", "checkpoint", "query") == c("table_name")).drop("table_name")
 
 
 def _layout(t: Tables) -> DataFrame:
-    return write_layout(t.orders, f"orders_by_status_{uuid.uuid4().hex[:8]}", ["o_orderstatus"], (4, "o_orderkey")).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    """Rows by status, and whether each lies in the file of its bucket, in order; the table is dropped once that is known."""
+    name = f"orders_by_status_{uuid.uuid4().hex[:8]}"
+    made = write_layout(t.orders, name, ["o_orderstatus"], (4, "o_orderkey"))
+    file = c("_metadata.file_name")
+    bucket = F.regexp_extract(file, r"_(\d+)(?:\.c\d+)?\.", 1).cast("int")
+    rows = made.select("o_orderkey", "o_orderstatus", file.alias("file"), F.pmod(F.hash("o_orderkey"), F.lit(4)).alias("own"), bucket.alias("bucket"), c("_metadata.row_index").alias("at"))
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_orderstatus", "file").orderBy("at"))  # one bucket's file
+    checked = rows.withColumn("sorted", before.isNull() | (before <= c("o_orderkey"))).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.countDistinct("bucket").alias("buckets"), F.bool_and(c("own") == c("bucket")).alias("placed"), F.bool_and("sorted").alias("sorted"))
+    path = scratch(t.spark, "layout")
+    checked.write.parquet(path)
+    t.spark.sql(f"DROP TABLE {name}")
+    return t.spark.read.schema(checked.schema).parquet(path)
 
 
 def _null_sink(t: Tables) -> DataFrame:
@@ -167,19 +179,21 @@ def _version(t: Tables) -> DataFrame:
 
 
 def _golden(t: Tables) -> DataFrame:
+    """Customers as a golden file and back."""
     path = scratch(t.spark, "golden")
-    t.nation.write.csv(path, sep="|", header=True)
-    return read_golden(t.spark, path)
+    t.customer.write.csv(path, sep="|", header=True)
+    return read_golden(t.spark, path).withColumn("c_custkey", c("c_custkey").cast("long"))
 
 
 def _expected(t: Tables) -> DataFrame:
-    """The regions as a CSV result, as inline CSV and as a count."""
+    """Customers by segment as a CSV result, as inline CSV and as a count."""
     path = scratch(t.spark, "expected")
-    t.region.write.csv(path, header=True)
-    lines = [f"{r.r_regionkey},{r.r_name}" for r in t.region.collect()]  # five rows
-    a = expected_result(t.spark, "csv", path).select(F.lit("csv").alias("kind"), c("r_name").alias("value"))
-    b = expected_result(t.spark, "inline_csv", "\n".join(["r_regionkey,r_name", *lines])).select(F.lit("inline").alias("kind"), c("r_name").alias("value"))
-    n = expected_result(t.spark, "count", len(lines)).select(F.lit("count").alias("kind"), c("n_rows").cast("string").alias("value"))
+    found = t.customer.groupBy(c("c_mktsegment").alias("segment")).agg(F.count("*").alias("n"))
+    found.write.csv(path, header=True)
+    lines = [f"{r.segment},{r.n}" for r in found.collect()]  # one row per segment
+    a = expected_result(t.spark, "csv", path).select(F.lit("csv").alias("kind"), "segment", c("n").cast("string").alias("n"))
+    b = expected_result(t.spark, "inline_csv", "\n".join(["segment,n", *lines])).select(F.lit("inline").alias("kind"), "segment", "n")
+    n = expected_result(t.spark, "count", len(lines)).select(F.lit("count").alias("kind"), F.lit(None).cast("string").alias("segment"), c("n_rows").cast("string").alias("n"))
     return a.unionByName(b).unionByName(n)
 
 
@@ -193,16 +207,16 @@ _LOG = f"WITH {ORDERS_LOG} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalp
 ALL = {
     "s1_s4_batches": (lambda t: _logged(t), _LOG),
     "s2_version_metadata": (_version, f"WITH {ORDERS_LOG} SELECT DISTINCT 'orders' AS table_name, 'o_created_at' AS time_column, batch_id, 1 AS parts FROM orders_log"),
-    "s7_golden_file": (_golden, "SELECT * FROM nation"),
-    "s8_expected_results": (_expected, "SELECT k AS kind, r_name AS value FROM region, (VALUES ('csv'), ('inline')) AS v(k) UNION ALL SELECT 'count', CAST(count(*) AS VARCHAR) FROM region"),
+    "s7_golden_file": (_golden, "SELECT * FROM customer"),
+    "s8_expected_results": (_expected, "WITH x AS (SELECT c_mktsegment AS segment, CAST(count(*) AS VARCHAR) AS n FROM customer GROUP BY 1) SELECT k AS kind, segment, n FROM x, (VALUES ('csv'), ('inline')) AS v(k) UNION ALL SELECT 'count', NULL, CAST(count(*) AS VARCHAR) FROM x"),
     "s13_table_definition": (_typed, "SELECT s_suppkey, s_name, CAST(CAST(s_acctbal AS DECIMAL(38,2)) AS VARCHAR) AS s_acctbal FROM supplier"),
     "s3_batch_range": (lambda t: _logged(t, 2, 4), f"{_LOG} WHERE batch_id BETWEEN 2 AND 4"),
     "s5_null_sink": (_null_sink, "SELECT count(*) AS n FROM lineitem"),
     "s6_keyed_versions": (lambda t: write_version(t.customer, scratch(t.spark, "customer"), "1"), "SELECT * FROM customer"),
-    "s9_s11_snapshots": (_snapshot, "SELECT 'cp0' AS checkpoint, 'none' AS query UNION ALL SELECT 'cp1', 'regions' FROM (SELECT count(*) AS n FROM region) WHERE n > 0"),
+    "s9_s11_snapshots": (_snapshot, "SELECT 'cp0' AS checkpoint, 'none' AS query, CAST(0 AS BIGINT) AS n_rows UNION ALL SELECT 'cp1', 'priorities', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'cp1', 'orders', count(*) FROM orders"),
     "s10_row_counts": (lambda t: row_counts({"orders": t.orders, "part": t.part}), "SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'part', count(*) FROM part"),
-    "s12_layout": (_layout, "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus"),
-    "s14_store_table": (lambda t: read_store(t.spark, f"{t.sf_dir}/nation.parquet", {"mergeSchema": "false"}), "SELECT * FROM nation"),
+    "s12_layout": (_layout, "SELECT o_orderstatus, count(*) AS n, least(count(DISTINCT o_orderkey), 4) AS buckets, true AS placed, true AS sorted FROM orders GROUP BY o_orderstatus"),
+    "s14_store_table": (lambda t: read_store(t.spark, f"{t.sf_dir}/lineitem.parquet", {"mergeSchema": "false"}), "SELECT * FROM lineitem"),
 }
 
 
