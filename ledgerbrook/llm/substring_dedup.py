@@ -4,8 +4,9 @@ Every window of `width` words has an anchor: the least-hashed k-mer in it (k = A
 anchors at equal places, so the anchors are the graph's nodes and the stretch of windows that share an anchor is an
 edge, named by its anchor and by a hash of all its windows: one row in place of about ten. Edges that occur twice are
 repeated as a whole; only edges whose anchor recurs in other surroundings (ends of repeated passages, branches) are
-looked at window by window. Joins bring the repeated stretches back to their documents by source coordinates, where
-stretches that follow each other compact into one path.
+looked at window by window. Edges found equal by name are verified on the words at their source coordinates: their texts
+join them again, and only those whose words recur stay (copies within a batch are compared there and then). Joins bring
+the repeated stretches back to their documents, where stretches that follow each other compact into one path.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ FACTOR, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 STRETCH = 1 << 20
 #: Edges: anchor, contents, the text's two keys, first and last window; twice: the edge is known to recur.
 EDGES = "m long, c long, k long, k2 int, a int, b int, twice boolean, local boolean"
-WINDOWS = "g long, h long, k long, k2 int, a int, known boolean"
+WINDOWS = "g long, h long, k long, k2 int, a int, b int, known boolean, whole boolean"
 CUT = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
@@ -65,6 +67,26 @@ def edges_of(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def at_source(words: list[bytes], a: int, b: int, width: int) -> bytes:
+    """128 bits of the words of windows a to b."""
+    return xxhash.xxh3_128_digest(b" ".join(words[a : b + width]))
+
+
+def verified_copies(texts: list[bytes | None], which: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray, same: np.ndarray, width: int) -> np.ndarray:
+    """same, where the words of an edge are those of the edge before it in order (which: its text; a, b: its windows)."""
+    at = np.flatnonzero(same)
+    sides = np.unique(np.concatenate([order[at], order[at + 1]]))
+    name, words, last = {}, [], -1
+    for e in sides[np.argsort(which[sides], kind="stable")].tolist():
+        if which[e] != last:
+            last = which[e]
+            words = texts[last].split()
+        name[e] = at_source(words, int(a[e]), int(b[e]), width)
+    out = same.copy()
+    out[at] = [name[x] == name[y] for x, y in zip(order[at].tolist(), order[at + 1].tolist(), strict=True)]
+    return out
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs plus k and k2, 96 bits that name a row's id and text."""
     text = F.col(text_col).cast("string")
@@ -78,14 +100,15 @@ def edges(rows: DataFrame, width: int, anchor: int) -> DataFrame:
     def each(batches):
         hashes = WordHashes()
         for batch in batches:
-            found = [edges_of(hashes(t.split()), width, anchor) if t else None for t in utf8(batch, "text")]
+            texts = utf8(batch, "text")
+            found = [edges_of(hashes(t.split()), width, anchor) if t else None for t in texts]
             which = np.repeat(np.arange(len(found)), [len(f[0]) if f else 0 for f in found])
             if not len(which):
                 continue
             m, c, a, b = (np.concatenate([f[i] for f in found if f]) for i in range(4))
             m, c = m.view(np.int64), c.view(np.int64)
             order = np.lexsort([np.arange(len(m)), c, m])
-            same = (np.diff(m[order]) == 0) & (np.diff(c[order]) == 0)
+            same = verified_copies(texts, which, a, b, order, (np.diff(m[order]) == 0) & (np.diff(c[order]) == 0), width)
             local, twice = np.zeros(len(m), dtype=bool), np.zeros(len(m), dtype=bool)
             local[order[1:]] = same
             twice[order[:-1]] = same
@@ -108,7 +131,7 @@ def edges(rows: DataFrame, width: int, anchor: int) -> DataFrame:
 
 
 def windows(rows: DataFrame, width: int) -> DataFrame:
-    """WINDOWS of rows (k, k2, text, asks): a 128-bit name of each window in the asked edges."""
+    """WINDOWS of rows (k, k2, text, asks): 128 bits of the words of each whole edge asked for, and of each window in the other edges."""
     schema = arrow_type(WINDOWS)
 
     def each(batches):
@@ -118,12 +141,16 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
             k, k2 = batch.column(batch.schema.get_field_index("k")).to_pylist(), batch.column(batch.schema.get_field_index("k2")).to_pylist()
             for text, i, j, own in zip(utf8(batch, "text"), k, k2, asks, strict=True):
                 own = own.values
-                a, b, known = (own.field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "known"))
-                h = hashes(text.split())
-                n = b - a + 1
+                a, b, known, whole = (own.field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "known", "whole"))
+                words = text.split()
+                edge = np.flatnonzero(whole)
+                names = np.frombuffer(b"".join(at_source(words, x, y, width) for x, y in zip(a[edge].tolist(), b[edge].tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+                n = np.where(whole, 0, b - a + 1)
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                one, two = rolling(h, width, OTHER), rolling(h, width, FACTOR)
-                yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(np.full(len(at), i, dtype=np.int64)), pa.array(np.full(len(at), j, dtype=np.int32)), pa.array(at.astype(np.int32)), pa.array(np.repeat(known, n).astype(bool))], schema=schema)
+                h = hashes(words) if len(at) else np.empty(0, dtype=np.uint64)
+                one, two = (rolling(h, width, f)[at].view(np.int64) for f in (OTHER, FACTOR))
+                cols = [np.concatenate([one, names[:, 0]]), np.concatenate([two, names[:, 1]]), np.full(len(at) + len(edge), i), np.full(len(at) + len(edge), j), np.concatenate([at, a[edge]]), np.concatenate([at, b[edge]]), np.concatenate([np.repeat(known, n), known[edge]]).astype(bool), np.arange(len(at) + len(edge)) >= len(at)]
+                yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype()), type=f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(each, T.StructType(fields(WINDOWS)))
 
@@ -132,22 +159,25 @@ def repeated_paths(rows: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
     """(k, k2, paths): for each text with repeated windows, the first and last windows of the stretches they fill.
 
     rows: k, k2, text. Copies of an edge collapse within each batch before they meet the others of their anchor; what
-    meets is streamed by a window function, which spills. The edges are stored once they are judged.
+    meets is streamed by a window function, which spills. The edges are stored once they are judged. Edges that others
+    name alike, and windows of edges whose anchor has other surroundings too, are judged once more on their words.
     """
     found = edges(rows.select("k", "k2", "text"), width, anchor)
     by_m, by_c = W.partitionBy("m", "local"), W.partitionBy("m", "local", "c")
     judged = (
-        found.withColumn("n", F.count("*").over(by_m)).withColumn("twice_n", F.count("*").over(by_c) + F.max(F.col("twice").cast("int")).over(by_c))
+        found.withColumn("n", F.count("*").over(by_m)).withColumn("others", F.count("*").over(by_c) > 1).withColumn("copied", F.max("twice").over(by_c))
         .withColumn("contents", (F.min("c").over(by_m) != F.max("c").over(by_m))).withColumn("nth", F.row_number().over(by_c.orderBy("k", "a")))
     )
-    sure = F.col("local") | (F.col("twice_n") > 1)
-    judged = judged.select("k", "k2", "a", "b", sure.alias("known"), (~F.col("local") & F.col("contents") & (F.col("nth") == 1)).alias("ask"))
+    judged = judged.select("k", "k2", "a", "b", "local", (F.col("local") | F.col("others") | F.col("copied")).alias("known"), (F.col("others") & ~F.col("local")).alias("whole"), "twice", (~F.col("local") & F.col("contents") & (F.col("nth") == 1)).alias("ask"))
     judged = stored(judged.where("known or ask"), "edges")
-    asks = judged.where("ask").groupBy("k", "k2").agg(F.collect_list(F.struct("a", "b", "known")).alias("asks"))  # of one text
-    # a text that occurs twice has no unknown edge, so its windows may be counted twice
+    one = lambda known, whole: F.struct("a", "b", F.lit(known).alias("known") if isinstance(known, bool) else F.col(known).alias("known"), F.lit(whole).alias("whole"))
+    asked = judged.where("ask or whole").select("k", "k2", F.explode(F.filter(F.array(F.when(F.col("whole"), one("twice", True)), F.when(F.col("ask"), one("known", False))), lambda x: x.isNotNull())).alias("x"))
+    asks = asked.groupBy("k", "k2").agg(F.collect_list("x").alias("asks"))  # of one text
+    # a text that occurs twice has no unknown edge, so its windows may be counted twice; its edges, too, are repeated
     seen = windows(rows.join(asks, ["k", "k2"]).select("k", "k2", "text", "asks"), width)
-    more = seen.withColumn("n", F.count("*").over(W.partitionBy("g", "h"))).where("n > 1 and not known").select("k", "k2", "a", F.col("a").alias("b"))
-    spans = judged.where("known").select("k", "k2", "a", "b").unionByName(more)
+    seen = seen.withColumn("n", F.count("*").over(W.partitionBy("g", "h", "whole")))
+    more = seen.where("n > 1 and not known and not whole or whole and (n > 1 or known)").select("k", "k2", "a", "b")
+    spans = judged.where("known and not whole").select("k", "k2", "a", "b").unionByName(more)
     return spans.groupBy("k", "k2").agg(F.collect_list(F.struct("a", "b")).alias("paths"))
 
 
