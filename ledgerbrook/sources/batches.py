@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,16 +10,10 @@ from pyspark.sql import types as T
 
 from ..operators.changelog import ORDERS_LOG, orders_log
 from ..operators.relational import Tables
+from .scratch import scratch
 
 c = F.col
 VERSION_SCHEMA = "version string, scenario string, scale_factor double, num_steps int, tables map<string,struct<keys:array<string>,time_column:string,batches:array<struct<id:bigint,parts:int>>>>"
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def write_batches(log: DataFrame, path: str, rows_per_file: int = 48_000) -> None:
