@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerbrook.llm.common import shielded, stored, table
+from ledgerbrook.llm.common import shielded, table
 from ledgerbrook.llm.decontamination import decontaminate
 from ledgerbrook.llm.near_dedup import near_dedup
 from ledgerbrook.llm.packing import pack
 from ledgerbrook.llm.quality_rules import quality_rules
 from ledgerbrook.llm.substring_dedup import dedup_substrings
+from ledgerbrook.sources.scratch import dropped, scratch, temporary
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns, stored; what a stage stores on its way is dropped once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            dropped(spark, before)
+        before = path
     return docs

@@ -9,12 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_type, covered, kept_names, shielded, table, table_bytes, utf8, with_columns
+from .common import arrow_map, arrow_type, covered, kept_names, shielded, stored, table, table_bytes, utf8, with_columns
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters; every other byte separates.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The benchmark goes to the executors in blocks of about so many bytes; each block passes over the documents.
 BLOCK_BYTES = 16 << 20
+#: Passes in one stage; what they found is stored before the next ones, so that a task's workers don't grow with the benchmark.
+PASSES = 4
 #: Words of a shard of documents, over which one suffix array is built. A longer document is a shard by itself.
 SHARD_WORDS = 2_000_000
 FOUND = "n_words long, hit binary, matches array<struct<item_id:string,item_start:int,doc_start:long,length:long>>, n_hit long"
@@ -182,7 +184,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     benchmark window. The benchmark's size is taken first; it is broadcast in blocks of about block_bytes, however many
     that takes, and one pass over the rows in the same stage serves each block. Null or empty texts have no words and
     no hits; items without words find nothing; a null item id reads ''; items with equal ids count as one; repeated
-    rows each get their result; empty tables are allowed. Input columns with the names of results are replaced.
+    rows each get their result; a text longer than a shard is a shard by itself; empty tables are allowed. Input columns with the names of results are replaced.
     """
     spark = docs.sparkSession
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
@@ -192,6 +194,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()  # about block_bytes
         block = spark.sparkContext.broadcast(Block(sorted((r.id, r.text.encode() if r.text is not None else None) for r in own), width))
         docs = _pass(docs, block, text_col, b == 0, shard_words)
+        if b % PASSES == PASSES - 1 and b + 1 < blocks:
+            docs = stored(docs, "searched")
     ids = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
     return docs.withColumn("n_items", F.size(ids).cast("long")).withColumn("items_sha256", F.sha2(F.array_join(ids, ",").cast("binary"), 256)).withColumn("contaminated", F.col("n_hit") > 0).drop("hit")
 

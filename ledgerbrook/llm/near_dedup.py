@@ -222,7 +222,7 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, miss: float = MISS
 
     classes: node, signature, sketch (size and signature), bytes (of text), rid, rh (the row that stands for it); texts:
     rid, rh, text. Texts with an equal band are a bucket. First each meets the bucket's smallest, so that a group of near
-    copies comes together in one step without its pairs. Only buckets whose members verified links haven't joined go
+    copies comes together in one step without its pairs. Only buckets whose other members verified links haven't joined go
     on: there, all pairs of different components are compared, in blocks of bounded rows and bytes.
     """
     least, schema = least_matches(percent / 100, miss), arrow_type(LINKS)
@@ -235,7 +235,8 @@ def links(classes: DataFrame, texts: DataFrame, percent: int, miss: float = MISS
     near = verified(star, classes, own, percent, least)
 
     found = stored(components(near), "near").select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-    parts = stored(buckets.join(found, F.col("node") == F.col("__n"), "left").select("i", "band", "node", F.coalesce("__r", "node").alias("root")), "parts")
+    # a bucket's first has met all the others
+    parts = stored(buckets.where("node <> first").join(found, F.col("node") == F.col("__n"), "left").select("i", "band", "node", F.coalesce("__r", "node").alias("root")), "parts")
     apart = parts.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
     rest = stored(parts.join(apart, "band"), "apart")
     sized = rest.join(classes.select("node", "bytes"), "node")

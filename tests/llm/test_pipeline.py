@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -47,3 +48,36 @@ def test_stages_take_effect(spark, case):
         if pieces:
             assert np.concatenate([np.frombuffer(p.ids, "<u4") for p in pieces]).tolist() == plain.encode(r.text, add_special_tokens=False).ids + [0]
     assert sorted(map(str, corpus_pipeline.run(spark, to).select("doc_id", "piece", "start", "length").collect())) == sorted(map(str, rows.select("doc_id", "piece", "start", "length").collect()))
+
+
+def test_odd_tables(spark, case):
+    """Null ids, columns named like results of the operators, an empty table and an empty benchmark."""
+    to, docs, _ = case
+    rows = spark.read.parquet(f"{to}/documents.parquet")
+    clashing = ["n_words", "kept", "host_rate", "node", "root", "k", "paths", "n_hit", "bin", "ids", "signature", "text_key"]
+    odd = rows.unionByName(rows.where("doc_id = 9").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.concat("text", F.lit(" and more"), F.repeat(F.lit(" x1 y2 z3"), 3)))).select("*", *(F.lit(i).alias(c) for i, c in enumerate(clashing)))
+    there = scratch(spark, "pipeline-odd")
+    odd.write.parquet(f"{there}/documents.parquet")
+    spark.read.parquet(f"{to}/benchmark.parquet").limit(0).write.parquet(f"{there}/benchmark.parquet")
+    seen = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        seen = stage(spark, seen, there)
+        assert seen.columns == odd.columns
+    got = {r.doc_id for r in corpus_pipeline.run(spark, there).collect()}
+    assert {1, 2, 3, 5, 6} <= got and len(got & {None, 9}) == 1  # nothing is contaminated; of two near copies one stays
+    none = scratch(spark, "pipeline-empty")
+    rows.limit(0).write.parquet(f"{none}/documents.parquet")
+    spark.read.parquet(f"{to}/benchmark.parquet").write.parquet(f"{none}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_what_stages_store_is_dropped(spark, case):
+    import os
+
+    from ledgerbrook.sources.scratch import run_dir, scratch as path_in, temporary
+
+    with temporary(spark):
+        inside = path_in(spark, "x")
+        spark.range(3).write.parquet(inside)
+        assert os.path.isdir(inside.removeprefix("file://"))
+    assert not os.path.exists(os.path.dirname(inside.removeprefix("file://"))) and path_in(spark, "y").startswith(run_dir(spark))
