@@ -148,7 +148,9 @@ def write_archives(pages: DataFrame, to: str, id_col: str = "page_id", url_col:
     """Write a record for each row into monolithic gzip archives under `to`; the manifest (path, records, bytes).
 
     Each task writes its own files, named at random, and only files in the stored manifest count: a task that runs
-    again leaves an unlisted file. Null payloads are empty, null urls are `urn:none`.
+    again leaves an unlisted file. Null payloads are empty, null urls are `urn:none`. Null and repeated ids are records as any
+    other; extra columns are ignored, whatever their names. Payloads may be of any length: a task holds one at a time. An
+    empty table gives an empty manifest.
     """
     rows = with_revisits(pages, id_col, payload_col, least_bytes).select(
         F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("urn:none")).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), F.col("__response").cast("string").alias("response"))
@@ -194,7 +196,8 @@ def write_archives(pages: DataFrame, to: str, id_col: str = "page_id", url_col:
 def normalise(manifest: DataFrame, to: str) -> DataFrame:
     """Rewrite each archive with one gzip member a record, beside a sidecar offset index (`<archive>.idx`); the index.
 
-    A file's stream is inflated once, front to back; a task holds one record. The index is stored before it is used.
+    A file's stream is inflated once, front to back; a task holds one record, of any length. The index is stored before it
+    is used. An empty manifest gives an empty index; other columns of the manifest are ignored.
     """
     files, schema = max(1, manifest.count()), arrow_type(INDEX)
 
@@ -224,7 +227,10 @@ def normalise(manifest: DataFrame, to: str) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """Read indexed records by offset, each from its own member; rows of RECORD (payload is null for revisits)."""
+    """Read indexed records by offset, each from its own member; rows of RECORD (payload is null for revisits).
+
+    A record is read whole, whatever its length; an index row that occurs twice is read twice; an empty index gives no rows.
+    """
 
     schema = arrow_type(RECORD)
 
