@@ -65,13 +65,18 @@ def mutations(born: DataFrame, keys: list[str], rates: dict[int, tuple[int, int]
     return updates.unionByName(drawn.where(c("__d").isNotNull()).select(*keys, c("__d").alias("step"), F.lit("d").alias("_op")))
 
 
-def random_payload(rows: DataFrame, keys: list[str], seed: int) -> DataFrame:
-    """Every non-key column replaced by a typed value drawn from the key, the step and the column's name."""
+def hashed_values(seed: int) -> Callable[..., Column]:
+    """A number for a value, from the key, the step and the column's name."""
+    return lambda keys, step, name: F.xxhash64(*keys, step, F.lit(name), F.lit(seed))
+
+
+def random_payload(rows: DataFrame, keys: list[str], value: Callable[..., Column]) -> DataFrame:
+    """Every non-key column replaced by a typed value that follows from value(keys, step, column name)."""
     out = rows
     for f in rows.schema.fields:
         if f.name in (*keys, "step", "_op", "_op_index"):
             continue
-        h = F.xxhash64(*(c(k) for k in keys), c("step"), F.lit(f.name), F.lit(seed))
+        h = value([c(k) for k in keys], c("step"), f.name)
         if isinstance(f.dataType, (T.ByteType, T.ShortType)):
             v = F.pmod(h, F.lit(99)) + 1
         elif isinstance(f.dataType, (T.IntegerType, T.LongType)):
@@ -96,14 +101,15 @@ def tagged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.orderBy("step", rank, *keys).withColumn("_op_index", F.monotonically_increasing_id())
 
 
-def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio: float = 0.1, delete_ratio: float = 0.05, seed: int = 7, bootstrap: bool = False, mutation_steps: int = 5, churn: float = 0.1, dimension: bool = False) -> DataFrame:
+def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio: float = 0.1, delete_ratio: float = 0.05, seed: int = 7, bootstrap: bool = False, mutation_steps: int = 5, churn: float = 0.1, dimension: bool = False, draw: Callable[..., Column] | None = None, value: Callable[..., Column] | None = None) -> DataFrame:
     """The change log of base: its columns, batch_id, _op and _op_index. Delete rows hold the key and nulls.
 
     Each step updates round(update_ratio * creates) and deletes round(delete_ratio * creates) live keys, give or take a
     quarter by hash and chance. bootstrap: all rows are created in step 0; then each of mutation_steps steps changes
     round(live keys * churn / mutation_steps), by chance, with no jitter, updates and deletes in the proportion of their ratios.
+    draw and value take the place of hashes where something else must repeat them.
     """
-    draw = hashed(seed)
+    draw = draw or hashed(seed)
     born = birth_steps(base, keys, steps, draw, dimension or bootstrap)
     creates = {r[0]: r[1] for r in born.groupBy("step").count().collect()}  # one row per step
     jitter = lambda s, what: 0.75 + (s * 7919 + what * 104_729 + seed * 31) % 1000 / 2000
@@ -121,7 +127,7 @@ def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio:
     changes = mutations(born, keys, rates, draw)
     payload = [f for f in base.columns if f not in keys]
     empty = lambda rows: rows.select(*keys, *(F.lit(None).cast(base.schema[p].dataType).alias(p) for p in payload), "step", "_op")
-    updates = random_payload(empty(changes.where("_op = 'u'")), keys, seed)
+    updates = random_payload(empty(changes.where("_op = 'u'")), keys, value or hashed_values(seed))
     deletes = empty(changes.where("_op = 'd'"))
     log = born.withColumn("_op", F.lit("c")).unionByName(updates.select(*base.columns, "step", "_op")).unionByName(deletes)
     return tagged(log, keys).withColumnRenamed("step", "batch_id")
@@ -174,6 +180,30 @@ def by_arithmetic(keys, step, what):
     return F.pmod(keys[0] * 7919 + step.cast("long") * 40_503 + {"birth": 1, "u": 2, "d": 3}[what] * 104_729, F.lit(1_000_000).cast("long"))
 
 
+def values_by_arithmetic(keys, step, name):
+    return keys[0] * 7919 + step.cast("long") * 40_503 + len(name) * 104_729
+
+
+def _bootstrap_sql(churn: float, steps: int) -> str:
+    """The log of synthesize(customer, bootstrap, both by arithmetic), step by step: counts wanted, capped by the live keys, then drawn."""
+    h = lambda name: f"(c_custkey * 7919 + s * 40503 + {len(name) * 104_729})"
+    text = lambda name: f"substring(sha256(CAST({h(name)} AS VARCHAR)), 1, 10)"
+    return f"""WITH RECURSIVE r AS (
+  SELECT 1 AS s, live, u, d FROM (SELECT count(*) AS live FROM customer) AS n, LATERAL (SELECT CASE WHEN w + x > live THEN w * live // (w + x) ELSE w END AS u, CASE WHEN w + x > live THEN x * live // (w + x) ELSE x END AS d FROM (SELECT CAST(round_even(e * (0.1::DOUBLE / (0.1::DOUBLE + 0.05::DOUBLE)), 0) AS BIGINT) AS w, e - w AS x FROM (SELECT CAST(round_even(live * {churn}::DOUBLE / {steps}, 0) AS BIGINT) AS e)))
+  UNION ALL
+  SELECT s, live, u, d FROM (SELECT s + 1 AS s, live - d AS live FROM r WHERE s < {steps}) AS n, LATERAL (SELECT CASE WHEN w + x > live THEN w * live // (w + x) ELSE w END AS u, CASE WHEN w + x > live THEN x * live // (w + x) ELSE x END AS d FROM (SELECT CAST(round_even(e * (0.1::DOUBLE / (0.1::DOUBLE + 0.05::DOUBLE)), 0) AS BIGINT) AS w, e - w AS x FROM (SELECT CAST(round_even(live * {churn}::DOUBLE / {steps}, 0) AS BIGINT) AS e)))),
+rate AS (SELECT s, 1000000 * u // live AS u, 1000000 * d // live AS d FROM r WHERE live > 0),
+gone AS (SELECT c_custkey, min(s) AS s FROM customer, rate WHERE (c_custkey * 7919 + s * 40503 + 314187) % 1000000 < d GROUP BY c_custkey),
+changed AS (SELECT c.c_custkey, rate.s FROM rate, customer c LEFT JOIN gone g ON g.c_custkey = c.c_custkey WHERE (c.c_custkey * 7919 + rate.s * 40503 + 209458) % 1000000 < u AND (g.s IS NULL OR rate.s < g.s))
+SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, CAST(0 AS INT) AS batch_id, 'c' AS _op FROM customer
+UNION ALL SELECT c_custkey, {text('c_name')}, CAST({h('c_nationkey')} % 999999 + 1 AS INT), {h('c_acctbal')} % 10000000 / 10000::DOUBLE, {text('c_mktsegment')}, CAST(s AS INT), 'u' FROM changed
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, CAST(s AS INT), 'd' FROM gone"""
+
+
+def _bootstrapped(t: Tables, churn: float, steps: int) -> DataFrame:
+    return synthesize(t.customer, ["c_custkey"], bootstrap=True, mutation_steps=steps, churn=churn, draw=by_arithmetic, value=values_by_arithmetic).drop("_op_index")
+
+
 _BORN = "born AS (SELECT c_custkey, CAST(((c_custkey * 7919 - 40503 + 104729) % 1000000) % 6 AS INT) AS step FROM customer)"
 _MUTATIONS = f"""WITH {_BORN},
 later AS (SELECT c_custkey, born.step AS birth, s FROM born JOIN (SELECT unnest(range(1, 6)) AS s) ON s > born.step),
@@ -203,6 +233,8 @@ ALL = {
     "g10_generation_counts": (lambda t: generation_counts(orders_log(t), "orders"), f"WITH {ORDERS_LOG} SELECT 'orders' AS table_name, batch_id, count(*) FILTER (_op = 'c') AS c, count(*) FILTER (_op = 'u') AS u, count(*) FILTER (_op = 'd') AS d FROM orders_log GROUP BY batch_id"),
     "g11_log_kind": (lambda t: log_kind(orders_log(t)).unionByName(log_kind(orders_log(t).where("batch_id = 0"))), f"WITH {ORDERS_LOG} SELECT CASE WHEN bool_or(_op <> 'c') THEN 'changes' ELSE 'events' END AS kind FROM orders_log UNION ALL SELECT CASE WHEN bool_or(_op <> 'c') THEN 'changes' ELSE 'events' END FROM orders_log WHERE batch_id = 0"),
     "g12_expected_rows": (lambda t: t.region.agg(F.count("*").alias("actual")).select(F.lit("region").alias("table_name"), "actual").unionByName(t.orders.agg(F.count("*").alias("actual")).select(F.lit("orders").alias("table_name"), "actual")).join(expected_rows(t.spark, 0.01), "table_name"), "SELECT 'region' AS table_name, (SELECT count(*) FROM region) AS actual, CAST(5 AS BIGINT) AS expected UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 15000"),
+    "g6_capped_counts": (lambda t: _bootstrapped(t, 6.0, 4), _bootstrap_sql(6.0, 4)),
+    "g7_g8_bootstrap_by_arithmetic": (lambda t: _bootstrapped(t, 0.4, 4), _bootstrap_sql(0.4, 4)),
     "g7_bootstrap_log": (lambda t: synthesize(t.customer, ["c_custkey"], bootstrap=True, mutation_steps=4, churn=0.2), None),
     "g8_random_payload_log": (lambda t: synthesize(t.supplier, ["s_suppkey"], steps=5, update_ratio=0.4, delete_ratio=0.1), None),
 }

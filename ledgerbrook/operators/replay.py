@@ -62,10 +62,20 @@ def op_code(op: Column) -> Column:
 
 
 def segments(log: DataFrame) -> DataFrame:
-    """Runs of equal operations within a batch, in order: batch_id, segment, _op, first and last index, rows."""
-    w = W.partitionBy("batch_id").orderBy("_op_index")
-    cut = log.withColumn("_op", op_code(c("_op"))).withColumn("new", (~c("_op").eqNullSafe(F.lag("_op").over(w))).cast("int"))
-    runs = cut.withColumn("segment", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Runs of equal operations within a batch, in order: batch_id, segment, _op, first and last index, rows.
+
+    Runs are found within the ranges of a sort, which are stored once; each range goes on from the last operation and the
+    runs of those before it, so a batch of any size is many tasks' work.
+    """
+    rows = log.select("batch_id", "_op_index", op_code(c("_op")).alias("_op")).orderBy("batch_id", "_op_index").withColumn("__p", F.spark_partition_id())
+    ranges = stored(rows, "ranges")
+    w, across = W.partitionBy("batch_id", "__p").orderBy("_op_index"), W.partitionBy("batch_id").orderBy("__p")
+    cut = ranges.withColumn("new", F.coalesce((c("_op") != F.lag("_op").over(w)).cast("int"), F.lit(0)))  # the first of a range is seen to below
+    ends = cut.groupBy("batch_id", "__p").agg(F.min_by("_op", "_op_index").alias("__begins"), F.max_by("_op", "_op_index").alias("__ends"), F.sum("new").alias("__new"))  # one row per range
+    opens = F.coalesce((c("__begins") != F.lag("__ends").over(across)).cast("int"), F.lit(1))
+    ends = ends.withColumn("__opens", opens).withColumn("__before", F.sum(c("__opens") + c("__new")).over(across) - c("__new"))
+    ends = ends.select(c("batch_id").alias("__i"), c("__p").alias("__q"), "__before")
+    runs = cut.withColumn("segment", F.sum("new").over(w)).join(ends, c("batch_id").eqNullSafe(c("__i")) & (c("__p") == c("__q"))).withColumn("segment", c("segment") + c("__before"))
     return runs.groupBy("batch_id", "segment", "_op").agg(F.min("_op_index").alias("first"), F.max("_op_index").alias("last"), F.count("*").alias("n"))
 
 

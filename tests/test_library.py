@@ -188,3 +188,79 @@ def test_stream_refuses_batches_out_of_order(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = tpch.queries()["h6_forecast_revenue"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate)" in plan and "l_comment" not in plan and "l_orderkey" not in plan.split("ReadSchema")[1]
+
+
+def test_mutation_counts_are_capped_by_the_live_keys():
+    rates = changelog.step_rates({0: 600}, range(3), lambda s, live: (900, 300))
+    assert rates[0] == (0, 0) and rates[1] == (750_000, 250_000)  # 1200 wanted of 600: 450 and 150
+    assert rates[2][0] + rates[2][1] <= 1_000_000
+    seen = []
+    changelog.step_rates({}, range(1, 4), lambda s, live: seen.append(live) or (0, live // 10), 1000)
+    assert seen == [1000, 900, 810]
+
+
+def test_bootstrap_churns_by_the_live_keys_and_payload_ranges_hold(spark):
+    base = spark.range(20_000).select(F.col("id").alias("k"), F.lit(1).alias("small"), F.lit(1).cast("long").alias("big"), F.lit("x").alias("name"), F.lit(0.5).alias("part"))
+    log = changelog.synthesize(base, ["k"], update_ratio=0.3, delete_ratio=0.1, bootstrap=True, mutation_steps=4, churn=0.2).cache()
+    n = {(r.batch_id, r._op): r["count"] for r in log.groupBy("batch_id", "_op").count().collect()}
+    assert n[0, "c"] == 20_000 and {b for b, _ in n} == {0, 1, 2, 3, 4}
+    assert all(abs(n[b, "u"] / 750 - 1) < 0.2 and abs(n[b, "d"] / 250 - 1) < 0.3 for b in range(1, 5))
+    u = log.where("_op = 'u'").agg(F.min("small"), F.max("small"), F.min("big"), F.max("big"), F.min(F.length("name")), F.max(F.length("name")), F.max("part")).first()
+    assert u[0] >= 1 and 500_000 < u[1] <= 999_999 and u[2] >= 1 and 500_000_000 < u[3] <= 999_999_999 and u[4] == u[5] == 10 and u[6] < 1000
+
+
+def test_keyed_sink_takes_inserts_updates_and_deletes(spark):
+    from ledgerbrook.sources.keyed import KeyedSink
+
+    rows = lambda x: spark.createDataFrame(x, "k long, v string")
+    sink = KeyedSink(spark, batches.scratch(spark, "sink"), rows([]).schema, ["k"])
+    assert sink.version() == -1 and sink.read() is None
+    sink.insert(rows([(1, "a"), (2, "b"), (3, None)]))
+    sink.update(rows([(2, "c"), (9, "none")]))
+    sink.delete(rows([(1, "ignored"), (7, None)]))
+    assert sorted(map(tuple, sink.read().collect())) == [(2, "c"), (3, None)] and sink.version() == 2
+    rows([(5, "cut short")]).write.parquet(f"{sink.path}/v3")  # a version that was never noted
+    sink.insert(rows([(4, "d")]))
+    assert sorted(map(tuple, KeyedSink(spark, sink.path, sink.schema, ["k"]).read().collect())) == [(2, "c"), (3, None), (4, "d")]
+
+
+def test_queue_waits_equal_a_served_queue(spark):
+    from datetime import datetime, timedelta
+
+    rng, rows = random.Random(6), []
+    for i in range(400):
+        rows.append((i, i % 2, datetime(2024, 1, 1) + timedelta(milliseconds=rng.randrange(9000)), float(rng.randrange(80))))
+    got = {r.run_id: r.wait_ms for r in runstats.queue_waits(spark.createDataFrame(rows, "run_id long, worker_id long, started_at timestamp_ntz, duration_ms double"), ["worker_id"]).collect()}
+    free = {}
+    for i, w, at, ms in sorted(rows, key=lambda r: (r[2], r[0])):
+        start = max(at, free.get(w, at))
+        assert abs(got[i] - (start - at).total_seconds() * 1000) < 0.01
+        free[w] = start + timedelta(milliseconds=ms)
+    assert max(got.values()) > 100
+
+
+def test_ranks_hold_when_a_group_spans_many_ranges(spark):
+    values = [random.Random(i).randrange(5000) for i in range(20_000)]
+    df = spark.createDataFrame([("big", float(v)) for v in values] + [(None, 3.0), (None, None)], "g string, v double").repartition(5)
+    got = {r.g: (r.p50, r.p99) for r in runstats.percentiles(df, ["g"], "v", [50, 99]).collect()}
+    v = sorted(values)
+    assert got == {"big": ((v[9999] + v[10000]) / 2, (v[19799] + v[19800]) / 2), None: (3.0, 3.0)}
+
+
+def test_late_rows_miss_their_window(spark):
+    t = relational.Tables(spark, SF)
+    assert stream._metric_stream(t).agg(F.sum("n")).first()[0] == t.events.count()  # one late row was sent and dropped
+
+
+def test_segments_go_on_across_ranges(spark):
+    rng = random.Random(8)
+    rows = [(b, i, rng.choice(["c", "c", "c", "u", "d", None])) for b in (1, 2) for i in range(3000)] + [(3, i, "u") for i in range(2000)]
+    got = replay.segments(spark.createDataFrame(rows, "batch_id long, _op_index long, _op string").repartition(9)).collect()
+    want, last = {}, None
+    for b, i, op in rows:
+        op = op or "c"
+        if last != (b, op):
+            n = 1 + max((s for x, s in want if x == b), default=0)
+            want[b, n], last = [op, i, i, 0], (b, op)
+        want[b, n][2:] = [i, want[b, n][3] + 1]
+    assert {(r.batch_id, r.segment): [r._op, r.first, r.last, r.n] for r in got} == want
