@@ -21,29 +21,53 @@ c = F.col
 class VersionedTable:
     """A keyed table as version folders named by micro-batch, and a table of the versions applied.
 
+    A version is a delta, the changes of its micro-batch, or a base, the whole table; reading folds the deltas since the
+    last base. So a micro-batch costs what it holds, and only every `compact_every`-th rewrites the table.
     A version counts once its number is noted, which happens after it is written; so a micro-batch that is repeated
     after a failure is either skipped or written again from the version before it.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType):
-        self.spark, self.path, self.schema = spark, path, schema
-        self.version, self.last = None, -1
+    NOTED = "version long, last long, base boolean"
+
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, keys: list[str] | None = None, missing_update: str = "ignore", compact_every: int = 8):
+        self.spark, self.path, self.schema, self.keys, self.missing_update, self.compact_every = spark, path, schema, keys, missing_update, compact_every
+        self.version, self.last, self.base, self.deltas = None, -1, None, []
         try:
-            row = spark.read.schema("version long, last long").parquet(f"{path}/applied").agg(F.max(F.struct("version", "last")).alias("x")).first()
+            noted = sorted(set(map(tuple, spark.read.schema(self.NOTED).parquet(f"{path}/applied").collect())))  # one row per micro-batch
         except AnalysisException:  # nothing is applied yet
-            row = None
-        if row and row.x:
-            self.version, self.last = row.x.version, row.x.last
-
-    def read(self) -> DataFrame:
-        if self.version is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.version}")
+            noted = []
+        for version, last, base in noted:
+            self._note(version, last, base)
 
-    def advance(self, state: DataFrame, version: int, last: int) -> None:
-        state.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(version, last)], "version long, last long").coalesce(1).write.mode("append").parquet(f"{self.path}/applied")
+    def _note(self, version: int, last: int, base: bool) -> None:
         self.version, self.last = version, last
+        self.base, self.deltas = (version, []) if base else (self.base, [*self.deltas, version])
+
+    def _changes(self, *more: DataFrame) -> DataFrame | None:
+        schema = T.StructType([*self.schema.fields, T.StructField("_op", T.StringType()), T.StructField("_op_index", T.LongType())])
+        rows = [self.spark.read.schema(schema).parquet(*(f"{self.path}/v{v}" for v in self.deltas))] if self.deltas else []
+        out = None
+        for df in [*rows, *more]:
+            out = df if out is None else out.unionByName(df)
+        return out
+
+    def read(self) -> DataFrame:
+        base = None if self.base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.base}")
+        changes = self._changes()
+        if changes is None:
+            return self.spark.createDataFrame([], self.schema) if base is None else base
+        return apply_changes(base, changes, self.keys, self.missing_update)
+
+    def advance(self, changes: DataFrame, version: int, last: int) -> None:
+        """Apply a micro-batch: its rows with _op and _op_index."""
+        rows = changes.select(*self.schema.names, "_op", "_op_index")
+        compact = len(self.deltas) + 1 >= self.compact_every
+        if compact:
+            base = None if self.base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.base}")
+            rows = apply_changes(base, self._changes(rows), self.keys, self.missing_update)
+        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        self.spark.createDataFrame([(version, last, compact)], self.NOTED).coalesce(1).write.mode("append").parquet(f"{self.path}/applied")  # one row
+        self._note(version, last, compact)
 
 
 def replay_stream(log: DataFrame, target: VersionedTable, keys: list[str], checkpoint: str, missing_update: str = "ignore"):
@@ -59,9 +83,9 @@ def replay_stream(log: DataFrame, target: VersionedTable, keys: list[str], check
             return
         if lo <= target.last:
             raise ValueError(f"micro-batch {number} begins at {lo}, but {target.last} is applied")
-        base = target.read() if target.version is not None else None
-        target.advance(apply_changes(base, batch.select(*target.schema.names, "_op", "_op_index"), keys, missing_update), number, hi)
+        target.advance(batch, number, hi)
 
+    target.keys, target.missing_update = keys, missing_update
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -122,7 +146,7 @@ def _replayed_in(t: Tables, runs: list[range], missing_update: str = "ignore") -
     state = T.StructType([f for f in log.schema if f.name not in ("batch_id", "_op", "_op_index")])
     target = VersionedTable(t.spark, scratch(t.spark, "state"), state)
     for batches in runs:
-        target = VersionedTable(t.spark, target.path, state)  # what is applied is read from the folder
+        target = VersionedTable(t.spark, target.path, state, ["o_orderkey"], missing_update, 4)  # what is applied is read from the folder
         for b in batches:
             append_batch(log, path, b)
             replay_stream(read_log_stream(t.spark, path, log.schema), target, ["o_orderkey"], offsets, missing_update).awaitTermination()
