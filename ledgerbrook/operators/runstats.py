@@ -250,7 +250,6 @@ ALL = {
     "m12_outcome": (lambda t: query_runs(t).groupBy("worker_id", "query_name").agg(F.count_if(~c("success")).alias("f"), F.count("*").alias("n")).select("worker_id", "query_name", outcome(c("f") > 0, c("n") > 490, c("worker_id") == 3).alias("outcome")), f"WITH {RUNS} SELECT worker_id, query_name, CASE WHEN worker_id = 3 THEN 'stopped' WHEN bool_or(NOT success) THEN 'failed' WHEN count(*) <= 490 THEN 'not converged' ELSE 'passed' END AS outcome FROM runs GROUP BY worker_id, query_name"),
     "m13_flattened": (_points, _POINTS),
     "m14_histogram": (lambda t: histogram(query_runs(t), ["query_name"], "duration_ms", [10.0, 50.0, 100.0]), f"WITH {RUNS} SELECT query_name, CASE WHEN duration_ms <= 10 THEN 0 WHEN duration_ms <= 50 THEN 1 WHEN duration_ms <= 100 THEN 2 ELSE 3 END AS bucket, count(*) AS n FROM runs GROUP BY 1, 2"),
-    "m15_parameter_sets": (lambda t: parameter_sets(t.part.where("p_size = 7"), "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part WHERE p_size = 7) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
     "m15_parameter_sets_whole": (lambda t: parameter_sets(t.part, "p_brand", "p_partkey").select("p_partkey", "set_no", "even"), "WITH p AS (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS set_no, count(*) OVER (PARTITION BY p_brand) AS k FROM part) SELECT p_partkey, set_no, (SELECT min(k) = max(k) FROM p) AS even FROM p"),
     "m16_leaderboard": (_board, f"{_WORKERS} SELECT worker_id, CAST(rank() OVER (ORDER BY duration, p99) AS INT) AS place, round(p99, 6) AS p99 FROM (SELECT worker_id, sum(duration_ms) AS duration, {_sql_percentile('', 99)} AS p99 FROM k GROUP BY worker_id)"),
     "m17_queue_waits": (_queues, _QUEUES),
@@ -258,6 +257,9 @@ ALL = {
 }
 
 
+ALL["m15_parameter_sets"] = ALL["m15_parameter_sets_whole"]
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in ALL.items()}
 
