@@ -31,10 +31,10 @@ def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
     ranges = stored(counts.orderBy(*by, value).withColumn("__p", F.spark_partition_id()), "ranges")
     sums = ranges.groupBy("__p", *by).agg(F.sum("__k").alias("__s"))  # one row per range and group in it
     over = W.partitionBy(*by)
-    shifts = sums.select(*(c(x).alias(f"__{x}") for x in by), c("__p").alias("__q"), (F.sum("__s").over(over.orderBy("__p")) - c("__s")).alias("__b"), F.sum("__s").over(over).alias("__n"))
+    shifts = sums.select(*(c(x).alias(f"__by_{x}") for x in by), c("__p").alias("__q"), (F.sum("__s").over(over.orderBy("__p")) - c("__s")).alias("__b"), F.sum("__s").over(over).alias("__n"))
     here = c("__p") == c("__q")
     for x in by:
-        here = here & c(x).eqNullSafe(c(f"__{x}"))
+        here = here & c(x).eqNullSafe(c(f"__by_{x}"))
     within = F.sum("__k").over(W.partitionBy("__p", *by).orderBy(value))
     out = ranges.join(shifts, here).withColumn("__last", within + c("__b") - 1).withColumn("__first", c("__last") - c("__k") + 1)
     return out.select(*by, value, "__k", "__last", "__first", "__n")
@@ -57,11 +57,11 @@ def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], neare
 
 def summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Median, least, most and number of values; groups without a value have no row."""
-    middle = percentiles(df, by, value, [50]).select(*(c(x).alias(f"__{x}") for x in by), c("p50").alias("median"))
+    middle = percentiles(df, by, value, [50]).select(*(c(x).alias(f"__by_{x}") for x in by), c("p50").alias("median"))
     rest = df.groupBy(*by).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.count(value).alias("iterations"))
     same = F.lit(True)
     for x in by:
-        same = same & c(x).eqNullSafe(c(f"__{x}"))
+        same = same & c(x).eqNullSafe(c(f"__by_{x}"))
     return rest.join(middle, same).select(*by, "median", "least", "most", "iterations")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changelog import ORDERS_LOG, orders_log
+from ..operators.changelog import orders_log
 from ..operators.relational import Tables
 from ..operators.replay import _replayed, apply_changes
 from ..operators.runstats import RUNS, percentiles, query_runs
@@ -166,14 +166,14 @@ def _paused(t: Tables) -> DataFrame:
 def _metric_stream(t: Tables) -> DataFrame:
     """metric_windows over a stream: the runs arrive in three parts by time; a last run, a day later, closes every window before it.
 
-    A row that comes later than the watermark allows is dropped: one is sent after the second part, 20 minutes behind it.
+    A row that comes later than the watermark allows is dropped: one is sent after the second part, a day before the first.
     """
     runs, path, out = query_runs(t), scratch(t.spark, "runs"), scratch(t.spark, "windows")
     lo, hi = runs.agg(F.min("started_at"), F.max("started_at")).first()
     if lo is None:
         return metric_windows(runs)
     span = (hi - lo) / 3
-    late = runs.where(c("started_at") <= F.lit(lo)).limit(1).withColumn("started_at", F.lit(lo + span * 2 - timedelta(minutes=20)).cast("timestamp_ntz"))
+    late = runs.where(c("started_at") <= F.lit(lo)).limit(1).withColumn("started_at", F.lit(lo - timedelta(days=1)).cast("timestamp_ntz"))
     after = late.withColumn("started_at", F.lit(hi + timedelta(days=1)).cast("timestamp_ntz"))
     parts = [runs.where((c("started_at") >= F.lit(lo + span * i).cast("timestamp_ntz")) & (c("started_at") < F.lit(lo + span * (i + 1) if i < 2 else hi + span).cast("timestamp_ntz"))) for i in range(3)]
     for i, part in enumerate([*parts[:2], late, parts[2], after]):
