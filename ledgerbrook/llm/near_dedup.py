@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import scratch, temporary
 from .common import WordHashes, arrow_map, arrow_type, fields, kept_names, looked_up, mixed, rolling, shielded, stored, table, table_bytes, utf8, with_columns
 from .graph import components
 
@@ -299,11 +300,15 @@ def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_
     """
     rows, names, restored = shielded(docs)
     i, t = names[id_col], names[text_col]
-    marks = near_duplicates(rows, percent, i, t, **options)
-    keep = marks.where(F.col("rid").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("rid"), F.min("rh").alias("rh"))
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "stay")
+    with temporary(spark):  # of what is stored on the way, only the ids that stay are needed on
+        marks = near_duplicates(rows, percent, i, t, **options)
+        keep = marks.where(F.col("rid").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("rid").alias("rid"), F.min("rh").alias("rh"))
+        wordless = marks.where("n_shingles = 0").select("rid", "rh").distinct()
+        stay = keep.select("rid", "rh").unionByName(wordless).distinct()
+        stay.write.parquet(path)
+    stay = spark.read.schema(stay.schema).parquet(path)
     keyed = rows.withColumn("__h", F.xxhash64(F.col(t).cast("string")))
-    wordless = marks.where("n_shingles = 0").select("rid", "rh").distinct()
-    stay = keep.select("rid", "rh").unionByName(wordless).distinct()
     out = keyed.join(stay, F.col(i).eqNullSafe(F.col("rid")) & (F.col("__h") == F.col("rh")))
     return restored(out.dropDuplicates([i, "__h"]))
 
