@@ -14,7 +14,7 @@ from .common import arrow_type, fields, stored, table, utf8
 from .tokens import END, default_tokenizer, encoder
 
 #: A task packs its documents in blocks of about so many tokens, which bounds its memory.
-BLOCK_TOKENS = 8_000_000
+BLOCK_TOKENS = 4_000_000
 SEQUENCE = "sequence_id long, pieces array<int>, starts array<long>, cu_seqlens array<int>, n_tokens int, ids binary, positions binary"
 
 

@@ -59,7 +59,7 @@ class Encoder:
     of letters alone are encoded many at once, by merge ranks that know a word's end; all others by the tokenizer itself.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
         from tokenizers import Tokenizer
