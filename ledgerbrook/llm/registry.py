@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
+from . import chat, decontamination, embedding_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_warc": warc.op9_warc,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": chat.ORACLE_SQL,
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
+        "op11_embedding_dedup": embedding_dedup.ORACLE_SQL,
     }
