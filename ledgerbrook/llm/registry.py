@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
+from . import chat, decontamination, embedding_dedup, fill_in_middle, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
+        "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_near_dedup": near_dedup.ORACLE_SQL,
         "op9_warc": warc.ORACLE_SQL,
         "op11_embedding_dedup": embedding_dedup.ORACLE_SQL,
+        "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
     }
