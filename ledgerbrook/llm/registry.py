@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, embedding_dedup, fill_in_middle, near_dedup, packing, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
+from . import chat, decontamination, embedding_dedup, fill_in_middle, near_dedup, packing, prefix_trie, quality_rules, sharding, substring_dedup, token_matrix, toxicity, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_embedding_dedup": embedding_dedup.op11_embedding_dedup,
         "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_warc": warc.ORACLE_SQL,
         "op11_embedding_dedup": embedding_dedup.ORACLE_SQL,
         "op12_fill_in_middle": fill_in_middle.ORACLE_SQL,
+        "op13_prefix_trie": prefix_trie.ORACLE_SQL,
     }
