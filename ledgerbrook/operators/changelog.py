@@ -6,12 +6,15 @@ No key set lives on the driver: what happens to a key follows from hashes of the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.scratch import stored
 from .relational import Tables
+from .scans import numbered
 
 c = F.col
 #: Creates come before updates and updates before deletes within a step.
@@ -26,9 +29,15 @@ def sequence_table(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select("id", (c("id") * 10).alias("value"))
 
 
+#: Draws lie in [0, DRAWS).
+DRAWS = 1 << 62
+#: Draws are counted in so many buckets at a time; of a bucket of so few keys the one sought is fetched.
+BINS, FEW = 4096, 1000
+
+
 def hashed(seed: int) -> Callable[..., Column]:
-    """A draw in [0, 1000000) from the key, the step and what is drawn."""
-    return lambda keys, step, what: F.pmod(F.xxhash64(*keys, step, F.lit(what), F.lit(seed)), F.lit(1_000_000))
+    """A draw in [0, DRAWS) from the key, the step and what is drawn."""
+    return lambda keys, step, what: F.xxhash64(*keys, step, F.lit(what), F.lit(seed)).bitwiseAND(F.lit(DRAWS - 1))
 
 
 def birth_steps(base: DataFrame, keys: list[str], steps: int, draw: Callable[..., Column], dimension: bool = False) -> DataFrame:
@@ -37,31 +46,101 @@ def birth_steps(base: DataFrame, keys: list[str], steps: int, draw: Callable[...
     return base.withColumn("step", step.cast("int"))
 
 
-def step_rates(creates: dict[int, int], steps: range, wanted: Callable[[int, int], tuple[int, int]], live: int = 0) -> dict[int, tuple[int, int]]:
-    """For each step, the chance (per million) that a live key is updated and deleted.
+def jittered(n: int, step: int, what: int, seed: int) -> int:
+    """A count from three quarters to five quarters of n, both included."""
+    lo, hi = n * 3 // 4, -(-n * 5 // 4)
+    return lo + (step * 7919 + what * 104_729 + seed * 31) % (hi - lo + 1)
+
+
+def capped(updates: int, deletes: int, live: int) -> tuple[int, int]:
+    """Both counts, scaled down together if they exceed the live keys."""
+    total = updates + deletes
+    return (updates * live // total, deletes * live // total) if total > live else (updates, deletes)
 
-    wanted(step, live keys) gives the counts; those that exceed the live keys are scaled down together.
+
+def least(rows: DataFrame, keys: list[str], ranks: list[int], span: int = DRAWS) -> list[tuple | None]:
+    """The (draw, *keys) of the row of each rank (from 1) by draw and key; None for rank 0.
+
+    rows has draw, a number in [0, span), and keys that tell its rows apart. Draws are counted in buckets, and the bucket that holds a
+    rank is counted again in finer ones, until it has FEW rows; those are fetched, or numbered across ranges if they all have one
+    draw. So BINS counts for each rank, or FEW rows, are all that reaches the driver.
     """
+    at = {r: (0, span, r, None) for r in ranks if r > 0}  # bucket's start and width, rank in it, rows in it
+    open_ = lambda x: x[1] > 1 and (x[3] is None or x[3] > FEW)
+    while any(map(open_, at.values())):
+        windows = sorted({x[:2] for x in at.values() if open_(x)})
+        which = F.lit(None)
+        for i, (lo, width) in enumerate(windows):
+            finer = -(-width // BINS)
+            which = F.when((c("draw") >= lo) & (c("draw") < lo + width), F.struct(F.lit(i).alias("w"), F.floor((c("draw") - lo) / finer).alias("b") if finer < 1 << 40 else F.expr(f"(draw - {lo}) div {finer}").alias("b"))).otherwise(which)
+        counts: dict[int, list] = {}
+        for r in rows.groupBy(which.alias("x")).count().where("x is not null").collect():  # BINS rows for each window
+            counts.setdefault(r.x.w, []).append((r.x.b, r["count"]))
+        for rank, (lo, width, k, n) in at.items():
+            if not open_((lo, width, k, n)):
+                continue
+            finer = -(-width // BINS)
+            for b, n in sorted(counts[windows.index((lo, width))]):
+                if k <= n:
+                    at[rank] = (lo + b * finer, finer, k, n)
+                    break
+                k -= n
     out = {}
-    for s in steps:
-        u, d = wanted(s, live)
-        if u + d > live > 0:
-            u, d = u * live // (u + d), d * live // (u + d)
-        out[s] = (1_000_000 * u // live, 1_000_000 * d // live) if live else (0, 0)
-        live += creates.get(s, 0) - (d if live else 0)
+    for rank, (lo, width, k, n) in at.items():
+        own = rows.where((c("draw") >= lo) & (c("draw") < lo + width)).select("draw", *keys)
+        if n is None or n > FEW:
+            out[rank] = tuple(numbered(own, ["draw", *keys]).where(c("position") == k - 1).select("draw", *keys).first())
+        else:
+            out[rank] = tuple(own.orderBy("draw", *keys).limit(k).collect()[-1])  # FEW rows at most
+    return [out.get(r) for r in ranks]
+
+
+def mutation_plan(born: DataFrame, keys: list[str], wanted: dict[int, Callable[[int], tuple[int, int]]], draw: Callable[..., Column], span: int = DRAWS) -> dict[int, tuple]:
+    """For each step of wanted, the last (draw, *keys) that is updated and the last that is deleted; None where nothing is.
+
+    wanted[step] gives both counts for a number of live keys, which `capped` bounds. Of the keys alive in a step (born by then and deleted in no step before) those
+    with the least draws are updated, as many as asked exactly, and the next are deleted. A key and its step of birth is all that is
+    read; what is alive follows from the limits of the steps before, so only counts and limits are on the driver.
+    """
+    rows = stored(born.select(*keys, "step"), "born")
+    births = {r.step: r["count"] for r in rows.groupBy("step").count().collect()}  # one row per step
+    plan: dict[int, tuple] = {}
+    gone = 0
+    for s in sorted(wanted):
+        live = sum(n for b, n in births.items() if b <= s) - gone
+        u, d = capped(*wanted[s](live), live)
+        if u + d:
+            alive = rows.where((c("step") <= s) & _deleted_at(keys, plan, draw).isNull()).withColumn("draw", draw([c(k) for k in keys], F.lit(s), "drawn"))
+            plan[s] = tuple(least(alive, keys, [u, u + d], span))
+            gone += d
+    return plan
+
+
+def _upto(keys: list[str], step: int, limit: tuple | None, draw: Callable[..., Column]) -> Column:
+    """Whether a key's draw in a step, and of equal draws the key, is at most the limit."""
+    if limit is None:
+        return F.lit(False)
+    own = F.struct(draw([c(k) for k in keys], F.lit(step), "drawn").cast("long").alias("d"), *keys)
+    return own <= F.struct(F.lit(limit[0]).cast("long").alias("d"), *(F.lit(v).alias(k) for k, v in zip(keys, limit[1:], strict=True)))
+
+
+def _deleted_at(keys: list[str], plan: dict[int, tuple], draw: Callable[..., Column]) -> Column:
+    """The step in which a row (keys, step of birth) is deleted: the first in which its draw lies between the limits."""
+    out = F.lit(None).cast("int")
+    for s in sorted(plan, reverse=True):
+        updated, deleted = plan[s]
+        if deleted != updated:
+            out = F.when((c("step") <= s) & _upto(keys, s, deleted, draw) & ~_upto(keys, s, updated, draw), s).otherwise(out)
     return out
 
 
-def mutations(born: DataFrame, keys: list[str], rates: dict[int, tuple[int, int]], draw: Callable[..., Column]) -> DataFrame:
-    """(keys, step, _op): each key's updates and its one delete; steps after the delete, and an update beside it, don't happen."""
-    steps = sorted(rates)
-    key = [c(k) for k in keys]
-    if not steps:
-        return born.select(*keys, "step", F.lit("u").alias("_op")).limit(0)
-    later = F.filter(F.array(*map(F.lit, steps)), lambda s: s > c("step"))
-    rate = {w: F.create_map(*(F.lit(x) for s in steps for x in (s, rates[s][i]))) for i, w in enumerate(("u", "d"))}
-    drawn = born.withColumn("__d", F.array_min(F.filter(later, lambda s: draw(key, s, "d") < rate["d"][s]))).withColumn("__u", F.filter(later, lambda s: draw(key, s, "u") < rate["u"][s]))
-    updates = drawn.select(*keys, "__d", F.explode("__u").alias("step")).where(c("__d").isNull() | (c("step") < c("__d"))).select(*keys, "step", F.lit("u").alias("_op"))
+def mutations(born: DataFrame, keys: list[str], plan: dict[int, tuple], draw: Callable[..., Column]) -> DataFrame:
+    """(keys, step, _op): each key's updates and its one delete, after which nothing happens to it."""
+    none = F.lit(None).cast("int")
+    marked = born.select(*keys, "step", _deleted_at(keys, plan, draw).alias("__d"))
+    hit = [F.when((c("step") <= s) & (c("__d").isNull() | (c("__d") > s)) & _upto(keys, s, u, draw), s).otherwise(none) for s, (u, _) in sorted(plan.items())]
+    drawn = marked.withColumn("__u", F.array_compact(F.array(*hit)) if hit else F.array().cast("array<int>"))
+    updates = drawn.select(*keys, F.explode("__u").alias("step"), F.lit("u").alias("_op"))
     return updates.unionByName(drawn.where(c("__d").isNotNull()).select(*keys, c("__d").alias("step"), F.lit("d").alias("_op")))
 
 
@@ -96,35 +175,40 @@ def random_payload(rows: DataFrame, keys: list[str], value: Callable[..., Column
 
 
 def tagged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows plus _op_index, unique and increasing by step, operation and key: a range sort, then numbers that grow with the partitions."""
+    """rows plus _op_index, gapless from 0 by step, operation (creates, updates, deletes) and key.
+
+    Rows are numbered in the stored ranges of a sort, so the index is the same at every read.
+    """
     rank = F.create_map(*(F.lit(x) for kv in RANK.items() for x in kv))[c("_op")]
-    return rows.orderBy("step", rank, *keys).withColumn("_op_index", F.monotonically_increasing_id())
+    return numbered(rows.withColumn("__rank", rank), ["step", "__rank", *keys]).drop("__rank").withColumnRenamed("position", "_op_index")
 
 
-def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio: float = 0.1, delete_ratio: float = 0.05, seed: int = 7, bootstrap: bool = False, mutation_steps: int = 5, churn: float = 0.1, dimension: bool = False, draw: Callable[..., Column] | None = None, value: Callable[..., Column] | None = None) -> DataFrame:
+def synthesize(base: DataFrame, keys: list[str], steps: int = 20, update_ratio: float = 0.1, delete_ratio: float = 0.05, seed: int = 7, bootstrap: bool = False, mutation_steps: int = 5, churn: float = 0.1, dimension: bool = False, draw: Callable[..., Column] | None = None, value: Callable[..., Column] | None = None, span: int = DRAWS) -> DataFrame:
     """The change log of base: its columns, batch_id, _op and _op_index. Delete rows hold the key and nulls.
 
-    Each step updates round(update_ratio * creates) and deletes round(delete_ratio * creates) live keys, give or take a
-    quarter by hash and chance. bootstrap: all rows are created in step 0; then each of mutation_steps steps changes
-    round(live keys * churn / mutation_steps), by chance, with no jitter, updates and deletes in the proportion of their ratios.
-    draw and value take the place of hashes where something else must repeat them.
+    Each step updates round(update_ratio * creates) and deletes round(delete_ratio * creates) distinct live keys, give or take a
+    quarter, exactly so many, or fewer in proportion where they exceed the live keys. bootstrap: all rows are created in step 0; then each
+    of mutation_steps steps changes round(live keys * churn / mutation_steps), with no jitter, updates and deletes in the
+    proportion of their ratios. A dimension is created whole and never changed. draw (in [0, span)) and value take the place of hashes
+    where something else must repeat them.
     """
     draw = draw or hashed(seed)
     born = birth_steps(base, keys, steps, draw, dimension or bootstrap)
-    creates = {r[0]: r[1] for r in born.groupBy("step").count().collect()}  # one row per step
-    jitter = lambda s, what: 0.75 + (s * 7919 + what * 104_729 + seed * 31) % 1000 / 2000
-    if bootstrap:
+    if dimension:
+        wanted = {}
+    elif bootstrap:
         total = update_ratio + delete_ratio
         weight = update_ratio / total if total > 0 else 1.0
 
-        def churned(step: int, live: int) -> tuple[int, int]:
+        def churned(live: int) -> tuple[int, int]:
             each = round(live * churn / max(mutation_steps, 1))
             return round(each * weight), each - round(each * weight)
 
-        rates = step_rates({}, range(1, 1 + mutation_steps), churned, sum(creates.values()))
+        wanted = {s: churned for s in range(1, 1 + mutation_steps)}
     else:
-        rates = step_rates(creates, range(steps), lambda s, live: (round(creates.get(s, 0) * update_ratio * jitter(s, 1)), round(creates.get(s, 0) * delete_ratio * jitter(s, 2))))
-    changes = mutations(born, keys, rates, draw)
+        creates = {r[0]: r[1] for r in born.groupBy("step").count().collect()}  # one row per step
+        wanted = {s: (lambda live, s=s: tuple(jittered(round(creates.get(s, 0) * r), s, w, seed) for w, r in ((1, update_ratio), (2, delete_ratio)))) for s in range(steps)}
+    changes = mutations(born, keys, mutation_plan(born, keys, wanted, draw, span), draw)
     payload = [f for f in base.columns if f not in keys]
     empty = lambda rows: rows.select(*keys, *(F.lit(None).cast(base.schema[p].dataType).alias(p) for p in payload), "step", "_op")
     updates = random_payload(empty(changes.where("_op = 'u'")), keys, value or hashed_values(seed))
@@ -177,43 +261,86 @@ def orders_log(t: Tables) -> DataFrame:
 
 def by_arithmetic(keys, step, what):
     """A draw that integer SQL repeats."""
-    return F.pmod(keys[0] * 7919 + step.cast("long") * 40_503 + {"birth": 1, "u": 2, "d": 3}[what] * 104_729, F.lit(1_000_000).cast("long"))
+    return F.pmod(keys[0] * 7919 + step.cast("long") * 40_503 + {"birth": 1, "drawn": 2}[what] * 104_729, F.lit(1_000_000).cast("long"))
 
 
 def values_by_arithmetic(keys, step, name):
     return keys[0] * 7919 + step.cast("long") * 40_503 + len(name) * 104_729
 
 
+def _sampled_sql(born: str, first: int, steps: int, wanted: str) -> str:
+    """The recursion drawn: every key at every step it lives to see (s, birth), and what happens to it (op).
+
+    born: (c_custkey, birth); wanted: a query of w(s, wu, wd) counts over live(s, live).
+    """
+    return f"""born AS ({born}),
+drawn AS (
+  SELECT c_custkey, birth, {first - 1} AS s, CAST(NULL AS VARCHAR) AS op FROM born
+  UNION ALL
+  SELECT c_custkey, birth, s, CASE WHEN birth > s THEN NULL WHEN place <= u THEN 'u' WHEN place <= u + d THEN 'd' END
+  FROM (SELECT *, CASE WHEN wu + wd > live THEN wu * live // (wu + wd) ELSE wu END AS u, CASE WHEN wu + wd > live THEN wd * live // (wu + wd) ELSE wd END AS d
+    FROM (SELECT *, {wanted}
+      FROM (SELECT c_custkey, birth, s + 1 AS s, count(*) FILTER (birth <= s + 1) OVER () AS live, count(*) FILTER (birth = s + 1) OVER () AS creates,
+          row_number() OVER (PARTITION BY birth <= s + 1 ORDER BY (c_custkey * 7919 + (s + 1) * 40503 + 209458) % 1000000, c_custkey) AS place
+        FROM drawn WHERE op IS DISTINCT FROM 'd' AND s < {first + steps - 1}))))"""
+
+
 def _bootstrap_sql(churn: float, steps: int) -> str:
-    """The log of synthesize(customer, bootstrap, both by arithmetic), step by step: counts wanted, capped by the live keys, then drawn."""
+    """The log of synthesize(customer, bootstrap, both by arithmetic): counts wanted, capped by the live keys, then drawn."""
     h = lambda name: f"(c_custkey * 7919 + s * 40503 + {len(name) * 104_729})"
     text = lambda name: f"substring(sha256(CAST({h(name)} AS VARCHAR)), 1, 10)"
-    return f"""WITH RECURSIVE r AS (
-  SELECT 1 AS s, live, u, d FROM (SELECT count(*) AS live FROM customer) AS n, LATERAL (SELECT CASE WHEN w + x > live THEN w * live // (w + x) ELSE w END AS u, CASE WHEN w + x > live THEN x * live // (w + x) ELSE x END AS d FROM (SELECT CAST(round_even(e * (0.1::DOUBLE / (0.1::DOUBLE + 0.05::DOUBLE)), 0) AS BIGINT) AS w, e - w AS x FROM (SELECT CAST(round_even(live * {churn}::DOUBLE / {steps}, 0) AS BIGINT) AS e)))
-  UNION ALL
-  SELECT s, live, u, d FROM (SELECT s + 1 AS s, live - d AS live FROM r WHERE s < {steps}) AS n, LATERAL (SELECT CASE WHEN w + x > live THEN w * live // (w + x) ELSE w END AS u, CASE WHEN w + x > live THEN x * live // (w + x) ELSE x END AS d FROM (SELECT CAST(round_even(e * (0.1::DOUBLE / (0.1::DOUBLE + 0.05::DOUBLE)), 0) AS BIGINT) AS w, e - w AS x FROM (SELECT CAST(round_even(live * {churn}::DOUBLE / {steps}, 0) AS BIGINT) AS e)))),
-rate AS (SELECT s, 1000000 * u // live AS u, 1000000 * d // live AS d FROM r WHERE live > 0),
-gone AS (SELECT c_custkey, min(s) AS s FROM customer, rate WHERE (c_custkey * 7919 + s * 40503 + 314187) % 1000000 < d GROUP BY c_custkey),
-changed AS (SELECT c.c_custkey, rate.s FROM rate, customer c LEFT JOIN gone g ON g.c_custkey = c.c_custkey WHERE (c.c_custkey * 7919 + rate.s * 40503 + 209458) % 1000000 < u AND (g.s IS NULL OR rate.s < g.s))
+    each = f"CAST(round_even(live * {churn}::DOUBLE / {steps}, 0) AS BIGINT)"
+    wanted = f"CAST(round_even({each} * (0.1::DOUBLE / (0.1::DOUBLE + 0.05::DOUBLE)), 0) AS BIGINT) AS wu, {each} - wu AS wd"
+    return f"""WITH RECURSIVE {_sampled_sql("SELECT c_custkey, 0 AS birth FROM customer", 1, steps, wanted)}
 SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, CAST(0 AS INT) AS batch_id, 'c' AS _op FROM customer
-UNION ALL SELECT c_custkey, {text('c_name')}, CAST({h('c_nationkey')} % 999999 + 1 AS INT), {h('c_acctbal')} % 10000000 / 10000::DOUBLE, {text('c_mktsegment')}, CAST(s AS INT), 'u' FROM changed
-UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, CAST(s AS INT), 'd' FROM gone"""
+UNION ALL SELECT c_custkey, {text('c_name')}, CAST({h('c_nationkey')} % 999999 + 1 AS INT), {h('c_acctbal')} % 10000000 / 10000::DOUBLE, {text('c_mktsegment')}, CAST(s AS INT), 'u' FROM drawn WHERE op = 'u'
+UNION ALL SELECT c_custkey, NULL, NULL, NULL, NULL, CAST(s AS INT), 'd' FROM drawn WHERE op = 'd'"""
 
 
 def _bootstrapped(t: Tables, churn: float, steps: int) -> DataFrame:
-    return synthesize(t.customer, ["c_custkey"], bootstrap=True, mutation_steps=steps, churn=churn, draw=by_arithmetic, value=values_by_arithmetic).drop("_op_index")
+    return synthesize(t.customer, ["c_custkey"], bootstrap=True, mutation_steps=steps, churn=churn, draw=by_arithmetic, value=values_by_arithmetic, span=1_000_000).drop("_op_index")
 
 
 _BORN = "born AS (SELECT c_custkey, CAST(((c_custkey * 7919 - 40503 + 104729) % 1000000) % 6 AS INT) AS step FROM customer)"
-_MUTATIONS = f"""WITH {_BORN},
-later AS (SELECT c_custkey, born.step AS birth, s FROM born JOIN (SELECT unnest(range(1, 6)) AS s) ON s > born.step),
-d AS (SELECT c_custkey, min(s) AS s FROM later WHERE (c_custkey * 7919 + s * 40503 + 314187) % 1000000 < 50000 GROUP BY c_custkey),
-u AS (SELECT l.c_custkey, l.s FROM later l LEFT JOIN d USING (c_custkey) WHERE (l.c_custkey * 7919 + l.s * 40503 + 209458) % 1000000 < 200000 AND (d.s IS NULL OR l.s < d.s))
-SELECT c_custkey, CAST(s AS INT) AS step, 'u' AS _op FROM u UNION ALL SELECT c_custkey, CAST(s AS INT), 'd' FROM d"""
+#: Updates of half and deletes of a fifth of the creates, give or take a quarter, in each of six steps.
+_RATIOS, _STEPS, _SEED = (0.5, 0.2), 6, 7
+
+
+def _jittered_sql(ratio: float, what: int) -> str:
+    n = f"CAST(round_even(creates * {ratio}::DOUBLE, 0) AS BIGINT)"
+    return f"{n} * 3 // 4 + (s * 7919 + {what * 104_729 + _SEED * 31}) % (({n} * 5 + 3) // 4 - {n} * 3 // 4 + 1)"
+
+
+def _mutations_sql() -> str:
+    wanted = f"{_jittered_sql(_RATIOS[0], 1)} AS wu, {_jittered_sql(_RATIOS[1], 2)} AS wd"
+    born = f"SELECT c_custkey, CAST(((c_custkey * 7919 - 40503 + 104729) % 1000000) % {_STEPS} AS INT) AS birth FROM customer"
+    return f"WITH RECURSIVE {_sampled_sql(born, 0, _STEPS, wanted)} SELECT c_custkey, CAST(s AS INT) AS step, op AS _op FROM drawn WHERE op IS NOT NULL"
 
 
 def _mutations(t: Tables) -> DataFrame:
-    return mutations(birth_steps(t.customer.select("c_custkey"), ["c_custkey"], 6, by_arithmetic), ["c_custkey"], {s: (200_000, 50_000) for s in range(1, 6)}, by_arithmetic)
+    log = synthesize(t.customer.select("c_custkey"), ["c_custkey"], _STEPS, *_RATIOS, seed=_SEED, draw=by_arithmetic, value=values_by_arithmetic, span=1_000_000)
+    return log.where("_op <> 'c'").select("c_custkey", c("batch_id").alias("step"), "_op")
+
+
+def _scaled(t: Tables) -> DataFrame:
+    """Actual and expected rows of every standard table that the folder holds, at the scale that its orders show; partsupp is derived from the lines."""
+    names = [n for n in ROWS_AT_ONE if n != "partsupp"]
+    actual = reduce(DataFrame.unionByName, (getattr(t, n).agg(F.count("*").alias("actual")).select(F.lit(n).alias("table_name"), "actual") for n in names))
+    pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct().agg(F.count("*").alias("actual")).select(F.lit("partsupp").alias("table_name"), "actual")
+    return actual.unionByName(pairs).join(expected_rows(t.spark, t.orders.count() / ROWS_AT_ONE["orders"]), "table_name")
+
+
+def _scaled_sql() -> str:
+    rows = lambda n: "(SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem))" if n == "partsupp" else f"(SELECT count(*) FROM {n})"
+    scale = f"((SELECT count(*) FROM orders) / {ROWS_AT_ONE['orders']}::DOUBLE)"
+    return " UNION ALL ".join(f"SELECT '{n}' AS table_name, {rows(n)} AS actual, CAST({k if n in FIXED else f'round_even({k} * {scale}, 0)'} AS BIGINT) AS expected" for n, k in ROWS_AT_ONE.items())
+
+
+def _tagged(t: Tables) -> DataFrame:
+    """The orders log numbered anew: each row's place, and whether two reads agree on it."""
+    log = tagged(orders_log(t).drop("_op_index").withColumnRenamed("batch_id", "step"), ["o_orderkey"])
+    row = ["o_orderkey", "step", "_op", "o_totalprice"]
+    return log.select(*row, "_op_index").intersect(log.repartition("o_orderkey").select(*row, "_op_index"))
 
 
 def _sequenced(t: Tables) -> DataFrame:
@@ -226,12 +353,12 @@ def _sequenced(t: Tables) -> DataFrame:
 ALL = {
     "g1_sequence_whole": (_sequenced, "SELECT c_custkey AS id, c_custkey * 10 AS value FROM customer"),
     "g2_step_partitioning": (lambda t: birth_steps(t.customer.select("c_custkey"), ["c_custkey"], 6, by_arithmetic), f"WITH {_BORN} SELECT c_custkey, step FROM born"),
-    "g3_operation_tagging": (lambda t: tagged(orders_log(t).drop("_op_index").withColumnRenamed("batch_id", "step"), ["o_orderkey"]).orderBy("_op_index").select("o_orderkey", "step", "_op", (F.lag("_op_index").over(_one_key()) < c("_op_index")).alias("later")), f"WITH {ORDERS_LOG} SELECT o_orderkey, batch_id AS step, _op, CASE WHEN row_number() OVER (PARTITION BY o_orderkey ORDER BY _op_index) > 1 THEN true END AS later FROM orders_log"),
-    "g4_update_and_g5_delete_sampling": (_mutations, _MUTATIONS),
+    "g3_operation_tagging": (_tagged, f"WITH {ORDERS_LOG} SELECT o_orderkey, batch_id AS step, _op, o_totalprice, row_number() OVER (ORDER BY batch_id, CASE _op WHEN 'c' THEN 0 WHEN 'u' THEN 1 ELSE 2 END, o_orderkey) - 1 AS _op_index FROM orders_log"),
+    "g4_update_and_g5_delete_sampling": (_mutations, _mutations_sql()),
     "g9_live_keys": (lambda t: live_keys(orders_log(t), ["o_orderkey"], 5), f"WITH {ORDERS_LOG} SELECT o_orderkey FROM orders_log WHERE batch_id <= 5 GROUP BY o_orderkey HAVING arg_max(_op, _op_index) <> 'd'"),
     "g10_generation_counts": (lambda t: generation_counts(orders_log(t), "orders"), f"WITH {ORDERS_LOG} SELECT 'orders' AS table_name, batch_id, count(*) FILTER (_op = 'c') AS c, count(*) FILTER (_op = 'u') AS u, count(*) FILTER (_op = 'd') AS d FROM orders_log GROUP BY batch_id"),
     "g11_log_kind": (lambda t: log_kind(orders_log(t)).unionByName(log_kind(orders_log(t).where("batch_id = 0"))), f"WITH {ORDERS_LOG} SELECT CASE WHEN bool_or(_op <> 'c') THEN 'changes' ELSE 'events' END AS kind FROM orders_log UNION ALL SELECT CASE WHEN bool_or(_op <> 'c') THEN 'changes' ELSE 'events' END FROM orders_log WHERE batch_id = 0"),
-    "g12_expected_rows": (lambda t: t.region.agg(F.count("*").alias("actual")).select(F.lit("region").alias("table_name"), "actual").unionByName(t.orders.agg(F.count("*").alias("actual")).select(F.lit("orders").alias("table_name"), "actual")).join(expected_rows(t.spark, 0.01), "table_name"), "SELECT 'region' AS table_name, (SELECT count(*) FROM region) AS actual, CAST(5 AS BIGINT) AS expected UNION ALL SELECT 'orders', (SELECT count(*) FROM orders), 15000"),
+    "g12_expected_rows": (_scaled, _scaled_sql()),
     "g6_capped_counts": (lambda t: _bootstrapped(t, 6.0, 4), _bootstrap_sql(6.0, 4)),
     "g7_g8_bootstrap_by_arithmetic": (lambda t: _bootstrapped(t, 0.4, 4), _bootstrap_sql(0.4, 4)),
     "g7_bootstrap_log": (lambda t: synthesize(t.customer, ["c_custkey"], bootstrap=True, mutation_steps=4, churn=0.2), None),
@@ -242,12 +369,6 @@ ALL = {
 ALL["g1_sequence_table"] = ALL["g1_sequence_whole"]
 
 
-def _one_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("o_orderkey").orderBy("_op_index")
-
-
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Tables(spark, sf_dir))) for name, (f, _) in ALL.items()}
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.batches import scratch
+from ..sources.scratch import stored
 from .changelog import ORDERS_LOG, orders_log
 from .relational import Tables
 
@@ -172,13 +172,6 @@ def rows_for_bytes(df: DataFrame, most_bytes: int = 75 << 20, width: Column | No
     return max(1, int(most_bytes / max(mean or 1, 1)))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder once and read from there."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def split_by_bytes(df: DataFrame, order: list[str], width: Column, most_bytes: int = 75 << 20) -> DataFrame:
     """df plus width and split, a number in order: every split has at most most_bytes, but for single larger rows.
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.scratch import stored
 from .relational import Tables
-from .replay import stored
+from .scans import carries, earlier, in_ranges, scan, with_carries
 
 c = F.col
 
@@ -43,12 +45,13 @@ def ranked(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def percentiles(df: DataFrame, by: list[str], value: str, ps: list[float], nearest: bool = False) -> DataFrame:
     """Percentiles per group, one column `p<percent>` each.
 
-    Rank p / 100 * (n - 1); between two ranks the mean of both values, or with nearest the value at the rounded rank.
+    Rank p / 100 * (n - 1), to four places, since floating point misses whole ranks by less; between two ranks the mean of both
+    values, or with nearest the value at the rounded rank.
     """
     r = ranked(df, by, value)
     out = []
     for p in ps:
-        at = F.lit(p / 100) * (c("__n") - 1)
+        at = F.round(F.lit(p / 100) * (c("__n") - 1), 4)
         lo, hi = (F.floor(at + 0.5), F.floor(at + 0.5)) if nearest else (F.floor(at), F.ceil(at))
         has = lambda x: F.max(F.when((c("__first") <= x) & (x <= c("__last")), c(value)))
         out.append(((has(lo) + has(hi)) / 2).alias(f"p{p:g}"))
@@ -84,10 +87,10 @@ def throughput(parallel: int, queries: int, seconds: Column, scale: float, sets:
 
 
 def counter_rates(df: DataFrame, by: list[str], at: str, counter: str) -> DataFrame:
-    """Rate per second between samples of a cumulative counter; a counter that falls gives 0."""
-    w = W.partitionBy(*by).orderBy(at)
-    seconds = F.unix_timestamp(c(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(w).cast("timestamp"))
-    return df.withColumn("rate", F.greatest(c(counter) - F.lag(counter).over(w), F.lit(0)) / F.nullif(seconds, F.lit(0)))
+    """Rate per second between samples of a cumulative counter; a counter that falls gives 0. A group of any size is many tasks' work."""
+    rows = scan(df, by, [at, counter], {"__at": ("lag", c(at)), "__counter": ("lag", c(counter))})
+    seconds = F.unix_timestamp(c(at).cast("timestamp")) - F.unix_timestamp(c("__at").cast("timestamp"))
+    return rows.withColumn("rate", F.greatest(c(counter) - c("__counter"), F.lit(0)) / F.nullif(seconds, F.lit(0))).drop("__at", "__counter")
 
 
 def wait_share(df: DataFrame, by: list[str]) -> DataFrame:
@@ -111,22 +114,29 @@ TELEMETRY = f"struct<resource:struct<schema_url:string,{_OWNER}>,scopes:array<st
 
 
 def flattened(df: DataFrame, column: str) -> DataFrame:
-    """Nested telemetry (JSON of TELEMETRY) as one row per point, gauges, sums and histograms alike.
+    """Nested telemetry (JSON of TELEMETRY) as one row per point, gauges, sums and histograms alike, parsed once.
 
     data_number or data_histogram is set, as the point's kind is; resource, scope and the point's own attributes stay
     lists. A metric without points gives no row. Times are in UTC.
     """
-    scopes = df.select(F.from_json(column, TELEMETRY).alias("x")).select("x.resource", F.explode("x.scopes").alias("s"))
+    scopes = df.select(F.inline(F.array(F.from_json(column, TELEMETRY)))).select("resource", F.explode("scopes").alias("s"))  # inline: fields are taken from one parse
     metrics = scopes.select("resource", "s.scope", "s.schema_url", F.explode("s.metrics").alias("m"))
-    number = F.transform("m.numbers", lambda p: F.struct(p.alias("p"), F.struct(p["int_value"].alias("int_value"), p["double_value"].alias("double_value")).alias("data_number")))
-    parts = ("count", "sum", "bucket_counts", "explicit_bounds", "min", "max")
-    spread = F.transform("m.histograms", lambda p: F.struct(p.alias("p"), F.struct(*(p[x].alias(x) for x in parts)).alias("data_histogram")))
+    kinds = {"data_number": ("numbers", ("int_value", "double_value")), "data_histogram": ("histograms", ("count", "sum", "bucket_counts", "explicit_bounds", "min", "max"))}
+    common = ("time_unix_nano", "start_time_unix_nano", "flags", "attributes")
+    types = {k: next(f.dataType.elementType for f in metrics.schema["m"].dataType if f.name == name) for k, (name, _) in kinds.items()}
+
+    def points(kind: str) -> Column:
+        """The points of a kind, each with its data and with null for the other kind's."""
+        def point(p: Column) -> Column:
+            own = [F.struct(*(p[x].alias(x) for x in fields)) if k == kind else F.lit(None).cast(T.StructType([types[k][x] for x in fields])) for k, (_, fields) in kinds.items()]
+            return F.struct(*(p[x].alias(x) for x in common), *(x.alias(k) for x, k in zip(own, kinds, strict=True)))
+
+        return F.coalesce(F.transform(c("m")[kinds[kind][0]], point), F.array())
+
     nano = lambda x: F.timestamp_micros(F.floor(c(x) / 1000))
-    common = [c("resource"), c("scope"), c("schema_url"), *(c(f"m.{x}").alias(x) for x in ("metric_type", "name", "description", "unit", "aggregation_temporality", "is_monotonic"))]
-    point = [nano("q.p.time_unix_nano").alias("time"), nano("q.p.start_time_unix_nano").alias("start_time"), c("q.p.flags").alias("flags"), c("q.p.attributes").alias("attributes")]
-    one = metrics.select("*", F.explode(number).alias("q")).select(*common, *point, "q.data_number")
-    two = metrics.select("*", F.explode(spread).alias("q")).select(*common, *point, "q.data_histogram")
-    return one.unionByName(two, allowMissingColumns=True)
+    about = [c(f"m.{x}").alias(x) for x in ("metric_type", "name", "description", "unit", "aggregation_temporality", "is_monotonic")]
+    rows = metrics.select("resource", "scope", "schema_url", *about, F.explode(F.concat(*map(points, kinds))).alias("q"))
+    return rows.select("resource", "scope", "schema_url", *(x for x in rows.columns[3:-1]), nano("q.time_unix_nano").alias("time"), nano("q.start_time_unix_nano").alias("start_time"), "q.flags", "q.attributes", "q.data_number", "q.data_histogram")
 
 
 def attribute(attributes: Column, key: str, kind: str = "str") -> Column:
@@ -143,9 +153,9 @@ def histogram(df: DataFrame, by: list[str], value: str, bounds: list[float]) ->
 
 
 def parameter_sets(df: DataFrame, name: str, order: str) -> DataFrame:
-    """df plus set_no (the i-th variant of each query is in set i) and even (whether all queries have as many)."""
-    rows = df.withColumn("set_no", F.row_number().over(W.partitionBy(name).orderBy(order)))
-    even = rows.groupBy(name).agg(F.count("*").alias("k")).agg((F.min("k") == F.max("k")).alias("even"))
+    """df plus set_no (the i-th variant of each query is in set i) and even (whether all queries have as many). A query of any number of variants is many tasks' work."""
+    rows = scan(df, [name], [order], {"set_no": ("sum", F.lit(1).cast("long"))}).withColumn("set_no", c("set_no").cast("int"))
+    even = df.groupBy(name).agg(F.count("*").alias("k")).agg((F.min("k") == F.max("k")).alias("even"))
     return rows.crossJoin(F.broadcast(even))  # one row
 
 
@@ -154,12 +164,24 @@ def queue_waits(df: DataFrame, by: list[str]) -> DataFrame:
 
     A run waits while the time the runs before it took exceeds the time that has passed: with X the sum of durations before
     minus the arrival, the wait is X less the smallest X so far. Depth counts the runs of the second in which it arrives, so far.
+    A worker's log is cut in ranges: a range goes on from the sum of those before it and from the smallest X in them.
     """
-    w = W.partitionBy(*by).orderBy("started_at", "run_id")
-    at = F.unix_micros(c("started_at").cast("timestamp")) / 1000
-    ahead = df.withColumn("__x", F.coalesce(F.sum("duration_ms").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) - at)
-    second = W.partitionBy(*by, F.date_trunc("second", "started_at")).orderBy("started_at", "run_id")
-    return ahead.withColumn("wait_ms", c("__x") - F.min("__x").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", F.row_number().over(second)).drop("__x")
+    order = ["started_at", "run_id"]
+    timed = df.withColumn("__at", F.unix_micros(c("started_at").cast("timestamp")) / 1000).withColumn("__second", F.date_trunc("second", "started_at"))
+    ranges = in_ranges(timed, by, order)
+    w = W.partitionBy("__p", *by).orderBy(*order)
+    upto = w.rowsBetween(W.unboundedPreceding, 0)
+
+    def with_x(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__x", F.coalesce(F.sum("duration_ms").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) - c("__at"))
+
+    shift = F.coalesce(c("__shift"), F.lit(0.0))
+    begins = carries(ranges, by, {"__sum": F.sum("duration_ms"), "__least": F.min("__x")}, {"__shift": F.sum("__sum").over(earlier()), "__low": F.min(shift + c("__least")).over(earlier())}, with_x)
+    arrived = carries(ranges, [*by, "__second"], {"__n": F.count("*")}, {"__before": F.sum("__n").over(earlier())})
+    rows = with_carries(with_carries(with_x(ranges), by, begins), [*by, "__second"], arrived)
+    wait = c("__x") + shift - F.least(F.min("__x").over(upto) + shift, c("__low"))
+    depth = F.row_number().over(W.partitionBy("__p", *by, "__second").orderBy(*order)) + F.coalesce("__before", F.lit(0))
+    return rows.withColumn("wait_ms", wait).withColumn("depth", depth.cast("int")).select(*df.columns, "wait_ms", "depth")
 
 
 def leaderboard(df: DataFrame) -> DataFrame:
@@ -171,7 +193,7 @@ def r6(x) -> Column:
 
 
 def _sql_percentile(by: str, p: float, nearest: bool = False) -> str:
-    at = f"{p / 100} * (n - 1)"
+    at = f"round({p / 100}::DOUBLE * (n - 1), 4)"
     lo, hi = (f"floor({at} + 0.5)", f"floor({at} + 0.5)") if nearest else (f"floor({at})", f"ceil({at})")
     return f"round((max(CASE WHEN r = {lo} THEN duration_ms END) + max(CASE WHEN r = {hi} THEN duration_ms END)) / 2, 6)"
 

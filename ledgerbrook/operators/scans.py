@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .replay import stored
+from ..sources.scratch import stored
 
 c = F.col
 
@@ -33,14 +35,14 @@ def cut_groups(ranges: DataFrame, by: list[str]) -> DataFrame:
     return a.join(F.broadcast(b), c("__g").eqNullSafe(c("__h")) & (c("__a") < c("__b"))).select("__g").distinct()
 
 
-def carries(ranges: DataFrame, by: list[str], totals: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
+def carries(ranges: DataFrame, by: list[str], totals: dict[str, Column], carried: dict[str, Column], within: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """(__g, __q, carried columns) of groups in several ranges: what each of their ranges begins with.
 
-    totals are aggregates of a group's rows in one range; carried are window expressions over those of the ranges before,
-    in the window `earlier()`. At most twice as many rows as ranges.
+    totals are aggregates of a group's rows in one range, after `within` has added columns to them; carried are window
+    expressions over those of the ranges before, in the window `earlier()`. At most twice as many rows as ranges.
     """
     cut = F.broadcast(cut_groups(ranges, by))
-    own = ranges.withColumn("__own", F.struct(*by)).join(cut, c("__own").eqNullSafe(c("__g")))
+    own = within(ranges.withColumn("__own", F.struct(*by)).join(cut, c("__own").eqNullSafe(c("__g"))))
     sums = own.groupBy("__g", c("__p").alias("__q")).agg(*(x.alias(n) for n, x in totals.items()))
     for name, x in carried.items():  # a later one may use an earlier one
         sums = sums.withColumn(name, x)
@@ -80,3 +82,15 @@ def scan(df: DataFrame, by: list[str], order: list[str], running: dict[str, tupl
         else:
             out[n] = _together(kind, _AGGREGATE[kind](f"__v_{n}").over(upto), c(f"__c_{n}"))
     return rows.withColumns(out).drop("__p", *(f"__{x}_{n}" for n in running for x in "vc"))
+
+
+def numbered(df: DataFrame, order: list) -> DataFrame:
+    """df plus position, gapless from 0 in the order: rows are numbered within ranges of a sort and shifted by the counts before.
+
+    The ranges are stored once: counts and rows of two runs of a sort need not agree, since each may be cut anew.
+    """
+    ranged = stored(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "ranges")
+    counts = ranged.groupBy("__p").count()
+    before = counts.withColumn("__b", F.sum("count").over(W.orderBy("__p")) - c("count")).select(c("__p").alias("__q"), "__b")  # one row per partition
+    place = c("__m") - F.shiftleft(c("__p").cast("long"), 33)
+    return ranged.join(F.broadcast(before), c("__p") == c("__q")).withColumn("position", c("__b") + place).drop("__p", "__q", "__m", "__b")

@@ -19,6 +19,7 @@ from .changelog import ORDERS_LOG, orders_log
 from .relational import Tables
 from .replay import _replayed, apply_changes, checkpoint_plan, net_rows, state_as_of, stored
 from .runstats import RUNS, query_runs
+from .scans import numbered
 
 c = F.col
 #: Kinds of failure.
@@ -52,18 +53,6 @@ def schema_problems(expected: T.StructType, found: T.StructType) -> list[str]:
     return [f"{SCHEMA}: column {i}, {e.dataType.simpleString()} and {f.dataType.simpleString()}" for i, (e, f) in enumerate(zip(expected, found, strict=True)) if not acceptable(e.dataType, f.dataType)]
 
 
-def numbered(df: DataFrame, order: list) -> DataFrame:
-    """df plus position, gapless from 0 in the order: rows are numbered within ranges of a sort and shifted by the counts before.
-
-    The ranges are stored once: counts and rows of two runs of a sort need not agree, since each may be cut anew.
-    """
-    ranged = stored(df.orderBy(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()), "ranges")
-    counts = ranged.groupBy("__p").count()
-    before = counts.withColumn("__b", F.sum("count").over(W.orderBy("__p")) - c("count")).select(c("__p").alias("__q"), "__b")  # one row per partition
-    place = c("__m") - F.shiftleft(c("__p").cast("long"), 33)
-    return ranged.join(F.broadcast(before), c("__p") == c("__q")).withColumn("position", c("__b") + place).drop("__p", "__q", "__m", "__b")
-
-
 def close(expected: Column, found: Column, kind: T.DataType, tolerance: float) -> Column:
     """Equal text, or numbers within tolerance of the expected (at least 1e-12); nulls equal nulls."""
     same = canonical(expected, kind).eqNullSafe(canonical(found, kind))

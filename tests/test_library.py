@@ -191,12 +191,36 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_mutation_counts_are_capped_by_the_live_keys():
-    rates = changelog.step_rates({0: 600}, range(3), lambda s, live: (900, 300))
-    assert rates[0] == (0, 0) and rates[1] == (750_000, 250_000)  # 1200 wanted of 600: 450 and 150
-    assert rates[2][0] + rates[2][1] <= 1_000_000
-    seen = []
-    changelog.step_rates({}, range(1, 4), lambda s, live: seen.append(live) or (0, live // 10), 1000)
-    assert seen == [1000, 900, 810]
+    assert changelog.capped(900, 300, 600) == (450, 150) and changelog.capped(5, 5, 10) == (5, 5) and changelog.capped(3, 3, 0) == (0, 0)
+    assert {changelog.jittered(100, s, 1, 7) for s in range(500)} == set(range(75, 126)) and changelog.jittered(0, 3, 1, 7) == 0
+
+
+@pytest.mark.parametrize("span", [50, 1_000_000, changelog.DRAWS])
+def test_least_draws_are_exact(spark, span):
+    """Ranks among many equal draws, among few, and among draws of 62 bits."""
+    rng = random.Random(span)
+    rows = [(rng.randrange(span), i, rng.choice("ab")) for i in range(9000)]
+    df = spark.createDataFrame(rows, "draw long, k long, name string")
+    want = sorted(rows)
+    for ranks in ([1, 9000], [0, 4567], [17, 17]):
+        assert changelog.least(df, ["k", "name"], ranks, span) == [want[r - 1] if r else None for r in ranks]
+
+
+def test_each_step_changes_exactly_as_many_live_keys_as_asked(spark):
+    base = spark.range(4000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("j"), F.lit("x").alias("name"))
+    log = changelog.synthesize(base, ["k", "j"], steps=5, update_ratio=0.4, delete_ratio=0.9, seed=3)
+    rows = log.collect()
+    assert sorted(r._op_index for r in rows) == list(range(len(rows)))
+    alive = set()
+    for s in range(5):
+        ops = {o: [(r.k, r.j) for r in rows if r.batch_id == s and r._op == o] for o in "cud"}
+        alive |= set(ops["c"])
+        u, d = changelog.capped(*(changelog.jittered(round(len(ops["c"]) * x), s, w, 3) for w, x in ((1, 0.4), (2, 0.9))), len(alive))
+        assert (len(ops["u"]), len(ops["d"])) == (u, d) == (len(set(ops["u"])), len(set(ops["d"])))
+        assert set(ops["u"]) <= alive and set(ops["d"]) <= alive and not set(ops["u"]) & set(ops["d"])
+        alive -= set(ops["d"])
+    assert changelog.synthesize(base, ["k", "j"], dimension=True).where("_op <> 'c'").count() == 0
+    assert changelog.synthesize(base.limit(0), ["k", "j"], steps=3).count() == 0
 
 
 def test_bootstrap_churns_by_the_live_keys_and_payload_ranges_hold(spark):
@@ -204,7 +228,11 @@ def test_bootstrap_churns_by_the_live_keys_and_payload_ranges_hold(spark):
     log = changelog.synthesize(base, ["k"], update_ratio=0.3, delete_ratio=0.1, bootstrap=True, mutation_steps=4, churn=0.2).cache()
     n = {(r.batch_id, r._op): r["count"] for r in log.groupBy("batch_id", "_op").count().collect()}
     assert n[0, "c"] == 20_000 and {b for b, _ in n} == {0, 1, 2, 3, 4}
-    assert all(abs(n[b, "u"] / 750 - 1) < 0.2 and abs(n[b, "d"] / 250 - 1) < 0.3 for b in range(1, 5))
+    live = 20_000
+    for b in range(1, 5):
+        each = round(live * 0.2 / 4)
+        assert (n[b, "u"], n[b, "d"]) == (round(each * 0.75), each - round(each * 0.75))
+        live -= n[b, "d"]
     u = log.where("_op = 'u'").agg(F.min("small"), F.max("small"), F.min("big"), F.max("big"), F.min(F.length("name")), F.max(F.length("name")), F.max("part")).first()
     assert u[0] >= 1 and 500_000 < u[1] <= 999_999 and u[2] >= 1 and 500_000_000 < u[3] <= 999_999_999 and u[4] == u[5] == 10 and u[6] < 1000
 
@@ -224,19 +252,37 @@ def test_keyed_sink_takes_inserts_updates_and_deletes(spark):
     assert sorted(map(tuple, KeyedSink(spark, sink.path, sink.schema, ["k"]).read().collect())) == [(2, "c"), (3, None), (4, "d")]
 
 
-def test_queue_waits_equal_a_served_queue(spark):
+@pytest.mark.parametrize("workers", [1, 2])
+def test_queue_waits_equal_a_served_queue(spark, workers):
+    """Also where one worker's log lies in eight ranges."""
     from datetime import datetime, timedelta
 
     rng, rows = random.Random(6), []
     for i in range(400):
-        rows.append((i, i % 2, datetime(2024, 1, 1) + timedelta(milliseconds=rng.randrange(9000)), float(rng.randrange(80))))
-    got = {r.run_id: r.wait_ms for r in runstats.queue_waits(spark.createDataFrame(rows, "run_id long, worker_id long, started_at timestamp_ntz, duration_ms double"), ["worker_id"]).collect()}
-    free = {}
+        rows.append((i, i % workers, datetime(2024, 1, 1) + timedelta(milliseconds=rng.randrange(9000)), float(rng.randrange(80))))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        df = spark.createDataFrame(rows, "run_id long, worker_id long, started_at timestamp_ntz, duration_ms double")
+        got = {r.run_id: (r.wait_ms, r.depth) for r in runstats.queue_waits(df, ["worker_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    free, arrived = {}, {}
     for i, w, at, ms in sorted(rows, key=lambda r: (r[2], r[0])):
         start = max(at, free.get(w, at))
-        assert abs(got[i] - (start - at).total_seconds() * 1000) < 0.01
+        second = (w, at.replace(microsecond=0))
+        arrived[second] = arrived.get(second, 0) + 1
+        assert abs(got[i][0] - (start - at).total_seconds() * 1000) < 0.01 and got[i][1] == arrived[second]
         free[w] = start + timedelta(milliseconds=ms)
-    assert max(got.values()) > 100
+    assert max(w for w, _ in got.values()) > 100
+
+
+@pytest.mark.parametrize("p", [7, 29, 57, 58])
+def test_percentiles_at_whole_ranks(spark, p):
+    """Where p / 100 * 100 misses the whole number by floating point, the value at that rank counts alone."""
+    df = spark.createDataFrame([(float(v),) for v in range(101)], "v double")
+    assert runstats.percentiles(df, [], "v", [p]).first()[0] == p
 
 
 def test_ranks_hold_when_a_group_spans_many_ranges(spark):
