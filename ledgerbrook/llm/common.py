@@ -105,7 +105,7 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words, remembered for at most `most` distinct words at a time."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         import xxhash
 
         self.most, self.seen, self.hash = most, {}, xxhash.xxh3_64_intdigest

@@ -29,6 +29,8 @@ SALTED = 256
 BROADCAST_BYTES = 16 << 20
 #: Texts, and bytes of text, that one task compares with one another; larger buckets are dealt in blocks, and each pair of blocks is a task's group.
 BLOCK, BLOCK_BYTES = 500, 8 << 20
+#: Texts held as Python values at a time.
+AT_ONCE = 1000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 2**31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -77,7 +79,7 @@ def signed(docs: DataFrame, text_col: str) -> DataFrame:
 
     def each(batches):
         hashes = WordHashes()
-        for batch in batches:
+        for batch in (whole.slice(i, AT_ONCE) for whole in batches for i in range(0, whole.num_rows, AT_ONCE)):
             rows = []
             for text in utf8(batch, text_col):
                 s = shingles(text, hashes)
