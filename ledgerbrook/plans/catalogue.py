@@ -5,10 +5,11 @@ from __future__ import annotations
 from ..functions import scalar
 from ..operators import changelog, relational, replay, runstats, validate
 from ..sources import batches, keyed
+from ..streaming import progress, state
 from ..streaming import replay as stream
 from . import patterns, shapes, tpch
 
-MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats, validate, batches, keyed, stream]
+MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats, validate, batches, keyed, stream, progress, state]
 
 
 def queries() -> dict:

@@ -13,7 +13,8 @@ from ..operators.changelog import orders_log
 from ..operators.relational import Tables
 from ..operators.replay import _replayed, apply_changes
 from ..operators.runstats import RUNS, percentiles, query_runs
-from ..sources.batches import scratch
+from ..sources.keyed import missing
+from ..sources.scratch import scratch
 
 c = F.col
 
@@ -34,7 +35,9 @@ class VersionedTable:
         self.version, self.last, self.base, self.deltas = None, -1, None, []
         try:
             noted = sorted(set(map(tuple, spark.read.schema(self.NOTED).parquet(f"{path}/applied").collect())))  # one row per micro-batch
-        except AnalysisException:  # nothing is applied yet
+        except AnalysisException as e:
+            if not missing(e):  # else nothing is applied yet
+                raise
             noted = []
         for version, last, base in noted:
             self._note(version, last, base)
@@ -43,31 +46,32 @@ class VersionedTable:
         self.version, self.last = version, last
         self.base, self.deltas = (version, []) if base else (self.base, [*self.deltas, version])
 
-    def _changes(self, *more: DataFrame) -> DataFrame | None:
+    def _deltas(self, *versions: int) -> DataFrame:
         schema = T.StructType([*self.schema.fields, T.StructField("_op", T.StringType()), T.StructField("_op_index", T.LongType())])
-        rows = [self.spark.read.schema(schema).parquet(*(f"{self.path}/v{v}" for v in self.deltas))] if self.deltas else []
-        out = None
-        for df in [*rows, *more]:
-            out = df if out is None else out.unionByName(df)
-        return out
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/d{v}" for v in versions))
+
+    def _base(self) -> DataFrame | None:
+        return None if self.base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.base}")
 
     def read(self) -> DataFrame:
-        base = None if self.base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.base}")
-        changes = self._changes()
-        if changes is None:
-            return self.spark.createDataFrame([], self.schema) if base is None else base
-        return apply_changes(base, changes, self.keys, self.missing_update)
-
-    def advance(self, changes: DataFrame, version: int, last: int) -> None:
-        """Apply a micro-batch: its rows with _op and _op_index."""
-        rows = changes.select(*self.schema.names, "_op", "_op_index")
+        base = self._base()
+        if self.deltas:
+            return apply_changes(base, self._deltas(*self.deltas), self.keys, self.missing_update)
+        return self.spark.createDataFrame([], self.schema) if base is None else base
+
+    def advance(self, changes: DataFrame, version: int) -> None:
+        """Apply a micro-batch: its rows with _op and _op_index, which are read once. One that begins below what was applied is refused, before it counts."""
+        changes.select(*self.schema.names, "_op", "_op_index").write.mode("overwrite").parquet(f"{self.path}/d{version}")
+        lo, hi = self._deltas(version).agg(F.min("_op_index"), F.max("_op_index")).first()
+        if lo is None:
+            return
+        if lo <= self.last:
+            raise ValueError(f"micro-batch {version} begins at {lo}, but {self.last} is applied")
         compact = len(self.deltas) + 1 >= self.compact_every
         if compact:
-            base = None if self.base is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{self.base}")
-            rows = apply_changes(base, self._changes(rows), self.keys, self.missing_update)
-        rows.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        self.spark.createDataFrame([(version, last, compact)], self.NOTED).coalesce(1).write.mode("append").parquet(f"{self.path}/applied")  # one row
-        self._note(version, last, compact)
+            apply_changes(self._base(), self._deltas(*self.deltas, version), self.keys, self.missing_update).write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        self.spark.createDataFrame([(version, hi, compact)], self.NOTED).coalesce(1).write.mode("append").parquet(f"{self.path}/applied")  # one row
+        self._note(version, hi, compact)
 
 
 def replay_stream(log: DataFrame, target: VersionedTable, keys: list[str], checkpoint: str, missing_update: str = "ignore"):
@@ -78,12 +82,8 @@ def replay_stream(log: DataFrame, target: VersionedTable, keys: list[str], check
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        lo, hi = batch.agg(F.min("_op_index"), F.max("_op_index")).first()
-        if lo is None or target.version is not None and number <= target.version:
-            return
-        if lo <= target.last:
-            raise ValueError(f"micro-batch {number} begins at {lo}, but {target.last} is applied")
-        target.advance(batch, number, hi)
+        if target.version is None or number > target.version:
+            target.advance(batch, number)
 
     target.keys, target.missing_update = keys, missing_update
     return log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -252,6 +252,63 @@ def test_keyed_sink_takes_inserts_updates_and_deletes(spark):
     assert sorted(map(tuple, KeyedSink(spark, sink.path, sink.schema, ["k"]).read().collect())) == [(2, "c"), (3, None), (4, "d")]
 
 
+def bytes_under(path):
+    top = path.removeprefix("file://")
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if f.endswith(".parquet"))
+
+
+def test_a_small_write_to_a_sink_is_small(spark):
+    from ledgerbrook.sources.keyed import KeyedSink
+
+    rows = spark.range(60_000).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    sink = KeyedSink(spark, batches.scratch(spark, "sink"), rows.schema, ["k"], buckets=8, compact_every=3)
+    sink.insert(rows)
+    whole = bytes_under(f"{sink.path}/v0")
+    for i in range(1, 4):
+        sink.update(rows.where(f"k in (5, 77)").withColumn("v", F.lit(f"new {i}")))
+    own = {p.bucket for p in sink.manifest(3) if p.number == 3}
+    assert 1 <= len(own) <= 2 and bytes_under(f"{sink.path}/v3") < whole / 50
+    assert 0 < bytes_under(f"{sink.path}/b2") < whole / 3  # only the buckets written to were folded, at their third delta
+    assert {r.v for r in sink.read().where("k in (5, 77)").collect()} == {"new 3"} and sink.read().count() == 60_000
+    assert {r.v for r in sink.read(1).where("k in (5, 77)").collect()} == {"new 1"}
+    assert sink.vacuum() == ["v1"] and sink.read().count() == 60_000  # v0 still holds the other buckets
+    sink.delete(rows)
+    assert sink.read().count() == 0
+
+
+def test_an_unreadable_note_is_no_new_table(spark):
+    from ledgerbrook.sources.keyed import KeyedSink
+
+    rows = spark.createDataFrame([(1, "a")], "k long, v string")
+    sink = KeyedSink(spark, batches.scratch(spark, "sink"), rows.schema, ["k"])
+    sink.insert(rows)
+    noted = f"{sink.path}/noted".removeprefix("file://")
+    for f in os.listdir(noted):
+        if f.endswith(".parquet"):
+            with open(os.path.join(noted, f), "r+b") as x:
+                x.truncate(3)
+            os.remove(os.path.join(noted, f".{f}.crc"))
+    with pytest.raises(Exception):
+        sink.version()
+
+
+@pytest.mark.parametrize("policy", ["ignore", "upsert"])
+def test_state_of_latest_rows_equals_a_replay(spark, policy):
+    from ledgerbrook.streaming.state import keep_latest, read_latest
+
+    rng = random.Random(3)
+    log = [(i % 3, rng.choice("cuudx"), rng.choice([None, *range(12)]), rng.choice([None, i]), i) for i in range(300)]
+    log.sort(key=lambda r: r[0])
+    schema = "batch_id int, _op string, k long, v long, _op_index long"
+    df = spark.createDataFrame([(b, op, k, v, i) for i, (b, op, k, v, _) in enumerate(log)], schema)
+    path, at = batches.scratch(spark, "log"), batches.scratch(spark, "state")
+    for n, b in enumerate((0, 1, 1, 0, 2)):  # two come again
+        df.where(F.col("batch_id") == b).repartition(2).write.parquet(f"{path}/{n}")
+        keep_latest(stream.read_log_stream(spark, path, df.schema), ["k"], at, policy)
+    want = replay.apply_changes(None, df, ["k"], policy).collect()
+    assert sorted(map(str, read_latest(spark, at).collect())) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("workers", [1, 2])
 def test_queue_waits_equal_a_served_queue(spark, workers):
     """Also where one worker's log lies in eight ranges."""
