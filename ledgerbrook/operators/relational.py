@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .inequality import counted_below
 
 #: Rows of a table with a fixed or checked size that a join may broadcast.
 SMALL_ROWS = 100_000
@@ -73,7 +74,16 @@ simple("j4_same_dimension_twice", lambda t: t.customer.alias("a").join(t.nation.
 simple("j5_left_with_condition", lambda t: t.customer.join(t.orders, (c("o_custkey") == c("c_custkey")) & (c("o_totalprice") > 400000), "left").groupBy("c_custkey").agg(F.count("o_orderkey").alias("n")), "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 400000 GROUP BY c_custkey")
 simple("j6_left_as_anti", lambda t: t.part.join(t.lineitem.where("l_quantity > 49"), c("l_partkey") == c("p_partkey"), "left_anti").select("p_partkey"), "SELECT p_partkey FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) x ON l_partkey = p_partkey WHERE l_partkey IS NULL")
 simple("j7_full", lambda t: t.orders.where("o_orderstatus = 'P'").groupBy("o_custkey").agg(F.count("*").alias("p")).join(t.orders.where("o_totalprice > 400000").groupBy(c("o_custkey").alias("k")).agg(F.count("*").alias("b")), c("o_custkey") == c("k"), "full").select(F.coalesce("o_custkey", "k").alias("k"), "p", "b"), "SELECT coalesce(a.k, x.k) AS k, p, b FROM (SELECT o_custkey AS k, count(*) AS p FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS b FROM orders WHERE o_totalprice > 400000 GROUP BY 1) x ON a.k = x.k")
-simple("j8_theta", lambda t: t.lineitem.alias("l").join(t.lineitem.alias("m"), (c("l.l_orderkey") == c("m.l_orderkey")) & (c("l.l_quantity") < c("m.l_quantity")) & (c("l.l_suppkey") != c("m.l_suppkey"))).groupBy(c("l.l_returnflag").alias("flag")).agg(F.count("*").alias("n")), "SELECT l.l_returnflag AS flag, count(*) AS n FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey AND l.l_quantity < m.l_quantity AND l.l_suppkey <> m.l_suppkey GROUP BY l.l_returnflag")
+@op("j8_theta", "SELECT l.l_returnflag AS flag, count(*) AS n FROM lineitem l JOIN lineitem m ON l.l_orderkey = m.l_orderkey AND l.l_quantity < m.l_quantity AND l.l_suppkey <> m.l_suppkey GROUP BY l.l_returnflag")
+def theta(t):
+    """Larger lines of the same order by another supplier: those of the order less those of the supplier in it."""
+    lines = t.lineitem.select("l_orderkey", "l_suppkey", "l_quantity", "l_returnflag").where("l_suppkey IS NOT NULL")
+    quantity = -c("l_quantity")
+    larger = counted_below(lines, lines, {"l_orderkey": "l_orderkey"}, quantity, quantity, name="all")
+    both = counted_below(larger, lines, {"l_orderkey": "l_orderkey", "l_suppkey": "l_suppkey"}, quantity, quantity, name="own")
+    return both.where(c("all") > c("own")).groupBy(c("l_returnflag").alias("flag")).agg(F.sum(c("all") - c("own")).alias("n"))
+
+
 simple("j9_semi", lambda t: t.orders.join(t.lineitem.where("l_quantity > 49"), c("l_orderkey") == c("o_orderkey"), "left_semi").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 simple("j10_anti_and_not_in", lambda t: t.spark.sql("SELECT s_suppkey FROM {s} WHERE s_suppkey NOT IN (SELECT l_suppkey FROM {l} WHERE l_quantity > 49 AND l_discount > 0.09)", s=t.supplier, l=t.lineitem), "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)")
 simple("j11_exists_inequality", lambda t: t.lineitem.alias("l").join(t.lineitem.alias("m"), (c("l.l_orderkey") == c("m.l_orderkey")) & (c("m.l_suppkey") != c("l.l_suppkey")), "left_semi").groupBy("l_linestatus").agg(F.count("*").alias("n")), "SELECT l_linestatus, count(*) AS n FROM lineitem l WHERE EXISTS (SELECT 1 FROM lineitem m WHERE m.l_orderkey = l.l_orderkey AND m.l_suppkey <> l.l_suppkey) GROUP BY l_linestatus")

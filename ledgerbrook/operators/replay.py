@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.scratch import stored
+from ..sources.scratch import scratch, stored
 from .changelog import ORDERS_LOG, orders_log
 from .relational import Tables
+from .scans import numbered
 
 c = F.col
 
@@ -61,13 +64,18 @@ def op_code(op: Column) -> Column:
     return F.when(op.isin("u", "d"), op).otherwise("c")
 
 
+def op_of(log: DataFrame) -> Column:
+    """The operation of a log's rows; a log without _op is all creates."""
+    return op_code(c("_op")) if "_op" in log.columns else F.lit("c")
+
+
 def segments(log: DataFrame) -> DataFrame:
     """Runs of equal operations within a batch, in order: batch_id, segment, _op, first and last index, rows.
 
     Runs are found within the ranges of a sort, which are stored once; each range goes on from the last operation and the
     runs of those before it, so a batch of any size is many tasks' work.
     """
-    rows = log.select("batch_id", "_op_index", op_code(c("_op")).alias("_op")).orderBy("batch_id", "_op_index").withColumn("__p", F.spark_partition_id())
+    rows = log.select("batch_id", "_op_index", op_of(log).alias("_op")).orderBy("batch_id", "_op_index").withColumn("__p", F.spark_partition_id())
     ranges = stored(rows, "ranges")
     w, across = W.partitionBy("batch_id", "__p").orderBy("_op_index"), W.partitionBy("batch_id").orderBy("__p")
     cut = ranges.withColumn("new", F.coalesce((c("_op") != F.lag("_op").over(w)).cast("int"), F.lit(0)))  # the first of a range is seen to below
@@ -80,8 +88,9 @@ def segments(log: DataFrame) -> DataFrame:
 
 
 def insert_only(log: DataFrame) -> DataFrame:
-    """Batches that hold creates only; those need no fold."""
-    return log.groupBy("batch_id").agg(F.bool_and(op_code(c("_op")) == "c").alias("insert_only"))
+    """Batches that hold creates only; those need no fold. An unknown or null code is replayed as a create but is none here; a log without _op is all creates."""
+    creates = c("_op").eqNullSafe("c") if "_op" in log.columns else F.lit(True)
+    return log.groupBy("batch_id").agg(F.bool_and(creates).alias("insert_only"))
 
 
 def apply_changes(base: DataFrame | None, log: DataFrame, keys: list[str], missing_update: str = "ignore") -> DataFrame:
@@ -92,7 +101,7 @@ def apply_changes(base: DataFrame | None, log: DataFrame, keys: list[str], missi
     a whole, nulls included. An update of an absent key is ignored or creates it, by policy. Null keys are keys.
     """
     columns = [f for f in log.columns if f not in ("_op", "_op_index", "batch_id")]
-    rows = log.select(*columns, op_code(c("_op")).alias("_op"), "_op_index")
+    rows = log.select(*columns, op_of(log).alias("_op"), "_op_index")
     if base is not None:
         rows = rows.unionByName(base.select(*columns, F.lit("c").alias("_op"), F.lit(-1).cast("long").alias("_op_index")))
     makes = c("_op") != "d" if missing_update == "upsert" else c("_op") == "c"
@@ -188,6 +197,36 @@ def split_by_bytes(df: DataFrame, order: list[str], width: Column, most_bytes: i
     return ends.withColumn("split", cut * 2 + across).drop("__p", "__q", "__b", "__e")
 
 
+#: Splits that one write makes; a partition each.
+SPLITS_AT_ONCE = 10_000
+
+
+def write_splits(df: DataFrame, split: str, path: str, order: list[str]) -> int:
+    """One file per value of the column `split`, in its order, each with its rows in the order given; the column is left out. The number of files.
+
+    Splits are numbered without gaps, and a split's number is its partition, so files named by partition list in order; beyond
+    SPLITS_AT_ONCE in folders of so many. What bounds a split bounds its file.
+    """
+    spark = df.sparkSession
+    numbers = stored(numbered(df.select(split).distinct(), [split]), "splits").withColumnRenamed(split, "__split")
+    n = numbers.count()
+    rows = df.join(F.broadcast(numbers) if n <= 100_000 else numbers, c(split).eqNullSafe(c("__split"))).drop("__split", split)
+    for first in range(0, n, SPLITS_AT_ONCE):
+        some = rows.where(c("position").between(first, first + SPLITS_AT_ONCE - 1)).withColumn("position", (c("position") - first).cast("int"))
+        put = some.repartitionById(min(SPLITS_AT_ONCE, n - first), "position").drop("position").sortWithinPartitions(*order)
+        put.write.parquet(f"{path}/{first // SPLITS_AT_ONCE:06d}")
+    if not n:
+        spark.createDataFrame([], df.drop(split).schema).write.parquet(f"{path}/000000")
+    return n
+
+
+def split_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of write_splits and file_no, the place of their file in the listing (from 0)."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+    name = c("_metadata.file_path")
+    return rows.withColumn("file_no", F.regexp_extract(name, r"/(\d{6})/part-", 1).cast("long") * SPLITS_AT_ONCE + F.regexp_extract(name, r"/part-(\d+)", 1).cast("long"))
+
+
 def state_as_of(base: DataFrame | None, log: DataFrame, keys: list[str], batch: int, **options) -> DataFrame:
     return apply_changes(base, log.where(c("batch_id") <= batch), keys, **options)
 
@@ -247,6 +286,56 @@ UNION ALL SELECT 'o_totalprice', 'type', 'double', 'string', count(*) FILTER (o_
 UNION ALL SELECT 'o_orderpriority', 'missing', 'string', NULL, count(*) FROM orders"""
 
 
+_PREFIXES = {"lineitem": "l", "orders": "o", "customer": "c", "part": "p", "supplier": "s", "nation": "n", "region": "r"}
+
+
+def _rehydrated(t: Tables) -> DataFrame:
+    """Every standard table with its time column: by table and minute, its rows, whether one instant stamps them all, and the column's place."""
+    rows = []
+    for name, prefix in _PREFIXES.items():
+        df, at = with_created_at(getattr(t, name), prefix), f"{prefix}_created_at"
+        rows.append(df.groupBy().agg(F.count(at).alias("n"), (F.min(at) == F.max(at)).alias("one"), F.bool_and(F.abs(F.unix_seconds(F.current_timestamp()) - F.unix_seconds(c(at))) < 86_400).alias("now")).select(F.lit(name).alias("table_name"), F.lit(f"{at}:{df.schema[at].dataType.simpleString()}:{df.columns.index(at)}").alias("added"), "n", "one", "now"))
+    return reduce(DataFrame.unionByName, rows)
+
+
+_REHYDRATED = " UNION ALL ".join(f"SELECT '{name}' AS table_name, '{p}_created_at:timestamp:' || (SELECT count(*) FROM (DESCRIBE {name})) AS added, count(*) AS n, true AS one, true AS now FROM {name}" for name, p in _PREFIXES.items())
+
+
+def _plain_log(t: Tables) -> DataFrame:
+    """Orders as a log without _op: its segments, the keys alive after each batch's replay, and whether it is insert-only."""
+    log = stored(t.orders.select("o_orderkey", "o_custkey", (c("o_orderkey") % 5).alias("batch_id"), c("o_orderkey").alias("_op_index")), "plain")
+    alive = apply_changes(None, log, ["o_orderkey"]).groupBy((c("o_orderkey") % 5).alias("batch_id")).agg(F.count("*").alias("alive"))
+    return segments(log).select("batch_id", "segment", "_op", "n").join(alive, "batch_id").join(insert_only(log), "batch_id")
+
+
+def _odd_codes(t: Tables) -> DataFrame:
+    """The orders log with an unknown code here and none there."""
+    odd = c("o_orderkey") % 10_007
+    return insert_only(orders_log(t).withColumn("_op", F.when(odd == 1, "x").when(odd.isin(0, 2), None).otherwise(c("_op"))))
+
+
+def _batch_files(t: Tables) -> DataFrame:
+    """The log in whole batches, written as a file each."""
+    log, path = orders_log(t), scratch(t.spark, "files")
+    batches = rebatched(log, "_op_index", F.floor(c("batch_id") / 3), 1000).withColumn("batch", F.struct(F.floor(c("batch_id") / 3), "batch_no")).drop("batch_no")
+    write_splits(batches, "batch", path, ["_op_index"])
+    return split_files(t.spark, path, log.schema).groupBy("file_no").agg(F.count("*").alias("n"), F.min("_op_index").alias("first"), F.max("_op_index").alias("last"))
+
+
+def _split_files(t: Tables) -> DataFrame:
+    """Lines in files of at most 64 KiB by the width of their text, in order."""
+    path = scratch(t.spark, "files")
+    rows = split_by_bytes(t.lineitem, _LINE, _width(), 1 << 16)
+    write_splits(rows, "split", path, _LINE)
+    files = split_files(t.spark, path, rows.drop("split").schema)
+    return files.groupBy("file_no").agg(F.count("*").alias("n"), F.sum("width").alias("bytes"), F.min("l_orderkey").alias("first"), F.max("l_orderkey").alias("last"))
+
+
+_SPLIT_FILES = """WITH x AS (SELECT l_orderkey, w, CAST(sum(w) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM (SELECT *, strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1 AS w FROM lineitem)),
+y AS (SELECT (e - w) // 65536 * 2 + CASE WHEN (e - 1) // 65536 <> (e - w) // 65536 THEN 1 ELSE 0 END AS split, count(*) AS n, CAST(sum(w) AS BIGINT) AS bytes, min(l_orderkey) AS first, max(l_orderkey) AS last FROM x GROUP BY 1)
+SELECT row_number() OVER (ORDER BY split) - 1 AS file_no, n, bytes, first, last FROM y"""
+
+
 def _stamp():
     return F.lit("2024-02-01 00:00:00")
 
@@ -271,6 +360,11 @@ ALL = {
     "e17_rebatched": (lambda t: rebatched(orders_log(t), "_op_index", F.floor(c("batch_id") / 3), 1000).groupBy(F.floor(c("batch_id") / 3).alias("interval"), "batch_no").agg(F.count("*").alias("n"), F.min("_op_index").alias("first"), F.max("_op_index").alias("last")), f"WITH {ORDERS_LOG}, x AS (SELECT batch_id // 3 AS i, _op_index, (row_number() OVER (PARTITION BY batch_id // 3 ORDER BY _op_index) - 1) // 1000 AS b FROM orders_log) SELECT CAST(i AS BIGINT) AS interval, CAST(b AS BIGINT) AS batch_no, count(*) AS n, min(_op_index) AS first, max(_op_index) AS last FROM x GROUP BY i, b"),
     "e18_byte_bound": (lambda t: t.lineitem.agg(F.count("*").alias("n")).select(F.lit(rows_for_bytes(t.lineitem, 75 << 20, _width())).cast("long").alias("rows_per_file"), "n"), "SELECT CAST(floor(78643200 / avg(strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1)) AS BIGINT) AS rows_per_file, count(*) AS n FROM lineitem"),
     "e18_byte_splits": (lambda t: split_by_bytes(t.lineitem, _LINE, _width(), 1 << 16).groupBy("split").agg(F.count("*").alias("n"), F.sum("width").alias("bytes")), "WITH x AS (SELECT w, CAST(sum(w) OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus ROWS UNBOUNDED PRECEDING) AS BIGINT) AS e FROM (SELECT *, strlen(concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_linestatus)) + 1 AS w FROM lineitem)) SELECT (e - w) // 65536 * 2 + CASE WHEN (e - 1) // 65536 <> (e - w) // 65536 THEN 1 ELSE 0 END AS split, count(*) AS n, CAST(sum(w) AS BIGINT) AS bytes FROM x GROUP BY 1"),
+    "e2_time_columns": (_rehydrated, _REHYDRATED),
+    "e5_e6_without_operations": (_plain_log, "SELECT o_orderkey % 5 AS batch_id, CAST(1 AS BIGINT) AS segment, 'c' AS _op, count(*) AS n, count(*) AS alive, true AS insert_only FROM orders GROUP BY 1"),
+    "e6_unknown_codes": (_odd_codes, f"WITH {ORDERS_LOG} SELECT batch_id, bool_and(_op = 'c' AND o_orderkey % 10007 > 2) AS insert_only FROM orders_log GROUP BY batch_id"),
+    "e17_batch_files": (_batch_files, f"WITH {ORDERS_LOG}, x AS (SELECT batch_id // 3 AS i, _op_index, (row_number() OVER (PARTITION BY batch_id // 3 ORDER BY _op_index) - 1) // 1000 AS b FROM orders_log), y AS (SELECT i, b, count(*) AS n, min(_op_index) AS first, max(_op_index) AS last FROM x GROUP BY i, b) SELECT row_number() OVER (ORDER BY i, b) - 1 AS file_no, n, first, last FROM y"),
+    "e18_split_files": (_split_files, _SPLIT_FILES),
     "e19_state_as_of": (lambda t: state_as_of(None, orders_log(t), ["o_orderkey"], 4), _replayed("ignore", "batch_id <= 4")),
     "e20_checkpoint_plan": (lambda t: checkpoint_plan(orders_log(t), 3).withColumn("kind", F.lit("log")).unionByName(checkpoint_plan(orders_log(t), 3, bootstrap=True).withColumn("kind", F.lit("bootstrap"))), f"WITH {ORDERS_LOG}, s AS (SELECT batch_id, dense_rank() OVER (ORDER BY batch_id) AS n FROM (SELECT DISTINCT batch_id FROM orders_log)) SELECT batch_id, CAST((n - 1) // 3 AS BIGINT) AS checkpoint, 'log' AS kind FROM s UNION ALL SELECT batch_id, CAST(CASE WHEN n = 1 THEN 0 ELSE (n - 2) // 3 + 1 END AS BIGINT), 'bootstrap' FROM s"),
 }

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from ..sources.tables import sql_query
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.inequality import counted_below
+from ..sources.tables import run_sql, sql_query
 from .tpch import PARTSUPP
 
 _REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -124,8 +128,16 @@ WHERE a.y = 1997 AND b.y = 1998 AND b.cnt <= a.cnt AND a.disc > 0.3""",
 _DOW = {"spark": "dayofweek(o_orderdate) - 1", "oracle": "dayofweek(o_orderdate)"}
 
 
+def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers of a line's part that hold less than four times its quantity, counted in the order of what they hold."""
+    lines = run_sql(spark, sf_dir, "SELECT l_partkey, l_quantity, l_discount, CAST(month(l_shipdate) AS INT) AS m FROM lineitem JOIN orders ON o_orderkey = l_orderkey AND l_shipdate > o_orderdate + INTERVAL '5' DAY")
+    held = run_sql(spark, sf_dir, f"WITH {PARTSUPP} SELECT ps_partkey, CAST(ps_availqty AS DOUBLE) AS held FROM partsupp")
+    short = counted_below(lines, held, {"l_partkey": "ps_partkey"}, 4 * F.col("l_quantity").cast("double"), F.col("held")).where("n > 0")
+    return short.groupBy("m").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("l_discount") > 0.05, F.col("n")).otherwise(0)).alias("promo"))
+
+
 def queries() -> dict:
-    return {k: sql_query(v.replace("{dow}", _DOW["spark"])) for k, v in SQL.items()}
+    return {k: sql_query(v.replace("{dow}", _DOW["spark"])) for k, v in SQL.items()} | {"d19_theta_join": theta_join}
 
 
 def oracle_sql() -> dict[str, str]:

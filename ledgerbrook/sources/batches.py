@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..operators.changelog import ORDERS_LOG, orders_log
 from ..operators.relational import Tables
 from .scratch import scratch
+from .tables import NAMES
 
 c = F.col
 VERSION_SCHEMA = "version string, scenario string, scale_factor double, num_steps int, tables map<string,struct<keys:array<string>,time_column:string,batches:array<struct<id:bigint,parts:int>>>>"
@@ -96,6 +97,31 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("checkpoint"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("query")).distinct()
 
 
+def write_row_counts(tables: dict[str, DataFrame], path: str, checkpoint: str) -> None:
+    """The rows of each table at a checkpoint, as JSON lines beside its snapshots."""
+    row_counts(tables).coalesce(1).write.json(f"{path}/{checkpoint}/row_counts")  # one row per table
+
+
+def read_row_counts(spark: SparkSession, path: str, checkpoint: str) -> DataFrame:
+    return spark.read.schema("table_name string, n_rows long").json(f"{path}/{checkpoint}/row_counts")
+
+
+_SCENARIO = "checkpoint_indexes:array<bigint>,query_indexes:array<string>,checkpoint_interval_steps:bigint"
+
+
+def write_manifest(spark: SparkSession, path: str, scenario: str, interval: int) -> None:
+    """checkpoints.json in a snapshot folder: for the scenario the checkpoints and queries found there, and the steps between two checkpoints."""
+    found = manifest(spark, path).select(F.regexp_extract("checkpoint", r"(\d+)$", 1).cast("long").alias("n"), "query")
+    lists = found.agg(F.array_sort(F.collect_set("n")).alias("checkpoint_indexes"), F.array_sort(F.collect_set("query")).alias("query_indexes"), F.lit(interval).cast("long").alias("checkpoint_interval_steps"))
+    lists.select(F.create_map(F.lit(scenario), F.struct("*")).alias("scenarios")).coalesce(1).write.mode("overwrite").json(f"{path}/checkpoints.json")  # one row
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """scenario, checkpoint, query and interval of each snapshot that the manifest lists. A field that is missing is empty, an interval 0."""
+    rows = spark.read.schema(f"scenarios map<string,struct<{_SCENARIO}>>").json(f"{path}/checkpoints.json").select(F.explode("scenarios").alias("scenario", "x"))
+    return rows.select("scenario", F.explode("x.checkpoint_indexes").alias("checkpoint"), "x.query_indexes", F.coalesce("x.checkpoint_interval_steps", F.lit(0)).cast("long").alias("interval")).select("scenario", "checkpoint", F.explode("query_indexes").alias("query"), "interval")
+
+
 def write_layout(df: DataFrame, name: str, by: list[str], bucket: tuple[int, str] | None = None) -> DataFrame:
     """A table partitioned by folders and, if asked, bucketed by a column."""
     w = df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")
@@ -197,6 +223,25 @@ def _typed(t: Tables) -> DataFrame:
 
 
 _LOG = f"WITH {ORDERS_LOG} SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, batch_id, _op, _op_index FROM orders_log"
+def _counted(t: Tables) -> DataFrame:
+    """Every table's rows, written at a checkpoint and read back."""
+    path = scratch(t.spark, "counts")
+    write_row_counts({n: getattr(t, n) for n in NAMES}, path, "cp0")
+    return read_row_counts(t.spark, path, "cp0")
+
+
+def _listed(t: Tables) -> DataFrame:
+    """Orders by status at two checkpoints of two steps each, and the manifest that lists them, with the rows of each snapshot."""
+    path = scratch(t.spark, "snapshots")
+    back = {}
+    for i in (0, 1):
+        for query, by in (("statuses", "o_orderstatus"), ("priorities", "o_orderpriority")):
+            back[i, query] = write_snapshot(t.orders.where(c("o_orderkey") % 4 <= 2 * i + 1).groupBy(by).count(), path, f"cp{i}", query)
+    write_manifest(t.spark, path, "orders", 2)
+    n = row_counts({f"{i}/{q}": df for (i, q), df in back.items()})
+    return read_manifest(t.spark, path).join(n, F.concat_ws("/", "checkpoint", "query") == c("table_name")).drop("table_name")
+
+
 ALL = {
     "s1_s4_batches": (lambda t: _logged(t), _LOG),
     "s2_version_metadata": (_version, f"WITH {ORDERS_LOG} SELECT DISTINCT 'orders' AS table_name, 'o_created_at' AS time_column, batch_id, 1 AS parts FROM orders_log"),
@@ -207,6 +252,8 @@ ALL = {
     "s5_null_sink": (_null_sink, "SELECT count(*) AS n FROM lineitem"),
     "s6_keyed_versions": (lambda t: write_version(t.customer, scratch(t.spark, "customer"), "1"), "SELECT * FROM customer"),
     "s9_s11_snapshots": (_snapshot, "SELECT 'cp0' AS checkpoint, 'none' AS query, CAST(0 AS BIGINT) AS n_rows UNION ALL SELECT 'cp1', 'priorities', count(DISTINCT o_orderpriority) FROM orders UNION ALL SELECT 'cp1', 'orders', count(*) FROM orders"),
+    "s10_written_counts": (_counted, " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {n}" for n in NAMES)),
+    "s11_manifest": (_listed, " UNION ALL ".join(f"SELECT 'orders' AS scenario, CAST({i} AS BIGINT) AS checkpoint, '{q}' AS query, CAST(2 AS BIGINT) AS interval, count(DISTINCT {by}) AS n_rows FROM orders WHERE o_orderkey % 4 <= {2 * i + 1}" for i in (0, 1) for q, by in (("statuses", "o_orderstatus"), ("priorities", "o_orderpriority")))),
     "s10_row_counts": (lambda t: row_counts({"orders": t.orders, "part": t.part}), "SELECT 'orders' AS table_name, count(*) AS n_rows FROM orders UNION ALL SELECT 'part', count(*) FROM part"),
     "s12_layout": (_layout, "SELECT o_orderstatus, count(*) AS n, least(count(DISTINCT o_orderkey), 4) AS buckets, true AS placed, true AS sorted FROM orders GROUP BY o_orderstatus"),
     "s14_store_table": (lambda t: read_store(t.spark, f"{t.sf_dir}/lineitem.parquet", {"mergeSchema": "false"}), "SELECT * FROM lineitem"),
