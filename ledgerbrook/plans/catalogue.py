@@ -7,9 +7,9 @@ from ..operators import changelog, relational, replay, runstats, validate
 from ..sources import batches, keyed
 from ..streaming import progress, state
 from ..streaming import replay as stream
-from . import patterns, shapes, tpch
+from . import patterns, shapes, tpch, verification
 
-MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats, validate, batches, keyed, stream, progress, state]
+MODULES = [tpch, patterns, shapes, relational, scalar, changelog, replay, runstats, validate, batches, keyed, stream, progress, state, verification]
 
 
 def queries() -> dict:
