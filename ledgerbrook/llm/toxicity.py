@@ -1,14 +1,16 @@
-"""Toxicity by class-conditional Kneser-Ney models of how words are spelled.
-
-Each class has a model of the next letter (a byte, or the end of the word) after h, the word so far:
-p(x|h) = ex(hx) / n(h) + back(h) q(x | last letter of h), with ex = max(count - DISCOUNT, 0). Counts are of the
-documents with a word that begins so, and n(h) is their sum over all letters after h. An expression, a beginning of
-words, has counts of its own in each class if its class rates differ beyond chance and by RATIO; all others have the
-shared part alone, so rare expressions and the words of a language that one class happens to hold more of say nothing for
-either class. Shared are back(h), the mass that discounts and such expressions leave, and q, the lowest order: in how
-many different words of documents, labelled or not, a letter follows another.
-
-Stems tell rare words: a word never seen is judged by the longest of its beginnings that is known.
+"""Toxicity by class-conditional Kneser-Ney models of expressions, the beginnings of words.
+
+An expression tells if its class rates differ beyond chance and by RATIO. A word is read as the telling expressions that it begins with, each
+longer than the one before: from u, the start of the word or a telling expression, to the next one v, or to none. Class c gives
+p_c(v|u) = ex_c(v) / n_c(u) + back_c(u) W(v) / (W(u) + 1) and p_c(none|u) = ex_c(none) / n_c(u) + back_c(u) (W(u) + 1 - sum W(v)) / (W(u) + 1),
+with ex_c = max(count_c - DISCOUNT, 0) and back_c(u) = 1 - sum ex_c / n_c(u), the mass that discounts leave, so from any u they sum to 1 in either
+class. Counts are of the class's labelled documents with a word that begins so; n_c(u) is u's own count, or the sum over what follows it if
+that is more, and at the start of words all different words of the class's documents; count_c(none) is the rest of it. W, the shared backoff
+counts, are continuation counts: in how many different words of all documents, labelled or not, an expression is the beginning.
+What is rare in a class, or tells nothing, is smoothed by them; letters that belong to no
+telling expression are as likely in one class as in the other and are left out.
+
+Expressions tell rare words: one never seen is judged by what it begins with.
 """
 
 from __future__ import annotations
@@ -19,18 +21,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, arrow_type, fields, kept_names, mixed, stored, table, utf8, with_columns
+from .common import arrow_map, arrow_type, fields, kept_names, looked_up, mixed, stored, table, utf8, with_columns
 from .decontamination import words_of
 
+#: Differences of mean log-likelihoods are in proportion below 1 / SCALE and logarithmic beyond.
+SCALE = 30
 #: At most about so many rows calibrate. Labels are broadcast up to so many; beyond, they join by a shuffle.
 CALIBRATE, BROADCAST = 8_000, 1_000_000
 #: A model travels in blocks of about so many expressions; each block passes over the documents.
 BLOCK = 1_000_000
-DISCOUNT = 1
-#: An expression has counts of its own in each class if its rates differ by this factor, and by so many standard deviations.
-RATIO, DEVIATIONS = 4, 3.5
-#: Expressions (named by two hashes: with and without their last letter) with their documents by class; rows without a
-#: parent are pairs of letters (first * 256 + second) with the words they occur in.
+DISCOUNT = 0.5
+#: An expression tells if its rates differ by this factor, and if the likelihood ratio statistic of the difference is beyond this: chance passes it once in 130,000 times.
+RATIO, BEYOND = 4, 20
+#: Expressions (named by two hashes: with and without their last letter) with their documents by class; without a parent, different words of documents by class.
 COUNTS = "parent long, key long, toxic long, ordinary long"
 RATED = "toxic_ll double, ordinary_ll double, n_words long"
 _END = 32
@@ -38,15 +41,19 @@ _LETTERS = np.random.default_rng(20240311).integers(0, 2**64, 256, dtype=np.uint
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _powers(n: int) -> np.ndarray:
+    power = np.full(n, _STEP)
+    power[0] = 1
+    return np.multiply.accumulate(power)
+
+
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For each letter of each word (and its end): the letter before (the end, at the start), the letter, the names of the word before it and up to it."""
     letters = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
     ends = np.flatnonzero(letters == _END)
     n = np.diff(np.concatenate([[-1], ends]))
     place = np.arange(len(letters)) - np.repeat(ends + 1 - n, n)
-    power = np.ones(int(n.max()), dtype=np.uint64)
-    power[1:] = _STEP
-    value = _LETTERS[letters] * np.multiply.accumulate(power)[place]
+    value = _LETTERS[letters] * _powers(int(n.max()))[place]
     sums = np.cumsum(value)
     after = sums - np.repeat((sums - value)[ends + 1 - n], n)
     before = np.concatenate([[np.uint8(_END)], letters[:-1]])
@@ -54,20 +61,11 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
 
 def counted(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
-    """COUNTS of rows (text, toxic: true, false or null for a text without a label), added up within each task first."""
+    """COUNTS of rows (text, toxic: true or false), added up within each task first."""
     schema = arrow_type(COUNTS)
 
-    def batch_of(cols):
-        return pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in cols], schema=schema)
-
     def each(batches):
-        pairs, held, n = np.zeros(1 << 16, dtype=np.int64), [], 0
-        plain: list[bytes] = []
-
-        def paired():
-            letters = np.frombuffer(b" " + b" ".join(plain) + b" ", dtype=np.uint8).astype(np.int32)
-            plain.clear()
-            return np.bincount(letters[:-1] * 256 + letters[1:], minlength=1 << 16)
+        held, n, words_of_class = [], 0, [0, 0]
 
         def out():
             parent, key, toxic = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -76,18 +74,14 @@ def counted(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
             both, bad = np.bincount(of), np.bincount(of, weights=toxic).astype(np.int64)
             for s in range(0, len(at), 200_000):
                 own = slice(s, s + 200_000)
-                yield batch_of([parent[at[own]].view(np.int64), key[at[own]].view(np.int64), bad[own], (both - bad)[own]])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in (parent[at[own]].view(np.int64), key[at[own]].view(np.int64), bad[own], (both - bad)[own])], schema=schema)
 
         for batch in batches:
             for text, toxic in zip(utf8(batch, "text"), batch.column(batch.schema.get_field_index("toxic")).to_pylist(), strict=True):
                 words = list(set(words_of(text)))
                 if not words:
                     continue
-                plain += words
-                if len(plain) >= 100_000:
-                    pairs += paired()
-                if toxic is None:
-                    continue
+                words_of_class[not toxic] += len(words)
                 _, _, parent, key = spelled(words)
                 key, at = np.unique(key, return_index=True)
                 held.append((parent[at], key, np.full(len(key), toxic)))
@@ -97,82 +91,134 @@ def counted(rows: DataFrame, most: int = 2_000_000) -> DataFrame:
                     n = 0
         if held:
             yield from out()
-        if plain:
-            pairs += paired()
-        some = np.flatnonzero(pairs)
-        yield batch_of([pa.nulls(len(some), pa.int64()), some, pairs[some], np.zeros(len(some), dtype=np.int64)])
+        yield pa.RecordBatch.from_arrays([pa.array([x], type=pa.int64()) for x in (None, 0, *words_of_class)], schema=schema)
 
     sums = [F.sum(x).alias(x) for x in ("toxic", "ordinary")]
     return rows.mapInArrow(each, T.StructType(fields(COUNTS))).groupBy("parent", "key").agg(*sums)
 
 
+def distinct_words(texts: DataFrame, most: int = 200_000) -> DataFrame:
+    """The different words of the column text, made distinct within each task first, so many at a time."""
+
+    def each(batches):
+        seen: set[bytes] = set()
+        for batch in batches:
+            for text in utf8(batch, "text"):
+                seen.update(words_of(text))
+                if len(seen) >= most:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary())], names=["word"])
+                    seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), type=pa.binary())], names=["word"])
+
+    return texts.select("text").mapInArrow(each, "word binary").distinct()
+
+
 def telling(totals: tuple[int, int]) -> Column:
-    """Whether the class rates of an expression (toxic, ordinary: its documents; totals: all documents) differ beyond chance and by RATIO."""
+    """Whether the class rates of an expression (toxic, ordinary: its documents; totals: all documents) differ beyond chance (by a likelihood ratio test) and by RATIO."""
     t, o = max(totals[0], 1), max(totals[1], 1)
     n, share = F.col("toxic") + F.col("ordinary"), t / (t + o)
-    off = F.abs(F.col("toxic") - n * share) > DEVIATIONS * F.sqrt(n * (share * (1 - share)))
+    seen = lambda x, expected: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / expected)).otherwise(0.0)
+    off = 2 * (seen("toxic", n * share) + seen("ordinary", n * (1 - share))) > BEYOND
     rate = ((F.col("toxic") + 0.5) / t) / ((F.col("ordinary") + 0.5) / o)
     return (F.greatest("toxic", "ordinary") > DISCOUNT) & off & ((rate > RATIO) | (rate < 1 / RATIO))
 
 
-def lowest(pairs: np.ndarray) -> np.ndarray:
-    """q: a letter (column) after a letter (row) by how many words hold the pair; one half more for each letter, so that none is impossible."""
-    counts = pairs.reshape(256, 256) + 0.5
-    return counts / counts.sum(axis=1, keepdims=True)
+HITS = "word long, place int, key long"
 
 
-class Model:
-    """A block of the models of both classes.
+def telling_beginnings(words: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """(key, up, stem, types) of telling expressions: the telling one before it (null at the start of words), the first one, and how many different words begin so.
 
-    own: parent, key, toxic, ordinary of expressions with counts of their own; contexts: parent, and toxic, ordinary
-    summed over all letters after it; q: the shared lowest order.
+    Keys travel in blocks; what a word hits in each is put in order by a shuffle of the hits.
     """
+    schema, blocks, hits = arrow_type(HITS), max(1, -(-keys.count() // block)), None
+    for b in range(blocks):
+        own = np.sort(keys.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toPandas()["key"].to_numpy(dtype=np.int64).view(np.uint64))
+        shared = words.sparkSession.sparkContext.broadcast(own)
+
+        def each(batches, shared=shared):
+            own = shared.value
+            for batch in batches:
+                for i in range(0, batch.num_rows if len(own) else 0, 20_000):
+                    _, letters, _, key = spelled(batch.column(0).slice(i, 20_000).to_pylist())
+                    begins = starts_of(letters)
+                    hit = np.flatnonzero(own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key)
+                    word = np.searchsorted(begins, hit, side="right") - 1
+                    whole = key[np.append(begins[1:], len(letters)) - 1]  # a word's name is that of all its letters and its end
+                    yield pa.RecordBatch.from_arrays([pa.array(whole[word].view(np.int64)), pa.array((hit - begins[word]).astype(np.int32)), pa.array(key[hit].view(np.int64))], schema=schema)
+
+        found = stored(words.mapInArrow(each, T.StructType(fields(HITS))), "hits")
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    ways = hits.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("way"))
+    steps = ways.select("way", F.posexplode("way").alias("i", "x")).select(F.col("x.key").alias("key"), F.when(F.col("i") > 0, F.col("way")[F.col("i") - 1]["key"]).alias("up"), F.col("way")[0]["key"].alias("stem"))
+    return steps.groupBy("key").agg(F.first("up").alias("up"), F.first("stem").alias("stem"), F.count("*").alias("types"))
+
+
+def starts_of(letters: np.ndarray) -> np.ndarray:
+    """Where each word begins."""
+    return np.concatenate([[0], np.flatnonzero(letters == _END)[:-1] + 1])
+
 
-    def __init__(self, own, contexts, q: np.ndarray):
-        self.q = q
-        parent = contexts["parent"].to_numpy(dtype=np.int64).view(np.uint64)
-        order = np.argsort(parent)
-        self.parents = parent[order]
-        n = np.stack([contexts[c].to_numpy(dtype=float)[order] for c in ("toxic", "ordinary")])
-        key = own["key"].to_numpy(dtype=np.int64).view(np.uint64)
+class Model:
+    """A block of the models of both classes: some stems and all that tells after them. none: log-chances of no telling expression, by class."""
+
+    def __init__(self, rows, none: np.ndarray):
+        key = rows["key"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(key)
-        self.keys = key[order]
-        at = np.searchsorted(self.parents, own["parent"].to_numpy(dtype=np.int64).view(np.uint64)[order])
-        ex = np.stack([np.maximum(own[c].to_numpy(dtype=float)[order] - DISCOUNT, 0) for c in ("toxic", "ordinary")])
-        used = np.zeros(len(self.parents))
-        np.add.at(used, at, ex.sum(axis=0))
-        self.back = 1 - used / np.maximum(n.sum(axis=0), 1)
-        self.rate = ex / np.maximum(n[:, at], 1)
+        self.keys, self.none = key[order], none
+        self.step, self.end = (np.stack([rows[f"{x}_{c}"].to_numpy(dtype=float)[order] for c in ("toxic", "ordinary")]) for x in ("step", "end"))
 
     def scores(self, words: list[bytes], shared: bool) -> np.ndarray:
-        """Log-likelihoods of words in both classes (2 rows); those of the shared order alone are left out unless `shared`."""
-        before, letters, parent, key = spelled(words)
-        q = self.q[before, letters]
-        ends = np.flatnonzero(letters == _END)
-        base = np.log(q) if shared else np.zeros(len(q))
-        logs = np.stack([base, base])
-        if len(self.parents):
-            slot = np.minimum(np.searchsorted(self.parents, parent), len(self.parents) - 1)
-            known = np.flatnonzero(self.parents[slot] == parent)
-            at = np.minimum(np.searchsorted(self.keys, key[known]), len(self.keys) - 1)
-            low = self.back[slot[known]] * q[known]
-            p = np.where(self.keys[at] == key[known], self.rate[:, at], 0.0) + low
-            logs[:, known] += np.log(np.maximum(p, 1e-300)) - np.log(q[known])
-        return np.add.reduceat(logs, np.concatenate([[0], ends[:-1] + 1]), axis=1)
-
-
-def train(rows: DataFrame, block: int = BLOCK) -> list[Model]:
-    """The models, in blocks, of rows (text, toxic or null). A block's tables come to the driver, one at a time; letters are 65,536 numbers at most."""
-    counts = stored(counted(rows), "counts")
-    totals = tuple(rows.where("toxic is not null and text is not null").agg(F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)), F.coalesce(F.sum((~F.col("toxic")).cast("long")), F.lit(0))).first())
-    pairs = np.zeros(1 << 16)
-    for r in counts.where("parent is null").collect():
-        pairs[r.key] = r.toxic
-    own = stored(counts.where(F.col("parent").isNotNull() & telling(totals)), "expressions")
-    after = stored(counts.join(own.select("parent").distinct(), "parent").groupBy("parent").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")), "contexts")
-    blocks, q = max(1, -(-own.count() // block)), lowest(pairs)
-    of = F.pmod(F.xxhash64("parent"), F.lit(blocks))
-    return [Model(own.where(of == b).toPandas(), after.where(of == b).toPandas(), q) for b in range(blocks)]
+        """Log-likelihoods of words in both classes (2 rows). Unless `shared`, only what this block adds to those of words that begin with nothing telling."""
+        out = np.repeat(self.none[:, None], len(words), axis=1) if shared else np.zeros((2, len(words)))
+        if len(self.keys):
+            _, letters, _, key = spelled(words)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == key)
+            word = np.searchsorted(starts_of(letters), hit, side="right") - 1
+            last = np.flatnonzero(np.append(word[1:] != word[:-1], True)) if len(hit) else hit
+            for c in range(2):
+                out[c] += np.bincount(word, weights=self.step[c, at[hit]], minlength=len(words))
+                out[c, word[last]] += self.end[c, at[hit[last]]] - self.none[c]
+        return out
+
+
+class Trained:
+    """Both models as a stored table, of which a block at a time comes to the driver: key, stem, and log-chances by class of the step to it and of the end after it."""
+
+    def __init__(self, rows: DataFrame, none: np.ndarray, block: int):
+        self.rows, self.none, self.blocks = rows, none, max(1, -(-rows.count() // block))
+
+    def block(self, b: int) -> Model:
+        return Model(self.rows.where(F.pmod(F.xxhash64("stem"), F.lit(self.blocks)) == b).toPandas(), self.none)
+
+
+def train(rows: DataFrame, block: int = BLOCK) -> Trained:
+    """The models of rows (text, toxic or null): class counts from rows with a label, continuation counts from the words of all."""
+    labelled = rows.where("toxic is not null and text is not null")
+    counts = stored(counted(labelled), "counts")
+    totals = tuple(labelled.agg(F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0)), F.coalesce(F.sum((~F.col("toxic")).cast("long")), F.lit(0))).first())
+    n = counts.where("parent is null").agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("toxic", "ordinary"))).first()
+    ones = stored(counts.where(F.col("parent").isNotNull() & telling(totals)).select("key", "toxic", "ordinary"), "telling")
+    words = stored(distinct_words(rows), "words")
+    own = stored(ones.join(telling_beginnings(words, ones.select("key"), block), "key"), "expressions")
+
+    less = lambda x: F.greatest(F.col(x) - DISCOUNT, F.lit(0))
+    sums = own.groupBy(F.col("up").alias("at")).agg(*(F.sum(x).alias(f"sum_{x}") for x in ("toxic", "ordinary", "types")), *(F.sum(less(x)).alias(f"used_{x}") for x in ("toxic", "ordinary")))
+    start = sums.where("at is null").select(F.lit(None).cast("long").alias("at"), *(F.greatest(F.lit(float(n[i])), F.lit(1.0)).alias(f"n_{x}") for i, x in enumerate(("toxic", "ordinary"))), F.lit(float(words.count())).alias("n_types"), "sum_types", "used_toxic", "used_ordinary", "sum_toxic", "sum_ordinary")
+    inner = own.join(sums.where("at is not null"), F.col("key") == F.col("at"), "left").select(F.col("key").alias("at"), *(F.greatest(F.col(x), F.coalesce(f"sum_{x}", F.lit(0)), F.lit(1)).cast("double").alias(f"n_{x}") for x in ("toxic", "ordinary")), F.col("types").cast("double").alias("n_types"), *(F.coalesce(x, F.lit(0)).alias(x) for x in ("sum_types", "used_toxic", "used_ordinary", "sum_toxic", "sum_ordinary")))
+    ends = {x: F.greatest(F.col(f"n_{x}") - F.col(f"sum_{x}") - DISCOUNT, F.lit(0)) for x in ("toxic", "ordinary")}
+    back = {x: 1 - (F.col(f"used_{x}") + ends[x]) / F.col(f"n_{x}") for x in ends}
+    none = (F.col("n_types") + 1 - F.col("sum_types")) / (F.col("n_types") + 1)
+    ups = stored(start.unionByName(inner).select("at", "n_toxic", "n_ordinary", "n_types", *(b.alias(f"back_{x}") for x, b in back.items()), *(F.log(ends[x] / F.col(f"n_{x}") + F.greatest(b, F.lit(1e-9)) * none).alias(f"end_{x}") for x, b in back.items())), "ups")
+    step = [F.log(F.greatest(less(x) / F.col(f"n_{x}") + F.greatest(F.col(f"back_{x}"), F.lit(1e-9)) * F.col("types") / (F.col("n_types") + 1), F.lit(1e-300))).alias(f"step_{x}") for x in ("toxic", "ordinary")]
+    steps = looked_up(own.select("key", "up", "stem", "types", "toxic", "ordinary").withColumn("from", F.coalesce("up", F.lit(0))).withColumn("root", F.col("up").isNull()), ups.where("at is not null"), "up", "at").join(F.broadcast(ups.where("at is null").select(*(F.col(x).alias(f"r_{x}") for x in ("n_toxic", "n_ordinary", "n_types", "back_toxic", "back_ordinary")))), F.lit(True), "left")
+    steps = steps.withColumns({x: F.when(F.col("root"), F.col(f"r_{x}")).otherwise(F.col(x)) for x in ("n_toxic", "n_ordinary", "n_types", "back_toxic", "back_ordinary")}).select("key", "stem", *step)
+    out = stored(steps.join(ups.where("at is not null").select(F.col("at").alias("key"), "end_toxic", "end_ordinary"), "key"), "steps")
+    first = ups.where("at is null").select("end_toxic", "end_ordinary").first()
+    return Trained(out, np.zeros(2) if first is None else np.array(first, dtype=float), block)
 
 
 class WordScores:
@@ -221,11 +267,18 @@ class WordScores:
         return np.concatenate(out, axis=1).T, sizes
 
 
-def rated(docs: DataFrame, models: list[Model], text_col: str = "text") -> DataFrame:
-    """docs plus toxic_ll, ordinary_ll (mean log-likelihoods of the whole text's words; 0 without words) and n_words."""
+def rated(docs: DataFrame, trained: Trained, text_col: str = "text") -> DataFrame:
+    """docs plus toxic_ll, ordinary_ll (mean log-likelihoods of the whole text's words; 0 without words) and n_words.
+
+    Each block of the models is a pass over docs; all but the last are stored, so that only one block is on the driver and the executors.
+    """
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    for i, model in enumerate(models):
-        docs = _pass(docs, docs.sparkSession.sparkContext.broadcast(model), text_col, i == 0)
+    for b in range(trained.blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(trained.block(b))
+        docs = _pass(docs, shared, text_col, b == 0)
+        if b + 1 < trained.blocks:
+            docs = stored(docs, "rated")
+            shared.destroy()
     return docs
 
 
@@ -261,10 +314,10 @@ def calibrated(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibrate: int = CALIBRATE, **options) -> DataFrame:
     """docs plus toxic_ll, ordinary_ll, n_words, held_out, score and predicted.
 
-    The score is a logistic curve over toxic_ll - ordinary_ll. Labels teach only in folds 1 to 4: all of folds 1 to 3
-    give the models' class counts, fold 4 about `calibrate` rows (chosen by a hash) for the curve. The shared lowest order
-    is counted over the texts of all of docs. Null labels and ids teach nothing; of several labels of an id the smallest
-    counts. Null and empty texts get the curve's value at 0. Words and texts may be of any length.
+    The score is a logistic curve over asinh(SCALE * x), x being what toxic_ll - ordinary_ll exceeds that of words that tell nothing by. Labels teach only in folds 1 to 4: all of folds 1 to 3
+    give the models' class counts, fold 4 about `calibrate` rows (chosen by a hash) for the curve. Continuation counts
+    are of the texts of all of docs. Null labels and ids teach nothing; of several labels of an id the smallest
+    counts. Texts without words, null and empty ones too, get the share of toxic rows among those of the curve. Words and texts may be of any length.
     With no usable labels every score is 0.5 or less by the prior seen. Repeated rows score alike. Input columns with
     the names of results are replaced. An empty table gives no rows.
     """
@@ -278,9 +331,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     models = train(texts.join(hint(lab.where("__fold < 4")), mine, "left").select("text", (F.col("__y") == 1).alias("toxic")), **options)
     seen = rated(texts.join(hint(lab.where(chosen & (F.col("__fold") == 4))), mine).select("text", "__y"), models)
     seen = seen.select(F.col("toxic_ll") - F.col("ordinary_ll"), "__y").toPandas().to_numpy(dtype=float)
-    slope, intercept = calibrated(10 * seen[:, 0], seen[:, 1])
+    slope, intercept = calibrated(np.arcsinh(SCALE * (seen[:, 0] - models.none[0] + models.none[1])), seen[:, 1])
     out = rated(docs.drop("held_out", "score", "predicted"), models, text_col)
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), 10 * slope * (F.col("toxic_ll") - F.col("ordinary_ll")) + intercept))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), slope * F.asinh(SCALE * (F.col("toxic_ll") - F.col("ordinary_ll") - float(models.none[0] - models.none[1]))) + intercept))
+    prior = (seen[:, 1].sum() + 0.5) / (len(seen) + 1)
+    z = F.when(F.col("n_words") > 0, z).otherwise(float(np.log(prior / (1 - prior))))
     out = out.withColumn("held_out", F.coalesce(fold(F.col(id_col)) == 0, F.lit(False))).withColumn("score", 1 / (1 + F.exp(-z)))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

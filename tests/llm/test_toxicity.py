@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from ledgerbrook.llm.toxicity import DEVIATIONS, DISCOUNT, RATIO, calibrated, rated, toxicity, train
+from ledgerbrook.llm.toxicity import BEYOND, DISCOUNT, RATIO, calibrated, rated, spelled, toxicity, train
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -63,8 +63,12 @@ def test_all_labels_and_all_texts_count(spark):
     assert first > 1 and second > 0 and abs(first - second) > 0.1
 
 
-def plain_log_likelihoods(rows, words):
-    """Both classes' log-likelihoods of each word, straight from the definitions, with dictionaries of strings."""
+def plain_model(rows):
+    """Interpolated Kneser-Ney over the telling beginnings of words, with dictionaries of strings.
+
+    From u to the next telling v or to none: max(c(v) - D, 0) / n(u) + (1 - sum over v and none of max(c(v) - D, 0) / n(u)) N(v) / (N(u) + 1), where N
+    counts the different words that begin so. Gives the chances of what may follow each u, by class, and the telling beginnings.
+    """
     docs = {c: [set(t.split()) for t, y in rows if t is not None and y is c] for c in (True, False)}
     starts = lambda ws: {(w + " ")[:k] for w in ws for k in range(1, len(w) + 2)}
     count = {c: Counter(x for ws in docs[c] for x in starts(ws)) for c in docs}
@@ -74,33 +78,53 @@ def plain_log_likelihoods(rows, words):
         a, b = count[True][x], count[False][x]
         share = t / (t + o)
         rate = ((a + 0.5) / t) / ((b + 0.5) / o)
-        if max(a, b) > DISCOUNT and abs(a - (a + b) * share) > DEVIATIONS * math.sqrt((a + b) * share * (1 - share)) and (rate > RATIO or rate < 1 / RATIO):
+        beyond = 2 * sum(k * math.log(k / ((a + b) * s)) for k, s in ((a, share), (b, 1 - share)) if k)
+        if max(a, b) > DISCOUNT and beyond > BEYOND and (rate > RATIO or rate < 1 / RATIO):
             own.add(x)
-    n = {c: Counter() for c in count}
-    for c in count:
-        for x, k in count[c].items():
-            n[c][x[:-1]] += k
-    ex = lambda c, x: max(count[c][x] - DISCOUNT, 0) if x in own else 0
-    pairs = Counter((" " + w + " ")[i : i + 2] for x, _ in rows for w in set((x or "").split()) for i in range(len(w) + 1))
-    before = Counter()
-    for p, k in pairs.items():
-        before[p[0]] += k
+    kinds = {w for t, _ in rows for w in (t or "").split()}
+    types = Counter(x for w in kinds for x in starts([w]))
+    types[""] = len(kinds)
+    below = {u: [] for u in {"", *own}}
+    for v in own:
+        below[max((v[:k] for k in range(len(v)) if v[:k] in below), key=len)].append(v)
+    chances = {}
+    for u, its in below.items():
+        for c in (True, False):
+            n = max(sum(map(len, docs[c])), 1) if not u else max(count[c][u], sum(count[c][v] for v in its), 1)
+            ex = {v: max(count[c][v] - DISCOUNT, 0) / n for v in its}
+            ended = max(n - sum(count[c][v] for v in its) - DISCOUNT, 0) / n
+            left = 1 - sum(ex.values()) - ended
+            chances[u, c] = {v: ex[v] + left * types[v] / (types[u] + 1) for v in its}
+            chances[u, c][None] = ended + left * (types[u] + 1 - sum(types[v] for v in its)) / (types[u] + 1)
+    return chances, own
+
+
+def plain_log_likelihoods(rows, words):
+    chances, own = plain_model(rows)
+    assert all(abs(sum(p.values()) - 1) < 1e-9 for p in chances.values())
     out = {}
     for w in words:
-        lls = []
-        for c in (True, False):
-            ll = 0.0
-            for i, x in enumerate(w + " "):
-                h, prev = w[:i], (" " + w)[i]
-                q = (pairs[prev + x] + 0.5) / (before[prev] + 128)
-                used = sum(ex(d, y) for y in own if y[:-1] == h for d in (True, False))
-                back = 1 - used / max(n[True][h] + n[False][h], 1)
-                ll += math.log(ex(c, h + x) / max(n[c][h], 1) + back * q)
-            lls.append(ll)
-        out[w] = lls
+        way = [(w + " ")[:k] for k in range(1, len(w) + 2) if (w + " ")[:k] in own]
+        out[w] = [sum(math.log(chances[u, c][v]) for u, v in zip(["", *way], [*way, None], strict=True)) for c in (True, False)]
     return out, len(own)
 
 
+def test_chances_sum_to_one(spark):
+    """From the start of words and from each telling beginning, over all that may follow and none, in either class."""
+    rng = random.Random(9)
+    rows = [(" ".join(rng.choices(["bad", "bads", "badly", "bide"], k=3)) if y else " ".join(rng.choices(["bide", "bin", "cat", "bad" if i % 40 == 0 else "cap"], k=3)), y) for i in range(900) for y in [i % 10 == 0]]
+    trained = train(spark.createDataFrame(rows, "text string, toxic boolean"))
+    chances, own = plain_model(rows)
+    model = trained.block(0)
+    assert len(model.keys) == len(own) > 3
+    at = {x: int(np.searchsorted(model.keys, spelled([x.rstrip(" ").encode()])[3][len(x) - 1])) for x in own}
+    for i, c in enumerate((True, False)):
+        for u in {u for u, _ in chances}:
+            p = {v: np.exp(model.step[i, at[v]]) for v in chances[u, c] if v} | {None: np.exp(model.end[i, at[u]] if u else model.none[i])}
+            assert abs(sum(p.values()) - 1) < 1e-9
+            assert all(abs(p[v] - chances[u, c][v]) < 1e-9 for v in p)
+
+
 def test_models_against_a_plain_computation(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices(["ba", "do", "ki", "lu", "s"], k=rng.randint(1, 4)))
@@ -117,7 +141,7 @@ def test_models_against_a_plain_computation(spark):
     asked = spark.createDataFrame([(w,) for w in words] + [(" ".join(words),)], "text string")
     for block in (10**6, 3):  # one block, and many
         models = train(table, block)
-        assert (len(models) > 1) == (block == 3)
+        assert (models.blocks > 1) == (block == 3)
         got = {r.text: (r.toxic_ll, r.ordinary_ll, r.n_words) for r in rated(asked, models).collect()}
         assert all(np.allclose(got[w][:2], want[w]) for w in words)
         assert np.allclose(got[" ".join(words)][:2], np.mean([want[w] for w in words], axis=0)) and got[" ".join(words)][2] == len(words)
