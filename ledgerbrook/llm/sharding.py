@@ -15,9 +15,6 @@ from .common import arrow_type, fields, stored, table
 HEAVY = 4096
 #: Parts of a shard's share in which a heavy group is counted, so that it can be split where it must.
 FINE = 16
-#: A group this many times larger in one measure than in another, such as copies of a tiny text, is LOPSIDED: what else
-#: a shard holds can't make up for it, so it stays whole only up to this part of a shard.
-LOPSIDED, LOPSIDED_PART = 4, 1 / 8
 #: Weights of bytes, tokens and rows in the dot product. Bytes come first, since their law is the one that holds.
 WEIGHTS = np.array([1.0, 0.5, 0.5])
 #: Shards may exceed their equal share by this much before groups of less than a shard are split.
@@ -30,18 +27,37 @@ PLACED = "a long, b long, shard int"
 
 
 class Shards:
-    """Residual capacities of shards (rows) in bytes, tokens and rows (columns), all scaled by an equal share."""
+    """Residual capacities of shards (rows) in bytes, tokens and rows (columns), all scaled by an equal share.
+
+    Of tokens and rows nothing is left once a share is used up: what a group of many tiny rows exceeds it by doesn't keep bytes away.
+    """
 
     def __init__(self, residual: np.ndarray):
-        self.residual = residual.copy()
+        self.residual, self.left = residual.copy(), np.maximum(residual, 0)
+        self.left[:, 0] = residual[:, 0]
 
     def place(self, size: np.ndarray) -> int:
         """The shard where the dot product of a scaled size with the residual capacity is highest; ties go to the lowest."""
-        s = int(np.argmax(np.round((self.residual * WEIGHTS) @ size, 12)))
+        s = int(np.argmax(np.round((self.left * WEIGHTS) @ size, 12)))
         self.residual[s] -= size
+        self.left[s, 0], self.left[s, 1:] = self.residual[s, 0], np.maximum(self.residual[s, 1:], 0)
         return s
 
 
+def relevelled(residual: np.ndarray) -> np.ndarray:
+    """residual (rows: shards) with room for what is still to come, in tokens and rows as in bytes, where groups exceed a shard's share.
+
+    Such a shard will take tokens and rows by the bytes that it has room for; the others share the rest in proportion to what they have left.
+    """
+    out, room = residual.copy(), np.maximum(residual[:, 0], 0)
+    for m in range(1, residual.shape[1]):
+        over, left = residual[:, m] < 0, residual[:, m].sum()
+        if over.any() and left > 0 and room.sum() > 0:
+            out[over, m] = left * room[over] / room.sum()
+            out[~over, m] *= (left - out[over, m].sum()) / residual[~over, m].sum()
+    return out
+
+
 def pack_vectors(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, Shards]:
     """The shard of each vector (rows of scaled sizes), largest first, each where the dot product is highest; and what is left."""
     packer, out = Shards(np.ones((shards, sizes.shape[1]))), np.zeros(len(sizes), dtype=np.int64)
@@ -53,17 +69,16 @@ def pack_vectors(sizes: np.ndarray, shards: int) -> tuple[np.ndarray, Shards]:
 def pack_heavy(groups: list[np.ndarray], shards: int, slack: float = SLACK) -> tuple[list[np.ndarray], Shards]:
     """The shard of each fine part of each heavy group (rows of scaled sizes), and what is left.
 
-    A group is split only where it is larger than a shard (lopsided: than a part of one), into as few pieces as that
-    takes. If shards would then exceed their share by more than `slack`, pieces of half the size are tried, and so on.
+    A group is split only where it has more bytes than a shard, into as few pieces as that takes. If shards would then exceed their
+    share of bytes by more than `slack`, pieces of half the size are tried, and so on.
     """
     best, total = None, [g.sum(axis=0) for g in groups]
-    own = [LOPSIDED_PART if t.max() > LOPSIDED * t.min() else 1.0 for t in total]
     limit = 1.0
     while limit >= 1 / FINE:
-        cuts = [np.arange(len(g)) * max(1, min(len(g), int(np.ceil(t.max() / (limit * w) - 1e-9)))) // len(g) for g, t, w in zip(groups, total, own, strict=True)]
+        cuts = [np.arange(len(g)) * max(1, min(len(g), int(np.ceil(t[0] / limit - 1e-9)))) // len(g) for g, t in zip(groups, total, strict=True)]
         pieces = [np.stack([np.bincount(cut, weights=g[:, c]) for c in range(3)], axis=1) for g, cut in zip(groups, cuts, strict=True)]
         place, packer = pack_vectors(np.concatenate(pieces), shards)
-        over = -packer.residual.min()
+        over = -packer.residual[:, 0].min()
         if best is None or over < best[0] - 1e-12:
             ends = np.cumsum([len(x) for x in pieces])
             best = over, [place[e - len(x) : e][cut] for e, x, cut in zip(ends, pieces, cuts, strict=True)], packer
@@ -132,7 +147,7 @@ def assign(rows: DataFrame, shards: int) -> DataFrame:
     own = spark.createDataFrame(found, "a long, b long, k int, shard int")
     light = groups.where(~is_heavy)
     tasks = max(1, -(-light.count() // TASK_GROUPS))
-    others = stored(place_light(light, packer.residual, totals, tasks), "light")
+    others = stored(place_light(light, relevelled(packer.residual), totals, tasks), "light")
     first = mine.join(F.broadcast(own), ["a", "b", "k"]).select(*rows.columns, "shard")
     return first.unionByName(rows.join(others, ["a", "b"]).select(*rows.columns, "shard"))
 
@@ -152,7 +167,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
     Null text counts as empty with one byte, in a group of its own; null and repeated ids are rows as any other; texts may be of any
     length; empty table: empty result. Extra columns are ignored. The texts are read once; what follows works on rows of a few numbers.
-    Equal texts share a shard, but for groups larger than one (or lopsided ones, see there) and those that must be cut to make shards near equal.
+    Equal texts share a shard, but for groups of more bytes than one and those that must be cut to make shards near equal in bytes.
     """
     rows = stored(narrow(docs, id_col, text_col), "sizes")
     rows = numbered(stored(assign(rows, shards), "shards"))
