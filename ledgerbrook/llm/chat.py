@@ -42,7 +42,7 @@ def chat_format(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
 
     A turn renders as `<|role|>\\n` + text + `<|end|>\\n`; a null role is `unknown`, a null text is empty. Rows with a null
     id belong to no conversation and are left out. A repeated turn row is a turn. Empty table: empty result. Extra
-    columns are ignored. A rendered conversation is one row, so it is gathered in one place; only after the collapse.
+    columns are ignored. Texts may be of any length, as long as a rendered conversation fits in a row. A rendered conversation is one row, so it is gathered in one place; only after the collapse.
     """
     turns = conversations.select(F.col(id_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")).where(F.col("conv").isNotNull())
     shown = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("<|end|>\n"))

@@ -218,7 +218,10 @@ def _pass(docs: DataFrame, block, text_col: str, first: bool, shard_words: int)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs, with all their columns, without the documents in which a benchmark window occurs."""
+    """docs, with all their columns, without the documents in which a benchmark window occurs.
+
+    Null and empty texts stay. Texts may be of any length: memory grows with the longest. An empty benchmark keeps all; an empty table gives no rows.
+    """
     rows, names, restored = shielded(docs)
     return restored(find_benchmark(rows, benchmark, text_col=names[text_col], **options).where(~F.col("contaminated")))
 

@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
 def near_dedup(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs, with all their columns, with one document of each component of near-duplicates: the one with the smallest id.
 
-    Of repeated rows, or different texts with that id in one component, one stays. Rows without words are kept.
+    Of repeated rows, or different texts with that id in one component, one stays. Rows without words are kept. Texts may be of any length:
+    memory grows with the longest. Empty table: empty result.
     """
     rows, names, restored = shielded(docs)
     i, t = names[id_col], names[text_col]

@@ -198,7 +198,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Windows are judged on the input. Null or empty texts have no words; texts shorter than a window lose nothing;
     repeated rows repeat each other's windows and lose them all; null ids are documents as any other; an empty table
-    gives no rows. Input columns with the names of results are replaced.
+    gives no rows. Input columns with the names of results are replaced. Texts may be of any length: memory grows with the longest.
     """
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     rows = keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text")
@@ -224,7 +224,10 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, with all their columns, with repeated windows cut from the text; a text that loses nothing stays as it is."""
+    """docs, with all their columns, with repeated windows cut from the text; a text that loses nothing stays as it is, null too.
+
+    Odd rows count as in `cut_repeats`. Columns keep their names, whatever they are. Empty table: empty result.
+    """
     rows, names, restored = shielded(docs)
     t = names[text_col]
     out = cut_repeats(rows, names[id_col], t, **options)

@@ -68,6 +68,15 @@ def test_one_document_of_a_group_stays(spark):
     assert got.count((500, "repeated row of five words")) == 1 and (3, "same id other text than before") in got
 
 
+def test_very_long_texts(spark):
+    """400,000 words, a near copy of them, and one that shares a third."""
+    words = [f"w{i * 7919 % 100_003}x{i % 11}" for i in range(400_000)]
+    near, third = words[:200_000] + ["other"] * 10 + words[200_010:], words[:200_000] + [f"own{i}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(third)), (4, "short")], "doc_id long, text string")
+    got = {r.rid: (r.n_shingles > 300_000, r.component_id) for r in near_duplicates(docs).collect()}
+    assert got == {1: (True, 1), 2: (True, 1), 3: (True, 3), 4: (False, 4)}
+
+
 def test_signatures_estimate_similarity_and_bounds_hold():
     hashes = WordHashes()
     words = [f"w{i}" for i in range(1000)]
