@@ -53,7 +53,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the last stage returns, stored; what a stage stores on its way is dropped once its result is written."""
+    """What the last stage returns, stored; what a stage stores on its way is dropped once its result is written.
+
+    An empty table passes through all stages; null, empty and very long texts count as each stage's operator says.
+    """
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, name.replace(" ", "-"))
