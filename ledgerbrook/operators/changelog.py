@@ -366,7 +366,15 @@ ALL = {
 }
 
 
-ALL["g1_sequence_table"] = ALL["g1_sequence_whole"]
+def _spaced(t: Tables) -> DataFrame:
+    """Orders per place of a sequence: a row for each tenth key, and the orders of the ten keys from it on."""
+    tenth = (c("o_orderkey") - c("o_orderkey") % 10).alias("value")
+    n = t.orders.groupBy(tenth).agg(F.count("*").alias("n"))
+    last = t.orders.agg(F.max("o_orderkey")).first()[0]
+    return sequence_table(t.spark, 0 if last is None else last // 10 + 1).join(n, "value", "left").select("id", "value", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+ALL["g1_sequence_table"] = (_spaced, "SELECT s.id, s.id * 10 AS value, count(o_orderkey) AS n FROM (SELECT unnest(range(0, (SELECT max(o_orderkey) // 10 + 1 FROM orders))) AS id) s LEFT JOIN orders ON o_orderkey // 10 = s.id GROUP BY s.id")
 
 
 def queries() -> dict:

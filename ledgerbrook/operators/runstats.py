@@ -279,7 +279,9 @@ ALL = {
 }
 
 
-ALL["m15_parameter_sets"] = ALL["m15_parameter_sets_whole"]
+ALL["m15_parameter_sets"] = (
+    lambda t: parameter_sets(query_runs(t).where("success"), "query_name", "run_id").groupBy("set_no").agg(F.count("*").alias("n"), F.bool_and("even").alias("even")),
+    f"WITH {RUNS}, p AS (SELECT CAST(row_number() OVER (PARTITION BY query_name ORDER BY run_id) AS INT) AS set_no, count(*) OVER (PARTITION BY query_name) AS k FROM runs WHERE success) SELECT set_no, count(*) AS n, (SELECT min(k) = max(k) FROM p) AS even FROM p GROUP BY set_no")
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ c = F.col
 KEYS = {"orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"], "supplier": ["s_suppkey"], "nation": ["n_nationkey"], "region": ["r_regionkey"]}
 CHANGED = {"orders": "o_totalprice", "lineitem": "l_quantity", "customer": "c_acctbal", "part": "p_retailprice", "supplier": "s_acctbal"}
 #: Queries that run at once: each is a few small jobs, which leave a cluster idle one by one.
-AT_ONCE = 4
+AT_ONCE = 8
 
 
 def database_log(t: Tables, name: str) -> DataFrame:
