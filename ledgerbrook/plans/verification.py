@@ -66,7 +66,7 @@ def write_checkpoints(t: Tables, logs: dict[str, DataFrame], path: str, every: i
     for checkpoint, bound in bounds(logs, every).items():
         states = {n: stored(apply_changes(states[n], log.where((c("batch_id") > done) & (c("batch_id") <= bound)), KEYS[n]), "state") for n, log in logs.items()}
         done = bound
-        _each(results(t.spark, states), lambda query, df, at=checkpoint: write_snapshot(df, path, f"cp{at}", query))
+        _each(t.spark, results(t.spark, states), lambda query, df, at=checkpoint: write_snapshot(df, path, f"cp{at}", query))
         write_row_counts(states, path, f"cp{checkpoint}")
     write_manifest(t.spark, path, scenario, every)
 
@@ -93,13 +93,13 @@ def verify_checkpoints(t: Tables, logs: dict[str, DataFrame], path: str, every:
             problem = wrong.problem or (ROWS if query in KEYS and noted.get(query) != n else None)
             return at, query, n, wrong.n, problem
 
-        report += _each(results(t.spark, states), checked)
+        report += _each(t.spark, results(t.spark, states), checked)
     return t.spark.createDataFrame(report, "checkpoint long, name string, found long, differences long, problem string").withColumn("ok", c("problem").isNull())
 
 
-def _each(named: dict[str, DataFrame], f) -> list:
+def _each(spark, named: dict[str, DataFrame], f) -> list:
     with ThreadPoolExecutor(AT_ONCE) as pool:
-        return list(pool.map(inheritable_thread_target(lambda x: f(*x)), named.items()))
+        return list(pool.map(inheritable_thread_target(spark)(lambda x: f(*x)), named.items()))
 
 
 def _verified(t: Tables) -> DataFrame:
