@@ -109,7 +109,7 @@ _NUMBER = f"array<struct<{_POINT},int_value:bigint,double_value:double>>"
 _HISTOGRAM = f"array<struct<{_POINT},count:bigint,sum:double,bucket_counts:array<bigint>,explicit_bounds:array<double>,min:double,max:double>>"
 _METRIC = f"struct<name:string,description:string,unit:string,metric_type:tinyint,aggregation_temporality:int,is_monotonic:boolean,numbers:{_NUMBER},histograms:{_HISTOGRAM}>"
 _OWNER = f"attributes:{_ATTRIBUTES},dropped_attributes_count:bigint"
-#: Telemetry as it arrives: resources, their scopes, their metrics, and the points of each.
+#: Telemetry as it arrives: resources, their scopes, their metrics, and the points of each. Field names are fixed values, of the wire format.
 TELEMETRY = f"struct<resource:struct<schema_url:string,{_OWNER}>,scopes:array<struct<scope:struct<name:string,version:string,{_OWNER}>,schema_url:string,metrics:array<{_METRIC}>>>>"
 
 
