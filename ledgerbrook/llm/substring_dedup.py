@@ -1,12 +1,14 @@
-"""Substring dedup over a sparse de Bruijn graph of token k-mers.
-
-Every window of `width` words has an anchor: the least-hashed k-mer in it (k = ANCHOR). Equal windows have equal
-anchors at equal places, so the anchors are the graph's nodes and the stretch of windows that share an anchor is an
-edge, named by its anchor and by a hash of all its windows: one row in place of about ten. Edges that occur twice are
-repeated as a whole; only edges whose anchor recurs in other surroundings (ends of repeated passages, branches) are
-looked at window by window. Edges found equal by name are verified on the words at their source coordinates: their texts
-join them again, and only those whose words recur stay (copies within a batch are compared there and then). Joins bring
-the repeated stretches back to their documents, where stretches that follow each other compact into one path.
+"""Substring dedup by compaction of a de Bruijn graph of token k-mers.
+
+The graph's edges are the windows of `width` words, its nodes the runs of width - 1 words that they share. Windows that
+follow each other and have the same anchor, the least-hashed short run (ANCHOR words) in them, travel as one row, which
+names the nodes it leaves and enters; as it has fewer windows than a node has words, the two nodes hold all its words.
+Equal windows have equal anchors, so windows of other anchors never need to meet. What occurs once only stays behind. The
+repeated edges are joined where one ends and the next begins in a node that no other enters or leaves, and such links
+contract to nonbranching paths by further joins (`compacted`). A text that runs through a whole path then stands for its
+windows by one long span, verified on the words at its source coordinates; texts that hold part of a path are verified
+edge by edge. Only edges whose anchor recurs in other surroundings (branches, ends of passages) are looked at window by
+window. Copies within a batch are compared there and then.
 """
 
 from __future__ import annotations
@@ -21,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WordHashes, arrow_map, arrow_type, fields, kept_names, mixed, rolling, shielded, stored, table, utf8, with_columns
+from .common import WordHashes, arrow_map, arrow_type, fields, kept_names, looked_up, mixed, rolling, shielded, stored, table, utf8, with_columns
+from .graph import components
 
 #: Words of a window.
 WIDTH = 35
@@ -30,9 +33,13 @@ ANCHOR = 8
 FACTOR, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 #: Longest run of windows that is cut at once; longer texts are cut in runs side by side.
 STRETCH = 1 << 20
-#: Edges: anchor, contents, the text's two keys, first and last window; twice: the edge is known to recur.
-EDGES = "m long, c long, k long, k2 int, a int, b int, twice boolean, local boolean"
-WINDOWS = "g long, h long, k long, k2 int, a int, b int, known boolean, whole boolean"
+#: Edges: anchor, node left, node entered, the text's two keys, first window, windows; twice: the edge is known to recur.
+EDGES = "m long, l long, r long, k long, k2 int, a int, n int, twice boolean, local boolean"
+#: What is compared: name (windows, edges) or path; kind, and for paths the digest and whose it is.
+WINDOWS = "g long, h long, kind byte, role byte, v long, w long, k long, k2 int, a int, b int, known boolean"
+WINDOW, EDGE, PATH = 0, 1, 2
+#: Whose digest a row of a path holds: a part of the first or second source of its edges, or a text that runs through it.
+FIRST, SECOND, THROUGH = 1, 2, 3
 CUT = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
@@ -50,20 +57,20 @@ def anchors(k: np.ndarray, span: int) -> np.ndarray:
     return (least & low).astype(np.int64)
 
 
-def edges_of(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The edges of a text with word hashes h: anchor, contents, first and last window."""
+def edges_of(h: np.ndarray, width: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The edges of a text with word hashes h: anchor, node left, node entered, first window, number of windows."""
     out = []
     for s in range(0, max(len(h) - width + 1, 0), STRETCH):
         own = h[s : s + STRETCH + width - 1]
         k = rolling(own, anchor, FACTOR)
         p = anchors(k, width - anchor + 1)
         a = np.concatenate([[0], np.flatnonzero(np.diff(p)) + 1])
-        b = np.append(a[1:], len(p)) - 1
-        contents = np.add.reduceat(mixed(rolling(own, width, OTHER)), a)
-        out.append((k[p[a]], contents, a + s, b + s))
+        end = np.append(a[1:], len(p))
+        nodes = rolling(own, width - 1, OTHER)
+        out.append((k[p[a]], nodes[a], nodes[end], a + s, end - a))
     if not out:
         none = np.empty(0, dtype=np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none, none, none.astype(np.int64), none.astype(np.int64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -105,10 +112,12 @@ def edges(rows: DataFrame, width: int, anchor: int) -> DataFrame:
             which = np.repeat(np.arange(len(found)), [len(f[0]) if f else 0 for f in found])
             if not len(which):
                 continue
-            m, c, a, b = (np.concatenate([f[i] for f in found if f]) for i in range(4))
-            m, c = m.view(np.int64), c.view(np.int64)
-            order = np.lexsort([np.arange(len(m)), c, m])
-            same = verified_copies(texts, which, a, b, order, (np.diff(m[order]) == 0) & (np.diff(c[order]) == 0), width)
+            m, l, r, a, n = (np.concatenate([f[i] for f in found if f]) for i in range(5))
+            b, c = a + n - 1, mixed(mixed(l) + r) ^ n.astype(np.uint64)
+            m, l, r = m.view(np.int64), l.view(np.int64), r.view(np.int64)
+            order = np.argsort(c, kind="stable")
+            same = np.logical_and.reduce([np.diff(x[order]) == 0 for x in (c, l, r, n)])
+            same = verified_copies(texts, which, a, b, order, same, width)
             local, twice = np.zeros(len(m), dtype=bool), np.zeros(len(m), dtype=bool)
             local[order[1:]] = same
             twice[order[:-1]] = same
@@ -121,17 +130,51 @@ def edges(rows: DataFrame, width: int, anchor: int) -> DataFrame:
                 first = last = stay
             k, k2 = batch.column(batch.schema.get_field_index("k")).to_numpy(), batch.column(batch.schema.get_field_index("k2")).to_numpy()
             start = np.concatenate([go, first])
-            n, z = len(go), len(first)
-            cols = [np.concatenate([m[go], k[which[first]]]), np.concatenate([c[go], np.zeros(z, dtype=np.int64)]), k[which[start]], k2[which[start]],
-                    a[start].astype(np.int32), np.concatenate([b[go], b[last]]).astype(np.int32), np.concatenate([twice[go], np.ones(z, dtype=bool)]), np.arange(n + z) >= n]
-            for s in range(0, n + z, 100_000):
+            y, z = len(go), len(first)
+            none = np.zeros(z, dtype=np.int64)
+            cols = [np.concatenate([m[go], k[which[first]]]), np.concatenate([l[go], none]), np.concatenate([r[go], none]), k[which[start]], k2[which[start]],
+                    a[start].astype(np.int32), np.concatenate([n[go], b[last] - a[first] + 1]).astype(np.int32), np.concatenate([twice[go], np.ones(z, dtype=bool)]), np.arange(y + z) >= y]
+            for s in range(0, y + z, 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[s : s + 100_000], type=f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(each, T.StructType(fields(EDGES)))
 
 
+def compacted(found: DataFrame) -> DataFrame:
+    """(edge, p, size): the nonbranching path of each linked edge, and how many edges that path has.
+
+    found: distinct repeated edges (e, l, r). An edge is joined with the next where it alone enters the node that the next
+    alone leaves; the links contract by joins, in rounds that grow with the logarithm of the longest path.
+    """
+    enters = found.groupBy(F.col("r").alias("node")).agg(F.min("e").alias("u"), F.count("*").alias("n_in")).where("n_in = 1")
+    leaves = found.groupBy(F.col("l").alias("node")).agg(F.min("e").alias("v"), F.count("*").alias("n_out")).where("n_out = 1")
+    paths = components(enters.join(leaves, "node").select("u", "v"))
+    return stored(paths.select(F.col("node").alias("edge"), F.col("root").alias("p"), F.count("*").over(W.partitionBy("root")).cast("int").alias("size")), "paths")
+
+
+def spans_of(words: list[bytes], a: np.ndarray, b: np.ndarray, p: np.ndarray, size: np.ndarray, nth: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, list]:
+    """What to compare of a text's edges (in order): their names, which go alone, and rows (path, role, digest, first and last window) of its paths.
+
+    Edges of one path that follow each other are a run. A run of all edges of the path goes as one span under the XOR of
+    their names; the edges of other runs go alone, and so do the first two sources of every edge, whose names make the path's digest.
+    """
+    names = np.frombuffer(b"".join(at_source(words, x, y, width) for x, y in zip(a.tolist(), b.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+    if not len(a):
+        return names, np.empty(0, dtype=bool), []
+    start = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (a[1:] != b[:-1] + 1) | (size[1:] == 1)]))
+    count = np.diff(np.append(start, len(a)))
+    whole = (count == size[start]) & (count > 1)
+    last = start + count - 1
+    rows = []
+    for role, of in ((FIRST, nth == FIRST), (SECOND, nth == SECOND), (THROUGH, np.repeat(whole, count))):
+        digest = np.bitwise_xor.reduceat(np.where(of[:, None], names, 0), start, axis=0)
+        at = np.flatnonzero(np.logical_or.reduceat(of, start) & (size[start] > 1))
+        rows += zip(p[start[at]].tolist(), [role] * len(at), digest[at, 0].tolist(), digest[at, 1].tolist(), a[start[at]].tolist(), b[last[at]].tolist(), strict=True)
+    return names, ~np.repeat(whole, count) | (nth <= SECOND), rows
+
+
 def windows(rows: DataFrame, width: int) -> DataFrame:
-    """WINDOWS of rows (k, k2, text, asks): 128 bits of the words of each whole edge asked for, and of each window in the other edges."""
+    """WINDOWS of rows (k, k2, text, asks): the spans and edges asked for by the words at their coordinates, and each window of the other edges."""
     schema = arrow_type(WINDOWS)
 
     def each(batches):
@@ -141,15 +184,22 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
             k, k2 = batch.column(batch.schema.get_field_index("k")).to_pylist(), batch.column(batch.schema.get_field_index("k2")).to_pylist()
             for text, i, j, own in zip(utf8(batch, "text"), k, k2, asks, strict=True):
                 own = own.values
-                a, b, known, whole = (own.field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "known", "whole"))
+                a, b, known, whole, p, size, nth = (own.field(n).to_numpy(zero_copy_only=False) for n in ("a", "b", "known", "whole", "p", "size", "nth"))
                 words = text.split()
-                edge = np.flatnonzero(whole)
-                names = np.frombuffer(b"".join(at_source(words, x, y, width) for x, y in zip(a[edge].tolist(), b[edge].tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+                at = np.flatnonzero(whole)
+                at = at[np.argsort(a[at], kind="stable")]
+                names, alone, runs = spans_of(words, a[at], b[at], p[at], size[at], nth[at], width)
+                edge, names = at[alone], names[alone]
+                run = np.array(runs, dtype=np.int64).reshape(-1, 6)
                 n = np.where(whole, 0, b - a + 1)
-                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-                h = hashes(words) if len(at) else np.empty(0, dtype=np.uint64)
-                one, two = (rolling(h, width, f)[at].view(np.int64) for f in (OTHER, FACTOR))
-                cols = [np.concatenate([one, names[:, 0]]), np.concatenate([two, names[:, 1]]), np.full(len(at) + len(edge), i), np.full(len(at) + len(edge), j), np.concatenate([at, a[edge]]), np.concatenate([at, b[edge]]), np.concatenate([np.repeat(known, n), known[edge]]).astype(bool), np.arange(len(at) + len(edge)) >= len(at)]
+                w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+                h = hashes(words) if len(w) else np.empty(0, dtype=np.uint64)
+                one, two = (rolling(h, width, f)[w].view(np.int64) for f in (OTHER, FACTOR))
+                parts = (len(w), len(edge), len(run))
+                none = np.zeros(parts[0] + parts[1], dtype=np.int64)
+                cols = [np.concatenate([one, names[:, 0], run[:, 0]]), np.concatenate([two, names[:, 1], np.zeros(len(run), dtype=np.int64)]), np.repeat([WINDOW, EDGE, PATH], parts),
+                        np.concatenate([none, run[:, 1]]), np.concatenate([none, run[:, 2]]), np.concatenate([none, run[:, 3]]), np.full(sum(parts), i), np.full(sum(parts), j),
+                        np.concatenate([w, a[edge], run[:, 4]]), np.concatenate([w, b[edge], run[:, 5]]), np.concatenate([np.repeat(known, n), known[edge], np.zeros(len(run))]).astype(bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(x.astype(f.type.to_pandas_dtype()), type=f.type) for x, f in zip(cols, schema, strict=True)], schema=schema)
 
     return rows.mapInArrow(each, T.StructType(fields(WINDOWS)))
@@ -160,23 +210,42 @@ def repeated_paths(rows: DataFrame, width: int = WIDTH, anchor: int = ANCHOR) ->
 
     rows: k, k2, text. Copies of an edge collapse within each batch before they meet the others of their anchor; what
     meets is streamed by a window function, which spills. The edges are stored once they are judged. Edges that others
-    name alike, and windows of edges whose anchor has other surroundings too, are judged once more on their words.
+    name alike are put on the paths of the graph and verified on their words, by whole paths where a text runs through one;
+    so are the windows of edges whose anchor has other surroundings too.
     """
+    if anchor < 2:
+        raise ValueError("an anchor of one word leaves words of an edge outside of its nodes")
     found = edges(rows.select("k", "k2", "text"), width, anchor)
-    by_m, by_c = W.partitionBy("m", "local"), W.partitionBy("m", "local", "c")
+    by_m, by_c = W.partitionBy("m", "local"), W.partitionBy("m", "local", "l", "r", "n")
+    differs = lambda x: F.min(x).over(by_m) != F.max(x).over(by_m)
     judged = (
-        found.withColumn("n", F.count("*").over(by_m)).withColumn("others", F.count("*").over(by_c) > 1).withColumn("copied", F.max("twice").over(by_c))
-        .withColumn("contents", (F.min("c").over(by_m) != F.max("c").over(by_m))).withColumn("nth", F.row_number().over(by_c.orderBy("k", "a")))
+        found.withColumn("others", F.count("*").over(by_c) > 1).withColumn("copied", F.max("twice").over(by_c))
+        .withColumn("contents", differs("l") | differs("r") | differs("n")).withColumn("nth", F.least(F.row_number().over(by_c.orderBy("k", "a")), F.lit(3)).cast("byte"))
     )
-    judged = judged.select("k", "k2", "a", "b", "local", (F.col("local") | F.col("others") | F.col("copied")).alias("known"), (F.col("others") & ~F.col("local")).alias("whole"), "twice", (~F.col("local") & F.col("contents") & (F.col("nth") == 1)).alias("ask"))
+    whole = F.col("others") & ~F.col("local")
+    source = whole & (F.col("nth") == 1)
+    judged = judged.select("k", "k2", "a", (F.col("a") + F.col("n") - 1).alias("b"), "local", (F.col("local") | F.col("others") | F.col("copied")).alias("known"), whole.alias("whole"), "twice", "nth",
+                           (~F.col("local") & F.col("contents") & (F.col("nth") == 1)).alias("ask"), F.when(whole, F.xxhash64("m", "l", "r", "n")).alias("e"), F.when(source, F.col("l")).alias("l"), F.when(source, F.col("r")).alias("r"))
     judged = stored(judged.where("known or ask"), "edges")
-    one = lambda known, whole: F.struct("a", "b", F.lit(known).alias("known") if isinstance(known, bool) else F.col(known).alias("known"), F.lit(whole).alias("whole"))
-    asked = judged.where("ask or whole").select("k", "k2", F.explode(F.filter(F.array(F.when(F.col("whole"), one("twice", True)), F.when(F.col("ask"), one("known", False))), lambda x: x.isNotNull())).alias("x"))
+    paths = compacted(judged.where("whole and nth = 1").select("e", "l", "r"))
+    entry = lambda known, whole, p, size, nth: F.struct("a", "b", known.alias("known"), F.lit(whole).alias("whole"), p.alias("p"), size.alias("size"), nth.alias("nth"))
+    # an edge comes once from a batch at most, so that none holds many rows
+    on_paths = looked_up(judged.where("whole").select("k", "k2", "a", "b", "twice", "nth", "e"), paths, "e", "edge", salts=4)
+    asked = on_paths.select("k", "k2", entry(F.col("twice"), True, F.coalesce("p", "e"), F.coalesce("size", F.lit(1)), F.col("nth")).alias("x")).unionByName(
+        judged.where("ask").select("k", "k2", entry(F.lit(False), False, F.lit(0).cast("long"), F.lit(1), F.lit(0).cast("byte")).alias("x")))
     asks = asked.groupBy("k", "k2").agg(F.collect_list("x").alias("asks"))  # of one text
     # a text that occurs twice has no unknown edge, so its windows may be counted twice; its edges, too, are repeated
     seen = windows(rows.join(asks, ["k", "k2"]).select("k", "k2", "text", "asks"), width)
-    seen = seen.withColumn("n", F.count("*").over(W.partitionBy("g", "h", "whole")))
-    more = seen.where("n > 1 and not known and not whole or whole and (n > 1 or known)").select("k", "k2", "a", "b")
+    by_name = W.partitionBy("g", "h", "kind")
+    part = F.struct("role", "k", "k2", "a", "v", "w")
+    again = F.coalesce(F.lag(part).over(by_name.orderBy("role", "k", "k2", "a", "v", "w")) == part, F.lit(False))  # of an equal row
+    seen = seen.withColumn("again", again).withColumn("n", F.count("*").over(by_name))
+    right = F.col("role") == THROUGH
+    for role in (FIRST, SECOND):
+        for x in ("v", "w"):
+            right = right & (F.bit_xor(F.when(~F.col("again") & (F.col("role") == role), F.col(x))).over(by_name) == F.col(x))
+    seen = seen.withColumn("right", right)
+    more = seen.where(f"kind = {WINDOW} and n > 1 or kind = {EDGE} and (n > 1 or known) or kind = {PATH} and right").select("k", "k2", "a", "b")
     spans = judged.where("known and not whole").select("k", "k2", "a", "b").unionByName(more)
     return spans.groupBy("k", "k2").agg(F.collect_list(F.struct("a", "b")).alias("paths"))
 

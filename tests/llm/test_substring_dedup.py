@@ -7,7 +7,7 @@ import pytest
 
 from ledgerbrook.llm import substring_dedup
 from ledgerbrook.llm.common import WordHashes
-from ledgerbrook.llm.substring_dedup import cut_repeats, dedup_substrings, edges_of
+from ledgerbrook.llm.substring_dedup import compacted, cut_repeats, dedup_substrings, edges_of, spans_of
 
 
 def brute(rows, width):
@@ -56,7 +56,37 @@ def test_stage_keeps_columns_and_untouched_texts(spark):
 def test_long_texts_are_cut_side_by_side(monkeypatch):
     monkeypatch.setattr(substring_dedup, "STRETCH", 64)
     h = WordHashes()([f"w{i * i % 97}".encode() for i in range(1000)])
-    m, c, a, b = edges_of(h, 35, 8)
-    assert a[0] == 0 and b[-1] == 965 and (a[1:] == b[:-1] + 1).all() and len(m) == len(c) == len(a)
-    assert [len(x) for x in edges_of(h[:34], 35, 8)] == [0] * 4 and len(edges_of(h[:35], 35, 8)[0]) == 1
+    m, left, right, a, n = edges_of(h, 35, 8)
+    assert a[0] == 0 and a[-1] + n[-1] == 966 and (a[1:] == a[:-1] + n[:-1]).all() and len(m) == len(left) == len(a)
+    assert (left[1:] == right[:-1]).all() and n.max() <= 28
+    assert [len(x) for x in edges_of(h[:34], 35, 8)] == [0] * 5 and len(edges_of(h[:35], 35, 8)[0]) == 1
     assert np.isin([64, 128], a).all()
+
+
+def test_paths_end_where_the_graph_branches(spark):
+    graph = [(1, 10, 11), (2, 11, 12), (3, 12, 13), (4, 13, 14), (5, 13, 15), (6, 20, 21), (7, 22, 21), (8, 21, 23), (9, 30, 31), (10, 31, 30), (11, 40, 40)]
+    got = {r.edge: (r.p, r.size) for r in compacted(spark.createDataFrame(graph, "e long, l long, r long")).collect()}
+    assert got == {1: (1, 3), 2: (1, 3), 3: (1, 3), 9: (9, 2), 10: (9, 2)}
+    assert compacted(spark.createDataFrame([], "e long, l long, r long")).collect() == []
+
+
+def test_a_text_that_runs_through_a_path_is_one_span():
+    words = [f"w{i}".encode() for i in range(40)]
+    a, b = np.array([0, 5, 9, 20, 24]), np.array([4, 8, 12, 23, 25])
+    p, size, nth = np.array([7, 7, 7, 7, 7]), np.full(5, 3), np.array([3, 1, 3, 2, 3])
+    names, alone, rows = spans_of(words, a, b, p, size, nth, 6)
+    assert alone.tolist() == [False, True, False, True, True]
+    xor = names[0] ^ names[1] ^ names[2]
+    assert sorted(rows) == sorted([(7, 3, *xor.tolist(), 0, 12), (7, 1, *names[1].tolist(), 0, 12), (7, 2, *names[3].tolist(), 20, 25)])
+
+
+def test_long_passages_in_whole_and_in_part(spark):
+    rng = random.Random(5)
+    word = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    passage, other = word(300), word(200)
+    texts = [word(9) + passage + word(9) for _ in range(7)] + [passage[50:] + word(5), word(3) + passage[:220], passage + other, other + passage + other, word(80), passage + passage]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(3, " ".join(texts[3])), (3, " ".join(texts[3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 15):
+        got = cut_repeats(docs.repartition(parts)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text, r.kept_sha256) for r in got), key=str) == brute(rows, 35)
