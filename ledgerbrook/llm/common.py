@@ -31,8 +31,8 @@ def looked_up(rows: DataFrame, small: DataFrame, key: str, name: str, how: str =
     if small.count() <= most:
         return rows.join(F.broadcast(small), F.col(key) == F.col(name), how)
     salt = F.pmod(F.xxhash64(*(c for c, t in rows.dtypes if not t.startswith("map"))), F.lit(salts))
-    small = small.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return rows.withColumn("__r", salt).join(small, (F.col(key) == F.col(name)) & (F.col("__r") == F.col("__s")), how).drop("__r", "__s")
+    small = small.withColumn("__salted", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return rows.withColumn("__salt", salt).join(small, (F.col(key) == F.col(name)) & (F.col("__salt") == F.col("__salted")), how).drop("__salt", "__salted")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

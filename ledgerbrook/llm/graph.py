@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from .common import looked_up, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, **lookup: int) -> DataFrame:
     """(node, root) for each node of edges (u, v); root is the same exactly for connected nodes.
 
     Each round, every node moves to the smallest of itself and its neighbours and the graph contracts, so it at least
     halves; rounds grow with the logarithm of the nodes. Every round is stored; nothing but row counts reaches the driver. A
-    root may hold most nodes: where it is joined, it is broadcast or salted.
+    root may hold most nodes: where it is joined, it is broadcast or salted (lookup: `most` and `salts` of `looked_up`).
     """
     edges = stored(edges.select("u", "v").where(~F.col("u").eqNullSafe(F.col("v"))).distinct(), "edges")
     moves = []
@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
     out = moves.pop()
     while moves:
         later = out.select(F.col("node").alias("__n"), F.col("root").alias("__r"))
-        out = looked_up(moves.pop(), later, "root", "__n").select("node", F.coalesce("__r", "root").alias("root"))
+        out = looked_up(moves.pop(), later, "root", "__n", **lookup).select("node", F.coalesce("__r", "root").alias("root"))
         if moves:
             out = stored(out, "moves")
     return out

@@ -148,7 +148,7 @@ def compacted(found: DataFrame) -> DataFrame:
     """
     enters = found.groupBy(F.col("r").alias("node")).agg(F.min("e").alias("u"), F.count("*").alias("n_in")).where("n_in = 1")
     leaves = found.groupBy(F.col("l").alias("node")).agg(F.min("e").alias("v"), F.count("*").alias("n_out")).where("n_out = 1")
-    paths = components(enters.join(leaves, "node").select("u", "v"))
+    paths = components(enters.join(leaves, "node").select("u", "v"), salts=4)  # a path is no longer than a text
     return stored(paths.select(F.col("node").alias("edge"), F.col("root").alias("p"), F.count("*").over(W.partitionBy("root")).cast("int").alias("size")), "paths")
 
 

@@ -109,3 +109,9 @@ def test_graph_components(spark):
         want.setdefault(r, set()).add(n)
     assert sorted(map(sorted, firsts.values())) == sorted(sorted(v) for v in want.values() if len(v) > 1)
     assert components(spark.createDataFrame([], "u long, v long")).select(F.col("node")).collect() == []
+
+
+def test_components_beyond_a_broadcast(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 130)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long"), most=0, salts=3).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
