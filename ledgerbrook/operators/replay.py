@@ -370,9 +370,7 @@ ALL = {
 }
 
 
-ALL["e3_e4_stamp_and_strip"] = (
-    lambda t: stripped(stamped(t.lineitem.withColumn("_op", F.lit("c")).withColumn("_op_index", c("l_orderkey")), _stamp())).groupBy("l_returnflag", "__created_at").agg(F.count("*").alias("n"), F.max("l_orderkey").alias("last")),
-    "SELECT l_returnflag, TIMESTAMP '2024-02-01 00:00:00' AS __created_at, count(*) AS n, max(l_orderkey) AS last FROM lineitem GROUP BY l_returnflag")
+ALL["e3_e4_stamp_and_strip"] = ALL["e3_e4_stamp_and_strip_whole"]
 ALL["e14_sparse_documents"] = (
     lambda t: t.orders.join(t.lineitem.where("l_returnflag = 'R'").groupBy(c("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("returned")), "o_orderkey", "left").select("o_orderkey", sparse_document(["o_orderstatus", "returned", "o_custkey"]).alias("doc")),
     """WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey) SELECT o_orderkey, '{"o_orderstatus":"' || o_orderstatus || '"' || CASE WHEN n IS NULL THEN '' ELSE ',"returned":' || n END || ',"o_custkey":' || o_custkey || '}' AS doc FROM orders LEFT JOIN r ON l_orderkey = o_orderkey""")
