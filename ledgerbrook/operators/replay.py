@@ -197,34 +197,39 @@ def split_by_bytes(df: DataFrame, order: list[str], width: Column, most_bytes: i
     return ends.withColumn("split", cut * 2 + across).drop("__p", "__q", "__b", "__e")
 
 
-#: Splits that one write makes; a partition each.
+#: Splits in one folder.
 SPLITS_AT_ONCE = 10_000
+#: Rows that a task writes, in as many splits as they are; a larger split is a task's alone.
+ROWS_A_TASK = 500_000
 
 
 def write_splits(df: DataFrame, split: str, path: str, order: list[str]) -> int:
     """One file per value of the column `split`, in its order, each with its rows in the order given; the column is left out. The number of files.
 
-    Splits are numbered without gaps, and a split's number is its partition, so files named by partition list in order; beyond
-    SPLITS_AT_ONCE in folders of so many. What bounds a split bounds its file.
+    Splits are numbered without gaps, and a file's folder is its split's number, so paths list in order; SPLITS_AT_ONCE of them are in
+    one folder more. A task writes neighbouring splits one after the other, so tasks follow rows and not files. What bounds a split
+    bounds its file.
     """
     spark = df.sparkSession
-    numbers = stored(numbered(df.select(split).distinct(), [split]), "splits").withColumnRenamed(split, "__split")
-    n = numbers.count()
-    rows = df.join(F.broadcast(numbers) if n <= 100_000 else numbers, c(split).eqNullSafe(c("__split"))).drop("__split", split)
-    for first in range(0, n, SPLITS_AT_ONCE):
-        some = rows.where(c("position").between(first, first + SPLITS_AT_ONCE - 1)).withColumn("position", (c("position") - first).cast("int"))
-        put = some.repartitionById(min(SPLITS_AT_ONCE, n - first), "position").drop("position").sortWithinPartitions(*order)
-        put.write.parquet(f"{path}/{first // SPLITS_AT_ONCE:06d}")
+    counted = stored(df.groupBy(split).agg(F.count("*").alias("__n")), "counted")
+    n, total = counted.agg(F.count("*"), F.sum("__n")).first()
     if not n:
-        spark.createDataFrame([], df.drop(split).schema).write.parquet(f"{path}/000000")
+        spark.createDataFrame([], df.drop(split).schema).write.parquet(f"{path}/__splits=000000")
+        return 0
+    numbers = numbered(counted.select(split), [split]).withColumnRenamed(split, "__own")
+    rows = df.join(F.broadcast(numbers) if n <= 100_000 else numbers, c(split).eqNullSafe(c("__own"))).drop("__own", split)
+    tasks = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROWS_A_TASK))
+    text = lambda x, width: F.coalesce(F.lpad(x.cast("string"), width, "0"), F.lit(""))
+    rows = rows.withColumn("__splits", text(F.floor(c("position") / SPLITS_AT_ONCE), 6)).withColumn("__split", text(c("position"), 10))
+    put = rows.repartitionById(tasks, F.expr(f"cast(position * {tasks} div {n} as int)")).drop("position").sortWithinPartitions("__splits", "__split", *order)
+    put.write.partitionBy("__splits", "__split").parquet(path)
     return n
 
 
 def split_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The rows of write_splits and file_no, the place of their file in the listing (from 0)."""
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    name = c("_metadata.file_path")
-    return rows.withColumn("file_no", F.regexp_extract(name, r"/(\d{6})/part-", 1).cast("long") * SPLITS_AT_ONCE + F.regexp_extract(name, r"/part-(\d+)", 1).cast("long"))
+    return rows.withColumn("file_no", F.regexp_extract(c("_metadata.file_path"), r"/__split=(\d+)/", 1).cast("long"))
 
 
 def state_as_of(base: DataFrame | None, log: DataFrame, keys: list[str], batch: int, **options) -> DataFrame:
