@@ -82,6 +82,19 @@ def compare_results(expected: DataFrame, found: DataFrame, order: list[str], tol
     return both.select(F.coalesce("a.position", "b.position").alias("position"), F.explode(F.filter(F.array(absent, *cells), lambda x: x.isNotNull())).alias("x")).select("position", "x.*")
 
 
+def same_rows(expected: DataFrame, found: DataFrame) -> tuple[int, bool]:
+    """The rows of found, and whether expected holds the same ones, each as often, by one aggregation and without an order.
+
+    Equal rows have no differences in any order; where they aren't equal, compare_results says what differs and by how much.
+    """
+    if expected.dtypes != found.dtypes:
+        return found.count(), False
+    side = lambda df, e: df.withColumn("__e", F.lit(e)).withColumn("__f", F.lit(1 - e))
+    rows = side(expected, 1).unionByName(side(found, 0)).groupBy(*found.columns).agg(F.sum("__e").alias("__e"), F.sum("__f").alias("__f"))
+    n, odd = rows.agg(F.coalesce(F.sum("__f"), F.lit(0)), F.count_if(c("__e") != c("__f"))).first()
+    return n, odd == 0
+
+
 def check_rows(df: DataFrame, expected: int) -> DataFrame:
     return df.agg(F.count("*").alias("n")).select("n", F.lit(expected).cast("long").alias("expected"), (c("n") == expected).alias("ok"))
 
