@@ -229,13 +229,16 @@ def verify_checkpoints(t: Tables, log: DataFrame, path: str, every: int) -> Data
     """checkpoint, name, expected and found rows, differing cells and ok: the log replayed to each checkpoint at once, against the snapshots."""
     out = None
     for checkpoint, bound in checkpoint_bounds(log, every).items():
-        found = {k: stored(df, "found") for k, df in state_results(t, stored(state_as_of(None, log, ["o_orderkey"], bound), "state")).items()}
+        found = {k: df if k == "orders" else stored(df, "found") for k, df in state_results(t, stored(state_as_of(None, log, ["o_orderkey"], bound), "state")).items()}  # the state is stored
         read = lambda k, at=checkpoint: t.spark.read.parquet(f"{path}/cp{at}/{k}")
         wrong = None
         for k, df in found.items():
             order = ["o_orderkey"] if k == "orders" else df.columns
-            n = compare_results(read(k), df, order, 1e-9).agg(F.count("*").alias("differences")).select(F.lit(k).alias("table_name"), "differences")
-            n = stored(n, "compared")  # one plan for all of them would fill the driver
+            if same_rows(read(k), df)[1]:
+                n = t.spark.createDataFrame([(k, 0)], "table_name string, differences long")
+            else:
+                n = compare_results(read(k), df, order, 1e-9).agg(F.count("*").alias("differences")).select(F.lit(k).alias("table_name"), "differences")
+                n = stored(n, "compared")  # one plan for all of them would fill the driver
             wrong = n if wrong is None else wrong.unionByName(n)
         report = reconcile(row_counts(found), read("row_counts")).join(wrong, "table_name", "left")
         report = report.select(F.lit(checkpoint).cast("long").alias("checkpoint"), c("table_name").alias("name"), "expected", "found", "differences", (c("ok") & c("differences").eqNullSafe(0)).alias("ok"))
