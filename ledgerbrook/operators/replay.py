@@ -197,8 +197,8 @@ def split_by_bytes(df: DataFrame, order: list[str], width: Column, most_bytes: i
     return ends.withColumn("split", cut * 2 + across).drop("__p", "__q", "__b", "__e")
 
 
-#: Splits in one folder.
-SPLITS_AT_ONCE = 10_000
+#: Splits in one folder: as many folders as Spark lists without a job (spark.sql.sources.parallelPartitionDiscovery.threshold). In a job, each folder is a task, whose result goes to the driver.
+SPLITS_AT_ONCE = 32
 #: Rows that a task writes, in as many splits as they are; a larger split is a task's alone.
 ROWS_A_TASK = 500_000
 
@@ -214,13 +214,13 @@ def write_splits(df: DataFrame, split: str, path: str, order: list[str]) -> int:
     counted = stored(df.groupBy(split).agg(F.count("*").alias("__n")), "counted")
     n, total = counted.agg(F.count("*"), F.sum("__n")).first()
     if not n:
-        spark.createDataFrame([], df.drop(split).schema).write.parquet(f"{path}/__splits=000000")
+        spark.createDataFrame([], df.drop(split).schema).write.parquet(f"{path}/__splits=000000000")
         return 0
     numbers = numbered(counted.select(split), [split]).withColumnRenamed(split, "__own")
     rows = df.join(F.broadcast(numbers) if n <= 100_000 else numbers, c(split).eqNullSafe(c("__own"))).drop("__own", split)
     tasks = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // ROWS_A_TASK))
     text = lambda x, width: F.coalesce(F.lpad(x.cast("string"), width, "0"), F.lit(""))
-    rows = rows.withColumn("__splits", text(F.floor(c("position") / SPLITS_AT_ONCE), 6)).withColumn("__split", text(c("position"), 10))
+    rows = rows.withColumn("__splits", text(F.floor(c("position") / SPLITS_AT_ONCE), 9)).withColumn("__split", text(c("position"), 10))
     put = rows.repartitionById(tasks, F.expr(f"cast(position * {tasks} div {n} as int)")).drop("position").sortWithinPartitions("__splits", "__split", *order)
     put.write.partitionBy("__splits", "__split").parquet(path)
     return n
