@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, arrow_type, covered, kept_names, shielded, stored, table, table_bytes, utf8, with_columns
+from .common import arrow_map, arrow_type, covered, kept_names, released, shielded, stored, table, table_bytes, utf8, with_columns
 
 #: Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII characters; every other byte separates.
 TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -204,6 +204,7 @@ def _pass(docs: DataFrame, block, text_col: str, first: bool, shard_words: int)
     kept, schema = kept_names(docs, FOUND), arrow_type(FOUND)
 
     def each(batches):
+        released()
         for batch in batches:
             found = search_texts(block.value, utf8(batch, text_col), shard_words)
             if not first:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, arrow_map, arrow_type, covered, dense_ids, kept_names, stored, table, utf8, window_codes, with_columns
+from .common import SPACE, arrow_map, arrow_type, covered, dense_ids, kept_names, released, stored, table, utf8, window_codes, with_columns
 
 SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -39,6 +39,7 @@ def measured(docs: DataFrame, text_col: str = "text", drop_text: bool = False) -
     kept, schema = [n for n in kept_names(docs, MEASURES) if not (drop_text and n == text_col)], arrow_type(MEASURES)
 
     def each(batches):
+        released()
         for batch in batches:
             rows = [measure(x) for x in utf8(batch, text_col)]
             yield with_columns(batch, kept, schema, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5)

@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from .common import KEPT
+
 #: The last id of every document.
 END = b"\0\0\0\0"
 #: Texts are encoded together up to about so many bytes.
 TOGETHER = 2 << 20
 #: What ends a word in the vocabulary, and the byte that stands for it here.
 SUFFIX, STOP = "</w>", b"\0"
-_made: dict = {}
 
 
 def default_tokenizer() -> str:
@@ -134,7 +135,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder for each file and worker process."""
-    if path not in _made:
-        _made[path] = Encoder(path)
-    return _made[path]
+    """One encoder for each file and worker process, until a task of another kind needs the memory (`released`)."""
+    if path not in KEPT:
+        KEPT[path] = Encoder(path)
+    return KEPT[path]
