@@ -14,7 +14,7 @@ from ..operators.replay import apply_changes, checkpoint_plan
 from ..operators.validate import NO_EXPECTED, ROWS, compare_results, same_rows
 from ..sources.batches import manifest, read_manifest, read_row_counts, write_manifest, write_row_counts, write_snapshot
 from ..sources.scratch import scratch, stored
-from .tpch import SQL
+from .tpch import PARTSUPP, SQL
 
 c = F.col
 #: Keyed tables, and the number in each that updates change; dimensions are created at once and stay.
@@ -54,19 +54,22 @@ def bounds(logs: dict[str, DataFrame], every: int) -> dict[int, int]:
 
 
 def results(spark, states: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The states themselves and every order-processing query over them; views are resolved here and now."""
+    """Every order-processing query over the states; views are resolved here and now. What five of them derive first, all lines by part and supplier, is stored for all."""
     for name, df in states.items():
         df.createOrReplaceTempView(name)
-    return states | {query: spark.sql(text) for query, text in SQL.items()}
+    if any(PARTSUPP in text for text in SQL.values()):
+        stored(spark.sql(f"WITH {PARTSUPP} SELECT * FROM partsupp"), "partsupp").createOrReplaceTempView("partsupp")
+    return {query: spark.sql(text.replace(f"WITH {PARTSUPP},", "WITH").replace(f"WITH {PARTSUPP}", "")) for query, text in SQL.items()}
 
 
 def write_checkpoints(t: Tables, logs: dict[str, DataFrame], path: str, every: int, scenario: str = "database") -> None:
-    """Snapshots of all results at each checkpoint, the tables' row counts and a manifest. States go on from the checkpoint before."""
+    """Snapshots of all results at each checkpoint, the tables' row counts and a manifest. States go on from the snapshots of the checkpoint before."""
     states, done = dict.fromkeys(logs), -1
     for checkpoint, bound in bounds(logs, every).items():
-        states = {n: stored(apply_changes(states[n], log.where((c("batch_id") > done) & (c("batch_id") <= bound)), KEYS[n]), "state") for n, log in logs.items()}
+        snapshot = lambda name, df, at=checkpoint: (name, write_snapshot(df, path, f"cp{at}", name))
+        states = dict(_each(t.spark, {n: apply_changes(states[n], log.where((c("batch_id") > done) & (c("batch_id") <= bound)), KEYS[n]) for n, log in logs.items()}, snapshot))
         done = bound
-        _each(t.spark, results(t.spark, states), lambda query, df, at=checkpoint: write_snapshot(df, path, f"cp{at}", query))
+        _each(t.spark, results(t.spark, states), snapshot)
         write_row_counts(states, path, f"cp{checkpoint}")
     write_manifest(t.spark, path, scenario, every)
 
@@ -79,7 +82,7 @@ def verify_checkpoints(t: Tables, logs: dict[str, DataFrame], path: str, every:
     """
     report = []
     for checkpoint, bound in bounds(logs, every).items():
-        states = {n: stored(apply_changes(None, log.where(c("batch_id") <= bound), KEYS[n]), "state") for n, log in logs.items()}
+        states = _stored(t.spark, {n: apply_changes(None, log.where(c("batch_id") <= bound), KEYS[n]) for n, log in logs.items()}, "state")
         noted = {r.table_name: r.n_rows for r in read_row_counts(t.spark, path, f"cp{checkpoint}").collect()}
         there = {r["query"] for r in manifest(t.spark, path).where(c("checkpoint") == f"cp{checkpoint}").collect()}
 
@@ -95,7 +98,7 @@ def verify_checkpoints(t: Tables, logs: dict[str, DataFrame], path: str, every:
             problem = wrong.problem or (ROWS if query in KEYS and noted.get(query) != n else None)
             return at, query, n, wrong.n, problem
 
-        report += _each(t.spark, results(t.spark, states), checked)
+        report += _each(t.spark, states | results(t.spark, states), checked)
     return t.spark.createDataFrame(report, "checkpoint long, name string, found long, differences long, problem string").withColumn("ok", c("problem").isNull())
 
 
@@ -104,8 +107,12 @@ def _each(spark, named: dict[str, DataFrame], f) -> list:
         return list(pool.map(inheritable_thread_target(spark)(lambda x: f(*x)), named.items()))
 
 
+def _stored(spark, named: dict[str, DataFrame], label: str) -> dict[str, DataFrame]:
+    return dict(_each(spark, named, lambda name, df: (name, stored(df, label))))
+
+
 def _verified(t: Tables) -> DataFrame:
-    logs, path = {n: stored(database_log(t, n), "log") for n in KEYS}, scratch(t.spark, "snapshots")
+    logs, path = _stored(t.spark, {n: database_log(t, n) for n in KEYS}, "log"), scratch(t.spark, "snapshots")
     write_checkpoints(t, logs, path, 2)
     interval = read_manifest(t.spark, path).select("interval").distinct()
     return verify_checkpoints(t, logs, path, interval.first()[0]).select("checkpoint", "name", "found", "differences", "ok")
