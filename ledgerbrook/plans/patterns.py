@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.inequality import counted_below
-from ..sources.tables import run_sql, sql_query
+from ..operators.relational import means_in_row_order
+from ..sources.scratch import stored
+from ..sources.tables import run_sql, sql_query, table
 from .tpch import PARTSUPP
 
 _REVENUE = "l_extendedprice * (1 - l_discount)"
@@ -136,8 +139,19 @@ def theta_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.groupBy("m").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("l_discount") > 0.05, F.col("n")).otherwise(0)).alias("promo"))
 
 
+def best_and_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten parts with the least mean discount beside the ten with the most."""
+    p = stored(means_in_row_order(table(spark, sf_dir, "lineitem"), "l_partkey", "l_discount", "mean"), "means")
+    key = F.col("l_partkey").asc_nulls_last()
+
+    def ten(order, name: str) -> DataFrame:
+        return p.orderBy(order, key).limit(10).select(F.rank().over(W.orderBy(order, key)).alias("rk"), F.col("l_partkey").alias(name))  # ten rows
+
+    return ten(F.col("mean").asc_nulls_last(), "worst").join(ten(F.col("mean").desc_nulls_last(), "best"), "rk")
+
+
 def queries() -> dict:
-    return {k: sql_query(v.replace("{dow}", _DOW["spark"])) for k, v in SQL.items()} | {"d19_theta_join": theta_join}
+    return {k: sql_query(v.replace("{dow}", _DOW["spark"])) for k, v in SQL.items()} | {"d15_best_and_worst": best_and_worst, "d19_theta_join": theta_join}
 
 
 def oracle_sql() -> dict[str, str]:
