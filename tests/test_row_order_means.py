@@ -2,6 +2,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from ledgerbrook.operators import relational
 from ledgerbrook.plans import patterns
 
 
@@ -20,3 +21,9 @@ def test_best_and_worst_ties(spark, folder):
     """Before, part 2 came before part 1, and part 3 before both, unlike in SQL."""
     out = patterns.queries()["d15_best_and_worst"](spark, folder)
     assert sorted(map(tuple, out.collect())) == [(1, 1, 4), (2, 2, 1), (3, 4, 2), (4, 3, 3)]
+
+
+def test_paired_ranks_ties(spark, folder):
+    """Before, supplier 2 came before supplier 1, and supplier 3 before both, unlike in SQL."""
+    out = relational.queries()["w2_paired_ranks"](spark, folder)
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 3), (2, 2, 2), (3, 4, 4), (4, 3, 1)]
